@@ -44,8 +44,8 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def rowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, doc_id, text): ``rid`` is a unique bigint that orders rows as doc_id does.
+def rowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """((rid, doc_id, text), whether rid is doc_id): ``rid`` is a unique bigint that orders rows as doc_id does.
 
     Where doc_id is unique and not null (checked on that column alone), rid is
     doc_id.  Otherwise rows are ordered by (doc_id, text), nulls first, and
@@ -55,9 +55,17 @@ def rowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ids = slim.select("doc_id")
     clash = ids.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
     if not clash.take(1):
-        return slim.withColumn("rid", F.col("doc_id"))
+        return slim.select(F.col("doc_id").alias("rid"), "doc_id", "text"), True
     ordered = slim.orderBy(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return written(ordered.withColumn("rid", F.monotonically_increasing_id()))
+    return written(ordered.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")), False
+
+
+def named(result: DataFrame, keyed: DataFrame, plain: bool) -> DataFrame:
+    """``result`` (with rid) under doc_id again."""
+    if plain:
+        return result.withColumnRenamed("rid", "doc_id")
+    back = result.join(keyed.select("rid", "doc_id"), "rid")
+    return back.select("doc_id", *[c for c in result.columns if c != "rid"])
 
 
 def crc_bucket(col: Column, n: int) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.llm import mixing, quality, sharding
+from textloom.llm import language_id, mixing, quality, sharding, token_output
 
 QUERIES = {
+    "op1_token_output": token_output.op1_token_output,
     "op2_sharding": sharding.op2_sharding,
+    "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op10_quality_rules": quality.op10_quality_rules,
 }
