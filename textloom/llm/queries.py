@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from textloom.llm import language_id, mixing, quality, sharding, token_output
+from textloom.llm import language_id, mixing, quality, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op2_sharding": sharding.op2_sharding,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op8_suffix_array_dedup": suffix_array_dedup.op8_suffix_array_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {
     "op5_mixing": mixing.OP5_SQL,
+    "op6_substring_dedup": substring_dedup.OP6_SQL,
 }
