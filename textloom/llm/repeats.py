@@ -269,9 +269,11 @@ def shared_windows(items: list[bytes], rid: np.ndarray, pos: np.ndarray, before:
         rows.append(here[hit])
         starts.append(pos[here[hit]] - o)
     row, start = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (rows, starts))
+    if not len(row):
+        return row, start, start
     by = np.lexsort((start, row))
     row, start = row[by], start[by]
-    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))) if len(row) else np.zeros(0, np.int64)
+    head = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))))
     tail = np.append(head[1:], len(row)) - 1
     return rid[row[head]], start[head], start[tail] + window
 
