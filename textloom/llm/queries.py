@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import language_id, mixing, quality, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
+from textloom.llm import language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language_id.op4_language_id,
     "op5_mixing": mixing.op5_mixing,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_suffix_array_dedup": suffix_array_dedup.op8_suffix_array_dedup,
     "op10_quality_rules": quality.op10_quality_rules,
 }
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
+    "op7_ngram_join": ngram_join.OP7_SQL,
 }
