@@ -158,12 +158,12 @@ def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS at FROM w WHERE len(words) >= 20),
-h AS (SELECT doc_id, at, row_number() OVER (PARTITION BY array_to_string(list_slice(words, at, at + 19), ' ') ORDER BY doc_id, at) AS nth FROM p),
-gone AS (SELECT DISTINCT doc_id, unnest(range(at, at + 20)) AS at FROM h WHERE nth > 1),
-g AS (SELECT doc_id, list(at) AS ats, count(*) AS n FROM gone GROUP BY doc_id)
+p AS (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS i FROM w WHERE len(words) >= 20),
+h AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(words, i, i + 19), ' ') ORDER BY doc_id, i) AS nth FROM p),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM h WHERE nth > 1),
+g AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(g.n, 0)::BIGINT AS n_removed,
        sha256(CASE WHEN g.n IS NULL THEN array_to_string(words, ' ')
-              ELSE array_to_string(list_filter(words, (x, i) -> NOT list_contains(g.ats, i)), ' ') END) AS kept_sha256
+              ELSE array_to_string(list_filter(words, lambda x, j: NOT list_contains(g.ks, j)), ' ') END) AS kept_sha256
 FROM w LEFT JOIN g ON w.doc_id = g.doc_id
 """
