@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
+from textloom.llm import decontamination, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_suffix_array_dedup": suffix_array_dedup.op8_suffix_array_dedup,
+    "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
