@@ -23,25 +23,27 @@ import re
 import struct
 import uuid
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.llm.common import named, rowed, shared_dir
+from textloom.llm.common import named, row_chunks, rowed, shared_dir, strings, word_spans
+from textloom.llm.windows import U64, _BASE_A, RollingHash
 
 BLOCK, PERCENTILE, CHUNK_IDS = 256, 95, 1 << 16
 END_ID = 2
-#: Words one Python worker remembers the ids of; beyond it the memory is emptied.
+#: Words one Python worker remembers the ids of; beyond it, those met once are dropped.
 CACHE_WORDS = 400_000
 _HEAD = np.dtype([("min", "<u4"), ("width", "u1"), ("n_exc", "<u2"), ("n", "<u2")])
 CHUNK_SCHEMA = "part int, chunk int, start bigint, n_ids bigint, docs binary, lengths binary, offsets binary, payload binary"
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_TAIL = ".,!?;:"
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_MARK = np.zeros(256, bool)
+_MARK[[ord(c) for c in ".,!?;:"]] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
 
 
 # --- codec -------------------------------------------------------------------
@@ -115,13 +117,44 @@ def decode_blocks(payload: bytes, offsets: np.ndarray) -> np.ndarray:
 # --- tokens ------------------------------------------------------------------
 
 
+class WordTable:
+    """Open-addressing map from 64-bit word hashes to codes, looked up in bulk."""
+
+    def __init__(self, bits: int = 20) -> None:
+        self.mask = U64((1 << bits) - 1)
+        self.hashes, self.codes, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Codes, -1 where a hash is not known."""
+        out = np.full(len(h), -1, np.int32)
+        left, at = np.arange(len(h)), h & self.mask
+        while len(left):
+            there = self.hashes[at]
+            hit = there == h[left]
+            out[left[hit]] = self.codes[at[hit]]
+            on = ~hit & (there != 0)
+            left, at = left[on], (at[on] + U64(1)) & self.mask
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """New distinct hashes; they get the next codes in order."""
+        codes = np.arange(self.size, self.size + len(h), dtype=np.int32)
+        self.size += len(h)
+        at = h & self.mask
+        while len(h):
+            free = self.hashes[at] == 0
+            self.hashes[at[free]] = h[free]  # of several for one slot, one stays
+            mine = free & (self.hashes[at] == h)
+            self.codes[at[mine]] = codes[mine]
+            h, codes, at = h[~mine], codes[~mine], (at[~mine] + U64(1)) & self.mask
+
+
 class WordEncoder:
     """Ids of whole texts by way of their words.
 
-    The tokenizer drops white space and never merges across it, so a text's ids
-    are its words' ids in order; each distinct word is encoded once per worker
-    and its ids are kept in one array.  Texts with separators that only Python
-    counts as space go in whole.
+    The tokenizer drops white space and never merges across it, nor between a
+    letter and punctuation, so a text's ids are its words' ids in order; each
+    distinct word is encoded once per worker and its ids are kept in one array.
     """
 
     def __init__(self, path: str) -> None:
@@ -131,65 +164,78 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.code: dict[str, int] = defaultdict(count().__next__)  # word -> row of the arrays below
-        self.bases: dict[str, bytes] = {}
-        self.pool, self.start, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.table, self.known = WordTable(), np.zeros(0, U64)
+        self.pool, self.start, self.length, self.times = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_bases(self, bases: list[str]) -> None:
-        """Runs of letters, many to a text: each gives one run of ids up to a word-end token."""
-        groups = [bases[i : i + 512] for i in range(0, len(bases), 512)]
-        for group, ids in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Runs of letters go many to a text: each gives one run of ids up to a word-end token."""
+        out: list[bytes] = [b""] * len(words)
+        plain = [i for i, w in enumerate(words) if _LETTERS(w)]
+        groups = [plain[i : i + 512] for i in range(0, len(plain), 512)]
+        other = [i for i, w in enumerate(words) if not _LETTERS(w)]
+        for group, ids in zip(groups, self._encode([" ".join([words[i] for i in g]) for g in groups]), strict=True):
             cut = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1)
             if len(cut) == len(group) and cut[-1] == len(ids):
                 lo = 0
-                for base, hi in zip(group, cut.tolist(), strict=True):
-                    self.bases[base] = ids[lo:hi]
+                for i, hi in zip(group, cut.tolist(), strict=True):
+                    out[i] = ids[lo:hi]
                     lo = hi
             else:
-                self.bases.update(zip(group, self._encode(group), strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        known, pairs, whole = self.bases, [], []
-        for word in words:
-            base = word.rstrip(_TAIL)
-            if base and base.isalpha() and max(base) < "ɐ":  # letters, then punctuation: pieces of their own
-                pairs.append((base.lower(), word[len(base) :]))
-            else:
-                pairs.append((word, ""))
-                whole.append(word)
-        odd = list({w for w in whole if w not in known} | {tail for _, tail in pairs if tail and tail not in known})
-        known.update(zip(odd, self._encode(odd), strict=True))
-        self._encode_bases(list({base for base, _ in pairs if base not in known}))
-        found = [known[base] + known[tail] if tail else known[base] for base, tail in pairs]
+                other += group
+        for i, ids in zip(other, self._encode([words[i] for i in other]), strict=True):
+            out[i] = ids
+        return out
+
+    def _learn(self, h: np.ndarray, words: list[str]) -> None:
+        found = self._encode_words(words)
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        self.table.add(h)
+        self.known = np.concatenate((self.known, h))
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
+        self.times = np.concatenate((self.times, np.zeros(len(found), np.int64)))
         self.pool = np.concatenate((self.pool, np.frombuffer(b"".join(found), np.uint32)))
 
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.code) > CACHE_WORDS:
-            self._forget()
-        split = [[] if _ODD_SPACE.search(t) else t.split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        had = len(self.code)
-        codes = np.fromiter(map(self.code.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        if len(self.code) > had:
-            self._learn(list(islice(self.code, had, None)))
-        length = self.length[codes]
+    def _shrink(self) -> None:
+        """Drop the words met only once since the last time."""
+        keep = np.flatnonzero(self.times > 1)
+        length = self.length[keep]
         ends = np.cumsum(length)
-        ids = self.pool[np.repeat(self.start[codes] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-        cut = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(sizes)))]
-        out = [ids[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
-        for i, text in enumerate(texts):
-            if not split[i] and text:
-                out[i] = np.frombuffer(self._encode([text])[0], np.uint32)
-        return out
+        self.pool = self.pool[np.repeat(self.start[keep] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
+        self.start, self.length, self.times, self.known = ends - length, length, np.zeros(len(keep), np.int64), self.known[keep]
+        self.table = WordTable()
+        self.table.add(self.known)
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts back to back, where each text's ids start and end)."""
+        if self.table.size > CACHE_WORDS:
+            self._shrink()
+        raw = data.tobytes()
+        if b"<|" not in raw:  # special tokens are told from their upper-case look-alikes
+            data = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
+            raw = data.tobytes()
+        starts, ends, first = word_spans(data, offsets)
+        # one end mark after an ASCII letter is a word of its own
+        cut = np.flatnonzero((ends - starts > 1) & _MARK[data[ends - 1]] & _ASCII_LETTER[data[ends - 2]]) if len(ends) else np.zeros(0, np.int64)
+        first = first + np.searchsorted(cut, first)
+        starts, ends = np.insert(starts, cut + 1, ends[cut] - 1), np.insert(ends, cut, ends[cut] - 1)
+        h = RollingHash(data, _BASE_A).spans(starts, ends)
+        h[h == 0] = U64(1)
+        codes = self.table.find(h)
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            fresh, at = np.unique(h[new], return_index=True)
+            at = new[at]
+            self._learn(fresh, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            codes[new] = self.table.find(h[new])
+        self.times += np.bincount(codes, minlength=len(self.times))
+        length = self.length[codes]
+        stop = np.cumsum(length)
+        ids = self.pool[np.repeat(self.start[codes] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+        return ids, np.concatenate(([0], stop))[first]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -216,26 +262,31 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col
         encoder = _encoder(tokenizer_path)
         held: list[np.ndarray] = []
         keys: list[int] = []
-        size = 0
+        counts: list[int] = []
+        size, end = 0, np.array([end_id], np.uint32)
 
         def flush() -> pa.RecordBatch:
             nonlocal chunk, start, size
             ids = np.concatenate(held)
             payload, offsets = encode_blocks(ids)
-            row = {"part": [part], "chunk": [chunk], "start": [start], "n_ids": [len(ids)], "docs": [np.array(keys, "<i8").tobytes()], "lengths": [np.fromiter(map(len, held), "<u4", len(held)).tobytes()], "offsets": [offsets.tobytes()], "payload": [payload]}
+            row = {"part": [part], "chunk": [chunk], "start": [start], "n_ids": [len(ids)], "docs": [np.array(keys, "<i8").tobytes()], "lengths": [np.array(counts, "<u4").tobytes()], "offsets": [offsets.tobytes()], "payload": [payload]}
             chunk, start, size = chunk + 1, start + len(ids), 0
             held.clear()
             keys.clear()
+            counts.clear()
             return pa.RecordBatch.from_pydict(row, schema=_ARROW)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                texts = [t or "" for t in piece.column(1).to_pylist()]
-                for key, ids in zip(piece.column(0).to_pylist(), encoder(texts), strict=True):
-                    held.append(np.append(ids, np.uint32(end_id)))
-                    keys.append(key)
-                    size += len(ids) + 1
+            names = batch.column(0).to_pylist()
+            data, offsets = strings(batch.column(1))
+            for lo, hi in row_chunks(offsets, 1 << 20):
+                ids, cut = encoder(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                for i in range(hi - lo):
+                    mine = ids[cut[i] : cut[i + 1]]
+                    held += (mine, end)
+                    keys.append(names[lo + i])
+                    counts.append(len(mine) + 1)
+                    size += len(mine) + 1
                     if size >= CHUNK_IDS:
                         yield flush()
         if held:
