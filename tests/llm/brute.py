@@ -46,3 +46,38 @@ def suffix_array_dedup(rows, window=200):
         spans = sum(d and (i == 0 or not drop[i - 1]) for i, d in enumerate(drop))
         out[doc] = (len(t), sum(drop), spans, hashlib.sha256(kept).hexdigest())
     return out
+
+
+def ngram_join(rows, percent=85, n=4):
+    sets = {}
+    for doc, text in rows:
+        ws = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[doc] = {tuple(ws[i : i + n]) for i in range(len(ws) - n + 1)} if len(ws) >= n else ({tuple(ws)} if ws else set())
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    docs = sorted(sets)
+    for i, a in enumerate(docs):
+        for b in docs[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= percent * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {d: (len(sets[d]), find(d)) for d in docs}
+
+
+def quality_base(text):
+    ws = words(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    seen, dup = set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    times = Counter(tuple(ws[i : i + 3]) for i in range(len(ws) - 2))
+    hit = {j for i in range(len(ws) - 2) if times[tuple(ws[i : i + 3])] > 1 for j in range(i, i + 3)}
+    failed = len(ws) < 50 or 100 * len(hit) > 50 * len(ws)
+    return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(hit), failed)
