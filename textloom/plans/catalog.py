@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from textloom.functions import stats
+from textloom.operators import corpus, phrases, stylometry
+from textloom.streaming import quota
+
+_PARTS = (stylometry, corpus, phrases, stats, quota)
+QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "stylometry"
