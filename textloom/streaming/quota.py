@@ -22,7 +22,8 @@ LOAD_SQL = "WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS s F
 
 def hourly_quota(events: DataFrame, quota: int = 2, delay: str = "2 hours") -> DataFrame:
     """Streaming or batch: events per user and hour, and those beyond the quota; late events wait ``delay``."""
-    marked = events.withWatermark("ts", delay) if events.isStreaming else events
+    stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    marked = stamped.withWatermark("ts", delay) if events.isStreaming else stamped
     counted = marked.groupBy(F.window("ts", "1 hour").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return counted.select(F.unix_seconds(F.col("w.start").cast("timestamp")).alias("hour_start"), "user_id", "n", F.greatest(F.lit(0), F.col("n") - quota).cast("bigint").alias("over"))
 
@@ -32,7 +33,7 @@ HOURLY_SQL = "SELECT (floor(epoch(ts) / 3600)::BIGINT * 3600) AS hour_start, use
 
 def single_use(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """Streaming or batch: the first event of each (user, type, day) key; replays go."""
-    keyed = events.withColumn("day", F.to_date("ts"))
+    keyed = events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("day", F.to_date("ts"))
     if events.isStreaming:
         return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["user_id", "event_type", "day"])
     return keyed.groupBy("user_id", "event_type", "day").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("n_uses")).select("event_id", "user_id", "event_type", "n_uses")
