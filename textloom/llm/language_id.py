@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.llm.common import crc_bucket, row_chunks, strings
 
@@ -186,7 +186,25 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Model:
     return fit(rows, languages)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[Column] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verdicts(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and a language of at least that score."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            data, offsets = strings(batch.column(at))
+            good = []
+            for lo, hi in row_chunks(offsets, 1 << 20):
+                p, letter = model.probabilities(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                good.append(letter & (p.max(axis=1) >= min_score))
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row; no shuffle.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every

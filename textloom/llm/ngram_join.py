@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join: size-banded tiles, hashed bitmaps, sorted-array intersection.
 
 Equal shingle sets are one *class*; only classes are compared.  Two classes
-link when 100 * |A and B| >= PERCENT * |A or B|.
+link when 100 * |A and B| >= percent * |A or B|; 85 percent below.
 
 Candidates.  A link of A misses at most d = |A| - ceil(0.85 |A|) of A's
 shingles, so any d + 1 shingles of A hold one that every partner has.  A class
@@ -10,7 +10,8 @@ the bound is the same for all sizes that can link, so partners expose it too.
 Shingles are grouped: a group of up to TILE classes is one tile, whose pairs of
 fitting size are candidates.  Larger groups ("hot" shingles: passages that many
 documents share, families of near copies) are cut into size bands, and each
-class is paired with its band's leader and the next lower band's.  A class with
+class is paired with its band's leader and the next lower band's; these links
+come first, and a tile's pairs that they connect are not compared.  A class with
 d + 1 shingles in groups that are not hot has met all its partners; only links
 between two classes that lack them (*loose* ones) can be missing.
 
@@ -28,24 +29,41 @@ above.  What is left is settled by intersecting the sorted arrays.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import named, row_chunks, rowed, strings, word_spans, written
 from textloom.llm.windows import U64, _BASE_A, RollingHash, mix
 
-PERCENT, SHINGLE = 85, 4
 #: Classes of one tile; a shingle group beyond it is cut by size bands.
 TILE = 24
-BITS = 1024
+#: Least width of a bitmap.
+MIN_BITS = 512
 FLUSH = 1_000_000
+#: Leaders a class is compared with.
+LEADERS = 2
 #: Members of a hub that one task compares.
 HUB_LOT = 256
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+@dataclass(frozen=True)
+class Link:
+    """When two sets link: 100 * |A and B| >= percent * |A or B|, on shingles of so many words."""
+
+    percent: int = 85
+    shingle: int = 4
+    tile: int = TILE
+
+    @property
+    def base(self) -> float:
+        """Share of a large set's shingles that it exposes: what it must, and a little more."""
+        return 0.02 + (100 - self.percent) / 100
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all documents back to back, document bounds)."""
     folded = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
     starts, ends, first = word_spans(folded, offsets)
@@ -66,34 +84,47 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = SHINGLE) -> tup
     return h[fresh], np.searchsorted(doc[fresh], np.arange(docs + 1))
 
 
-def needed(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Shingles of a set of n of which every partner has one at least."""
-    return n - -(-percent * n // 100) + 1
-
-
-def _bound(n: np.ndarray) -> np.ndarray:
+def _bound(n: np.ndarray, link: Link) -> np.ndarray:
     """Upper bound of the hashes a set of n exposes for itself, as a share of 2^64; falls with n."""
     n = np.maximum(n, 1)
-    return np.where(n < 32, 1.0, np.minimum(1.0, 0.17 + 1.0 / np.sqrt(n)))
+    return np.where(n < 32, 1.0, np.minimum(1.0, link.base + 1.0 / np.sqrt(n)))
 
 
 def _under(h: np.ndarray, share: np.ndarray) -> np.ndarray:
     return (h >> U64(11)).astype(np.float64) < share * float(1 << 53)
 
 
-def bitmaps(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """docs x BITS / 8 bytes."""
-    docs = len(bounds) - 1
-    bits = np.zeros((docs, BITS), bool)
-    bits[np.repeat(np.arange(docs), np.diff(bounds)), (h & U64(BITS - 1)).astype(np.int64)] = True
-    return np.packbits(bits, axis=1)
+def width(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n: two to four a shingle, a power of two, so wider ones fold."""
+    return np.maximum(MIN_BITS, 1 << (np.int64(2) + np.floor(np.log2(np.maximum(n, 1) + 0.5)).astype(np.int64)))
+
+
+def bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """Per set the bytes of its bitmap, bit i least significant first."""
+    n = np.diff(bounds)
+    wide = width(n)
+    stop = np.cumsum(wide)
+    bits = np.zeros(int(stop[-1]) if len(stop) else 0, bool)
+    doc = np.repeat(np.arange(len(n)), n)
+    bits[(stop - wide)[doc] + (h & (wide[doc] - 1).astype(U64)).astype(np.int64)] = True
+    raw = np.packbits(bits, bitorder="little").tobytes()
+    return [raw[(e - w) // 8 : e // 8] for e, w in zip(stop.tolist(), wide.tolist(), strict=True)]
+
+
+def folded(bits: bytes, size: int) -> int:
+    """The bitmap as an integer of ``size`` bytes: a shingle's bit is its hash modulo the width."""
+    x, have = int.from_bytes(bits, "little"), len(bits)
+    while have > size:
+        have //= 2
+        x = (x >> (8 * have)) | (x & ((1 << (8 * have)) - 1))
+    return x
 
 
 _TOKEN = np.dtype([("token", "<u8"), ("ref", "<i8"), ("n", "<i4")])
 _PACKED = "bucket int, token binary, ref binary, n binary, a bigint, rid bigint, size int, total int, bits binary"
 
 
-def _expose(keyed: DataFrame, buckets: int) -> DataFrame:
+def _expose(keyed: DataFrame, buckets: int, link: Link) -> DataFrame:
     """Per document one row (class, size, bitmap), and exposed shingles packed by bucket."""
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -115,14 +146,14 @@ def _expose(keyed: DataFrame, buckets: int) -> DataFrame:
             rids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = strings(batch.column(1))
             for lo, hi in row_chunks(offsets):
-                h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], link.shingle)
                 n = np.diff(bounds)
                 sums = np.zeros(len(h) + 1, U64)
                 np.cumsum(mix(h + U64(0x2545F491)), out=sums[1:])
                 ref = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ n.astype(U64)).astype(np.int64)
                 ref[n == 0] = 0
                 doc = np.repeat(np.arange(hi - lo), n)
-                total = np.bincount(doc, weights=_under(h, _bound(n)[doc]), minlength=hi - lo).astype(np.int32)
+                total = np.bincount(doc, weights=_under(h, _bound(n, link)[doc]), minlength=hi - lo).astype(np.int32)
                 new = np.zeros(hi - lo, bool)  # equal sets expose once
                 for i, r in enumerate(ref.tolist()):
                     if r not in seen and n[i]:
@@ -130,8 +161,8 @@ def _expose(keyed: DataFrame, buckets: int) -> DataFrame:
                         new[i] = True
                 bits = bitmaps(h, bounds)
                 m = hi - lo
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array((mix(rids[lo:hi].astype(np.int64).view(U64)) % U64(buckets)).astype(np.int32)), **{c: pa.nulls(m, pa.binary()) for c in _TOKEN.names}, "a": ref, "rid": rids[lo:hi].astype(np.int64), "size": n.astype(np.int32), "total": total, "bits": pa.array([bits[i].tobytes() if new[i] else None for i in range(m)], pa.binary())})
-                shown = new[doc] & _under(h, _bound(PERCENT * n // 100)[doc])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.array((mix(rids[lo:hi].astype(np.int64).view(U64)) % U64(buckets)).astype(np.int32)), **{c: pa.nulls(m, pa.binary()) for c in _TOKEN.names}, "a": ref, "rid": rids[lo:hi].astype(np.int64), "size": n.astype(np.int32), "total": total, "bits": pa.array([bits[i] if new[i] else None for i in range(m)], pa.binary())})
+                shown = new[doc] & _under(h, _bound(link.percent * n // 100, link)[doc])
                 rows = np.zeros(int(shown.sum()), _TOKEN)
                 rows["token"], rows["ref"], rows["n"] = h[shown], ref[doc[shown]], n[doc[shown]]
                 held.append(rows)
@@ -146,11 +177,11 @@ def _expose(keyed: DataFrame, buckets: int) -> DataFrame:
 
 
 _FOUND = "kind int, a bigint, b bigint, n int, total int, bits binary"
-_SET, _PAIR, _HOT = 0, 1, 2
+_SET, _PAIR, _HOT, _STAR = 0, 1, 2, 3
 
 
-def _fit(n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    return 100 * np.minimum(n, m).astype(np.int64) >= PERCENT * np.maximum(n, m).astype(np.int64)
+def _fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
 
 
 def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,8 +194,22 @@ def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[fresh], b[fresh]
 
 
-def tiles(rows: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b) candidate pairs and (class, number of its hot own shingles) of token rows."""
+def _counted(member: np.ndarray, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (member, leader) rows and how often each occurs; none leads itself."""
+    order = np.lexsort((leader, member))
+    member, leader = member[order], leader[order]
+    head = np.flatnonzero(np.concatenate(([True], (member[1:] != member[:-1]) | (leader[1:] != leader[:-1]))))
+    times = np.diff(np.append(head, len(member)))
+    other = member[head] != leader[head]
+    return member[head][other], leader[head][other], times[other]
+
+
+Pairs = tuple[np.ndarray, ...]
+
+
+def tiles(rows: np.ndarray, link: Link) -> tuple[Pairs, Pairs, Pairs]:
+    """Pairs within tiles, (class, leader, hot shingles that say so), and (class, number of its hot own shingles)."""
+    tile = link.tile
     order = np.lexsort((rows["ref"], rows["token"]))
     rows = rows[order]
     fresh = np.ones(len(rows), bool)
@@ -173,36 +218,37 @@ def tiles(rows: np.ndarray, tile: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     head = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1]))) if len(rows) else np.zeros(0, np.int64)
     size = np.diff(np.append(head, len(rows)))
     of = np.repeat(size, size)
-    left, right = [], []
+    left, right, member, leads = [], [], [], []
     small = rows[(of > 1) & (of <= tile)]
     for d in range(1, tile):
         same = small["token"][d:] == small["token"][:-d]
         if not same.any():
             break
-        same &= _fit(small["n"][d:], small["n"][:-d])
+        same &= _fit(small["n"][d:], small["n"][:-d], link.percent)
         left.append(small["ref"][:-d][same])
         right.append(small["ref"][d:][same])
     hot = rows[of > tile]
     if len(hot):
-        band = (np.log(hot["n"]) / -np.log(PERCENT / 100)).astype(np.int64)
+        band = (np.log(hot["n"]) / -np.log(link.percent / 100)).astype(np.int64)
         order = np.lexsort((hot["ref"], band, hot["token"]))
         hot, band = hot[order], band[order]
         start = np.flatnonzero(np.concatenate(([True], (hot["token"][1:] != hot["token"][:-1]) | (band[1:] != band[:-1]))))
         which = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(hot))))
         leader = hot["ref"][start]
-        left.append(hot["ref"])
-        right.append(leader[which])
+        member.append(hot["ref"])
+        leads.append(leader[which])
         below = np.maximum(which - 1, 0)
         near = (which > 0) & (hot["token"][start[below]] == hot["token"]) & (band[start[below]] == band - 1)
-        left.append(hot["ref"][near])
-        right.append(leader[below[near]])
-    a, b = _unique_pairs(np.concatenate(left), np.concatenate(right)) if left else (np.zeros(0, np.int64),) * 2
-    own = hot[_under(hot["token"], _bound(hot["n"].astype(np.int64)))]
-    cls, times = np.unique(own["ref"], return_counts=True)
-    return a, b, cls, times
+        member.append(hot["ref"][near])
+        leads.append(leader[below[near]])
+    none = np.zeros(0, np.int64)
+    pairs = _unique_pairs(np.concatenate(left), np.concatenate(right)) if left else (none, none)
+    stars = _counted(np.concatenate(member), np.concatenate(leads)) if member else (none, none, none)
+    own = hot[_under(hot["token"], _bound(hot["n"].astype(np.int64), link))]
+    return pairs, stars, np.unique(own["ref"], return_counts=True)
 
 
-def _meet(exposed: DataFrame, tile: int) -> DataFrame:
+def _meet(exposed: DataFrame, link: Link) -> DataFrame:
     def rows_of(kind: int, a, b=None, n=None, total=None, bits=None) -> pa.RecordBatch:
         m = len(a)
         fill = lambda x, t: pa.nulls(m, t) if x is None else (x if isinstance(x, pa.Array) else pa.array(x, t))
@@ -221,44 +267,39 @@ def _meet(exposed: DataFrame, tile: int) -> DataFrame:
         rows = np.zeros(len(columns["token"]), _TOKEN)
         for c, x in columns.items():
             rows[c] = x
-        a, b, cls, times = tiles(rows, tile)
-        yield rows_of(_PAIR, a, b)
+        pairs, stars, (cls, times) = tiles(rows, link)
+        yield rows_of(_PAIR, *pairs)
+        yield rows_of(_STAR, stars[0], stars[1], stars[2].astype(np.int32))
         yield rows_of(_HOT, cls, None, times.astype(np.int32))
 
     return exposed.repartition(F.col("bucket")).mapInArrow(run, _FOUND)
 
 
-def may_link(a_bits: np.ndarray, b_bits: np.ndarray, n: np.ndarray, m: np.ndarray, jaccard: np.ndarray | float) -> np.ndarray:
-    """Can sets of n and m with these bitmaps (rows of bytes) have this Jaccard value?"""
-    x, y = np.ascontiguousarray(a_bits).view(np.uint64), np.ascontiguousarray(b_bits).view(np.uint64)
-    only_a = np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64)
-    most = np.minimum(n - only_a, m - only_b)
+def may_link(x: int, y: int, n: int, m: int, jaccard: float) -> bool:
+    """Can sets of n and m with these bitmaps of one width have this Jaccard value?"""
+    most = min(n - (x & ~y).bit_count(), m - (y & ~x).bit_count())
     return most * (1.0 + jaccard) >= jaccard * (n + m) - 1e-6
 
 
-def _bits(column: pa.Array) -> np.ndarray:
-    data, _ = strings(column)
-    return data.reshape(-1, BITS // 8)
-
-
-def _screen(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def _screen(pairs: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
     """Candidate pairs (a, b) that their sizes and bitmaps allow."""
     side = lambda x: classes.select(F.col("ref").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, m = (batch.column(i).to_numpy().astype(np.int64) for i in (2, 3))
-            fits = _fit(n, m)
-            if fits.any():
-                fits &= may_link(_bits(batch.column(4)), _bits(batch.column(5)), n, m, PERCENT / 100)
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0).filter(pa.array(fits)), "b": batch.column(1).filter(pa.array(fits))})
+            out: dict[str, list] = {"a": [], "b": []}
+            for a, b, n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                size = min(len(x), len(y))
+                if 100 * min(n, m) >= link.percent * max(n, m) and may_link(folded(x, size), folded(y, size), n, m, link.percent / 100):
+                    out["a"].append(a)
+                    out["b"].append(b)
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     return both.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
     """The pairs (a, b) that link, with Jaccard, by intersecting the sorted arrays.
 
     Arrays meet at the hub a, in lots of HUB_LOT members, so that no hub fills
@@ -278,7 +319,7 @@ def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
             lists = batch.column(1)
             edges, flat = np.asarray(lists.offsets), lists.values
             for lo, hi in row_chunks(offsets):
-                h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], link.shingle)
                 doc = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
                 raw = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 use = flat.slice(edges[lo], edges[hi] - edges[lo])
@@ -297,7 +338,7 @@ def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
                 place = np.minimum(np.searchsorted(hub_items, mine), len(hub_items) - 1)
                 both = int(np.count_nonzero(hub_items[place] == mine))
                 either = len(mine) + len(hub_items) - both
-                if 100 * both >= PERCENT * either:
+                if 100 * both >= link.percent * either:
                     out["a"].append(a)
                     out["b"].append(ref)
                     out["jaccard"].append(both / either)
@@ -335,17 +376,19 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
 TILE_ROWS = 2_000
 
 
-def _loose_pairs(loose: DataFrame) -> DataFrame:
+def _loose_pairs(loose: DataFrame, link: Link) -> DataFrame:
     """Pairs of loose representatives whose bitmaps allow a link between their members.
 
     loose: (ref, n, bits, component, radius).  Tiles hold TILE_ROWS rows of one
     size band; a tile meets the tiles of bands it can fit, never all of them.
     """
-    band = F.floor(F.log(F.col("n").cast("double")) / float(-np.log(0.5))).cast("int")
+    band = F.length(F.bin("n"))  # sizes of a band differ by less than 2
+    least = max(0.02, 3 * link.percent / 100 - 2)  # Jaccard of representatives at their largest radius
+    reach = int(np.ceil(-np.log2(least)))  # bands that such sizes can lie apart
     tiled = written(loose.withColumn("band", band))
     sizes = {r["band"]: r["k"] for r in tiled.groupBy("band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("k")).collect()}
     spark = loose.sparkSession
-    meet = [(f"{x}.{i}", y, j, 0 if (x, i) == (y, j) else side, p, q) for x in sizes for y in (x, x + 1) if y in sizes for i in range(sizes[x]) for j in range(sizes[y]) if (x, i) <= (y, j) for side, p, q in ((1, x, i), (2, y, j))]
+    meet = [(f"{x}.{i}", y, j, 0 if (x, i) == (y, j) else side, p, q) for x in sizes for y in range(x, x + reach + 1) if y in sizes for i in range(sizes[x]) for j in range(sizes[y]) if (x, i) <= (y, j) for side, p, q in ((1, x, i), (2, y, j))]
     rows = sorted({(p, q, f"{t}-{y}.{j}", s) for t, y, j, s, p, q in meet})
     plan = spark.createDataFrame(rows or [(0, 0, "", 0)], "band int, tile int, task string, side int")
     placed = tiled.withColumn("tile", F.pmod(F.xxhash64("ref"), F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("band"))).cast("int")) if sizes else tiled.withColumn("tile", F.lit(0))
@@ -353,18 +396,23 @@ def _loose_pairs(loose: DataFrame) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
-        bits = _bits(table.column("bits"))
+        raw = table.column("bits").to_pylist()
+        size = min(map(len, raw))
+        bits = np.array([np.frombuffer(folded(x, size).to_bytes(size, "little"), np.uint64) for x in raw])
         ref, n, component, radius = (table.column(c).to_numpy() for c in ("ref", "n", "component", "radius"))
         n = n.astype(np.int64)
         first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
         a_out, b_out = [], []
         for i in first.tolist():
-            least = np.maximum(0.0, 1.0 - (1.0 - PERCENT / 100) - radius[i] - radius[second])
+            least = np.maximum(0.0, link.percent / 100 - radius[i] - radius[second])
             ok = (component[second] != component[i]) & (ref[second] > ref[i] if side[i] == 0 else True)
             ok &= np.minimum(n[second], n[i]) >= least * np.maximum(n[second], n[i]) - 1e-6
-            some = second[ok]
+            some, least = second[ok], least[ok]
             if len(some):
-                hit = some[may_link(bits[i][None, :], bits[some], n[i], n[some], least[ok])]
+                only_i = np.bitwise_count(bits[i] & ~bits[some]).sum(axis=1, dtype=np.int64)
+                only_j = np.bitwise_count(bits[some] & ~bits[i]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[i] - only_i, n[some] - only_j)
+                hit = some[most * (1.0 + least) >= least * (n[i] + n[some]) - 1e-6]
                 a_out.append(np.full(len(hit), ref[i]))
                 b_out.append(ref[hit])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
@@ -373,28 +421,50 @@ def _loose_pairs(loose: DataFrame) -> DataFrame:
     return work.groupBy("task").applyInArrow(compare, "a bigint, b bigint")
 
 
-def join(docs: DataFrame, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def _hubs(links: DataFrame) -> DataFrame:
+    """(ref, component): a class that ref reaches in two steps or fewer, each to the smallest partner."""
+    both = links.select(F.col("a").alias("ref"), F.col("b").alias("m")).union(links.select("b", "a"))
+    near = both.groupBy("ref").agg(F.min("m").alias("m")).select("ref", F.least("ref", "m").alias("hub"))
+    jump = near.select(F.col("ref").alias("hub"), F.col("hub").alias("far"))
+    return written(near.join(jump, "hub", "left").select("ref", F.coalesce("far", "hub").alias("component")))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet."""
+    side = lambda x: labels.select(F.col("ref").alias(x), F.col("component").alias(f"c_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
+
+def join(docs: DataFrame, link: Link = Link(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(keyed documents with ref and n_shingles, links between classes, components of classes)."""
     keyed, _ = rowed(docs, id_col, text_col)
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(_meet(_expose(keyed, buckets), tile), ["kind"])
+    found = written(_meet(_expose(keyed, buckets, link), link), ["kind"])
     sets = found.where(F.col("kind") == _SET).select(F.col("b").alias("rid"), F.col("a").alias("ref"), "n", "total", "bits")
     hot = found.where(F.col("kind") == _HOT).groupBy("a").agg(F.sum("n").alias("hot"))
     classes = sets.where("n > 0").groupBy("ref").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("total").alias("total"), F.max("bits").alias("bits"))
     classes = classes.join(hot.withColumnRenamed("a", "ref"), "ref", "left")
-    short = F.col("total") - F.coalesce("hot", F.lit(0)) < F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+    short = F.col("total") - F.coalesce("hot", F.lit(0)) < F.col("n") - F.ceil(F.col("n") * link.percent / 100) + 1
     classes = written(classes.select("ref", "rid", "n", "bits", short.alias("loose")))
-    links = _verify(keyed, classes, _screen(found.where(F.col("kind") == _PAIR), classes))
+    # a class tries the leaders that most of its hot shingles name; which ones is a matter of speed alone
+    named_by = found.where(F.col("kind") == _STAR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    best = named_by.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, LEADERS).alias("best"))
+    stars = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    links = _verify(keyed, classes, _screen(stars, classes, link), link)
+    # families are connected through their leaders now; pairs inside one need no further look
+    apart = _apart(found.where(F.col("kind") == _PAIR).select("a", "b").distinct(), _hubs(links))
+    links = links.unionByName(_verify(keyed, classes, _screen(apart, classes, link), link))
     labels = components(links)
-    more = _loose_links(keyed, classes, links, labels)
+    more = _loose_links(keyed, classes, links, labels, link)
     if more is not None:
         links = links.unionByName(more)
         labels = components(links)
     return sets.select("rid", "ref", F.col("n").cast("bigint").alias("n_shingles")), links, labels
 
 
-def _loose_links(keyed: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _loose_links(keyed: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, link: Link) -> DataFrame | None:
     """Links between loose classes that no tile could show."""
     loose = classes.where("loose")
     ends = links.select(F.col("a").alias("hub"), F.col("b").alias("ref"), "jaccard").union(links.select(F.col("b"), F.col("a"), "jaccard"))
@@ -403,16 +473,16 @@ def _loose_links(keyed: DataFrame, classes: DataFrame, links: DataFrame, labels:
     radius = star.groupBy("hub").agg(F.max("away").alias("radius"))
     reps = radius.withColumnRenamed("hub", "ref").join(classes.select("ref", "n", "bits"), "ref").join(labels, "ref", "left")
     reps = reps.select("ref", "n", "bits", F.coalesce("component", "ref").alias("component"), "radius")
-    close = written(_loose_pairs(reps))
+    close = written(_loose_pairs(reps, link))
     if close.limit(1).count() == 0:
         return None
     members = star.join(labels, "ref", "left").select("hub", "ref", F.coalesce("component", "ref").alias("c"))
     pairs = close.join(members.select(F.col("hub").alias("a"), F.col("ref").alias("x"), F.col("c").alias("cx")), "a").join(members.select(F.col("hub").alias("b"), F.col("ref").alias("y"), F.col("c").alias("cy")), "b")
     pairs = pairs.where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    return _verify(keyed, classes, _screen(pairs, classes))
+    return _verify(keyed, classes, _screen(pairs, classes, link), link)
 
 
-def ngram_join(docs: DataFrame, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ngram_join(docs: DataFrame, link: Link = Link(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links).
 
     Null texts and texts without words have no shingles, link with nothing and
@@ -421,7 +491,7 @@ def ngram_join(docs: DataFrame, tile: int = TILE, id_col: str = "doc_id", text_c
     if all its doc_ids are.
     """
     keyed, plain = rowed(docs, id_col, text_col)
-    sets, _, labels = join(keyed.select(F.col("rid").alias("doc_id"), "text"), tile)
+    sets, _, labels = join(keyed.select(F.col("rid").alias("doc_id"), "text"), link)
     known = sets.join(labels, "ref", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "ref")))
     least = known.where("class is not null")
     if not plain:
