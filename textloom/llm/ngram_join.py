@@ -18,8 +18,8 @@ between two classes that lack them (*loose* ones) can be missing.
 Loose classes.  1 - Jaccard is a metric.  Each loose class that links to a
 leader lies within 0.15 of it, so the classes of two leaders can link only if
 the leaders are within 0.45: leaders and unlinked loose classes meet in
-size-banded tiles under that weaker bound, and members are compared for the few
-pairs of leaders that pass and are not connected already.
+size-banded tiles under that weaker bound, and the members of those that pass
+and are not connected already meet in tiles of their own.
 
 Every candidate passes the bitmaps first: a bit that A has and B lacks is a
 shingle (at least one) that A has and B lacks, which bounds the overlap from
@@ -95,8 +95,8 @@ def _under(h: np.ndarray, share: np.ndarray) -> np.ndarray:
 
 
 def width(n: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of n: two to four a shingle, a power of two, so wider ones fold."""
-    return np.maximum(MIN_BITS, 1 << (np.int64(2) + np.floor(np.log2(np.maximum(n, 1) + 0.5)).astype(np.int64)))
+    """Bits of the bitmap of a set of n: four to eight a shingle, a power of two, so wider ones fold."""
+    return np.maximum(MIN_BITS, 1 << (np.int64(3) + np.floor(np.log2(np.maximum(n, 1) + 0.5)).astype(np.int64)))
 
 
 def bitmaps(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
@@ -476,9 +476,11 @@ def _loose_links(keyed: DataFrame, classes: DataFrame, links: DataFrame, labels:
     close = written(_loose_pairs(reps, link))
     if close.limit(1).count() == 0:
         return None
-    members = star.join(labels, "ref", "left").select("hub", "ref", F.coalesce("component", "ref").alias("c"))
-    pairs = close.join(members.select(F.col("hub").alias("a"), F.col("ref").alias("x"), F.col("c").alias("cx")), "a").join(members.select(F.col("hub").alias("b"), F.col("ref").alias("y"), F.col("c").alias("cy")), "b")
-    pairs = pairs.where("cx != cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    # the members of representatives that are close to another one meet in tiles at their own distance
+    active = close.select(F.col("a").alias("hub")).union(close.select("b")).distinct()
+    members = star.join(active, "hub").join(classes.select("ref", "n", "bits"), "ref").join(labels, "ref", "left")
+    pairs = _loose_pairs(members.select("ref", "n", "bits", F.coalesce("component", "ref").alias("component"), F.lit(0.0).alias("radius")), link)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return _verify(keyed, classes, _screen(pairs, classes, link), link)
 
 
