@@ -251,6 +251,31 @@ def test_decontamination_finds_every_passage(spark):
     assert {(d, i) for d, t in docs for i, q in items if q in (t or "")} <= got
 
 
+QUIZ = "A baker sells nine loaves before noon, and the (small) shop across the street sells twice as many loaves; how many loaves do they sell?"
+
+
+def found(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    return {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontamination.find(table(spark, texts), bench).collect()}
+
+
+def test_decontamination_of_edited_and_quoted_items(spark):
+    words = QUIZ.split()
+    edits = [" ".join("zz" if i in at else w for i, w in enumerate(words)) for at in ([0], [7], [12], [3, 17], [8, 19])]
+    halves = [" ".join(words[: len(words) // 2 + 1]), " ".join(words[len(words) // 2 :])]
+    moved = QUIZ.replace("before noon", "long before the noon bell")
+    texts = [f"some words before {t} and some after" for t in (*edits, *halves, moved)] + ["the shop across the street is a baker", "how many loaves"]
+    got = found(spark, texts, [QUIZ])
+    assert set(got) == {(i, 0) for i in range(8)} and not any(got.values())
+
+
+def test_decontamination_of_short_and_number_heavy_items(spark):
+    heavy = "Add 12 and 7 to 30 then 5 and 9 to 4"
+    items = ["two words", heavy, "12 7 30 4", "...", "lone"]
+    texts = ["here are two words more", "two more words", f"x {heavy} y", "x Add 1 and 2 to 3 then 4 and 5 to 6 y", "12 7 30 4", "9 7 30 5", "... - ..."]
+    assert set(found(spark, texts, items)) == {(0, 0), (2, 1), (3, 1), (4, 2)}
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
