@@ -276,6 +276,14 @@ def test_decontamination_of_short_and_number_heavy_items(spark):
     assert set(found(spark, texts, items)) == {(0, 0), (2, 1), (3, 1), (4, 2)}
 
 
+@pytest.mark.parametrize("limit", [0, decontamination.MAX_BROADCAST_WINDOWS])
+def test_decontamination_is_the_same_by_either_join_and_without_punctuation(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "MAX_BROADCAST_WINDOWS", limit)
+    bare = "".join(c for c in QUIZ if c.isalpha() or c == " ")
+    marked = " ".join(f"({w}," if i % 2 else f"{w} -" for i, w in enumerate(bare.split()))
+    assert found(spark, [f"x {bare} y", f"x {marked} y", bare.lower(), "x y z"], [QUIZ]) == {(i, 0): True for i in range(3)}
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
