@@ -284,6 +284,12 @@ def test_decontamination_is_the_same_by_either_join_and_without_punctuation(spar
     assert found(spark, [f"x {bare} y", f"x {marked} y", bare.lower(), "x y z"], [QUIZ]) == {(i, 0): True for i in range(3)}
 
 
+def test_decontamination_with_values_that_coincide(spark):
+    item = "The farmer has 3 apples and 5 pears in one basket, 3 plums in the other and eats 2 of them"
+    texts = [f"x {item} y".replace(" 3 a", f" {a} a").replace("5", b).replace(" 3 p", f" {c} p").replace("2", d) for a, b, c, d in (("4", "4", "4", "4"), ("4", "9", "7", "1"), ("3", "3", "3", "3"))]
+    assert set(found(spark, texts, [item])) == {(i, 0) for i in range(3)}
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
