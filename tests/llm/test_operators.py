@@ -85,6 +85,15 @@ def test_token_output_repeated_ids_and_empty(spark):
     assert token_output.token_output(table(spark, []), path).count() == 0
 
 
+def test_word_table_grows():
+    words = token_output.WordTable(bits=3)
+    h = np.random.default_rng(1).permutation(np.arange(1, 5001)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for lo, hi in ((0, 3), (3, 9), (9, 4000)):
+        words.add(h[lo:hi])
+        assert 2 * words.size <= len(words.hashes)
+    assert (words.find(h) == np.where(np.arange(5000) < 4000, np.arange(5000), -1)).all()
+
+
 # --- sharding --------------------------------------------------------------------
 
 

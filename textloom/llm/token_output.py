@@ -118,11 +118,15 @@ def decode_blocks(payload: bytes, offsets: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """Open-addressing map from 64-bit word hashes to codes, looked up in bulk."""
+    """Open-addressing map from 64-bit word hashes to codes, looked up in bulk; at most half full."""
 
     def __init__(self, bits: int = 20) -> None:
+        self.size = 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
         self.mask = U64((1 << bits) - 1)
-        self.hashes, self.codes, self.size = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32), 0
+        self.hashes, self.codes = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Codes, -1 where a hash is not known."""
@@ -140,6 +144,10 @@ class WordTable:
         """New distinct hashes; they get the next codes in order."""
         codes = np.arange(self.size, self.size + len(h), dtype=np.int32)
         self.size += len(h)
+        if 2 * self.size > len(self.hashes):
+            held = np.flatnonzero(self.hashes)
+            h, codes = np.concatenate((self.hashes[held], h)), np.concatenate((self.codes[held], codes))
+            self._clear((2 * self.size - 1).bit_length())
         at = h & self.mask
         while len(h):
             free = self.hashes[at] == 0
