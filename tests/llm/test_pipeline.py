@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm import brute
 from textloom.llm import mixing, sharding
@@ -42,3 +44,42 @@ def test_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def odd_rows(spark, texts):
+    """Rows (doc_id, text, source) as a documents table."""
+    return spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+
+
+def contents(docs):
+    return Counter((r["doc_id"], r["text"], r["source"]) for r in docs.collect())
+
+
+def prose(name):
+    return " ".join(f"{name}{i}" for i in range(30))
+
+
+def test_language_keeps_null_and_repeated_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    some = docs.withColumn("doc_id", F.when(docs.doc_id % 3 == 0, None).otherwise(docs.doc_id % 5))
+    whole, odd = (Counter(r["text"] for r in corpus_pipeline.language_stage(spark, x, SF).collect()) for x in (docs, some))
+    assert sum(odd.values()) >= 0.98 * docs.count() and sum(whole.values()) >= 0.98 * docs.count()
+
+
+def test_near_copies_with_null_and_repeated_ids(spark):
+    a, b, c = prose("a"), prose("b"), prose("c")
+    docs = odd_rows(spark, [(7, a, "x"), (7, a, "x"), (7, b, "x"), (None, b, "y"), (None, c, "y"), (None, c, "y")])
+    assert contents(corpus_pipeline.near_copy_stage(spark, docs, SF)) == Counter([(7, a, "x"), (7, b, "x"), (None, c, "y")])
+
+
+def test_leaks_with_null_and_repeated_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    rows = [(7, prose("a"), "x"), (7, f"x {item}", "x"), (None, prose("b"), "y"), (None, f"y {item}", "y")]
+    assert contents(corpus_pipeline.benchmark_stage(spark, odd_rows(spark, rows), SF)) == Counter([rows[0], rows[2]])
+
+
+def test_mix_with_null_and_repeated_ids(spark):
+    rows = [(i, prose(f"{s}{i}n{j}"), s) for s in "xyz" for i in (7, None) for j in range(20)]
+    got = contents(corpus_pipeline.mixing_stage(spark, odd_rows(spark, rows), SF))
+    assert set(got) <= set(rows) and max(got.values()) <= 2
+    assert abs(sum(got.values()) - 1.5 * len(rows)) <= 3 and any(r[0] is None for r in got)
