@@ -85,13 +85,15 @@ def test_token_output_repeated_ids_and_empty(spark):
     assert token_output.token_output(table(spark, []), path).count() == 0
 
 
-def test_word_table_grows():
-    words = token_output.WordTable(bits=3)
-    h = np.random.default_rng(1).permutation(np.arange(1, 5001)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for lo, hi in ((0, 3), (3, 9), (9, 4000)):
-        words.add(h[lo:hi])
-        assert 2 * words.size <= len(words.hashes)
-    assert (words.find(h) == np.where(np.arange(5000) < 4000, np.arange(5000), -1)).all()
+def test_encoder_forgets_rare_words(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_output, "CACHE_WORDS", 50)
+    encoder = token_output.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    for lo in (0, 60, 30, 0, 200):
+        text = " ".join(f"w{i} x{i % 7}" for i in range(lo, lo + 80))
+        ids, cut = encoder(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))
+        assert ids.tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids and cut.tolist() == [0, len(ids)]
 
 
 # --- sharding --------------------------------------------------------------------
@@ -315,3 +317,66 @@ def test_quality_verdict_and_text(spark):
     assert [got[i]["kept"] for i in range(3)] == [True, True, False]
     assert got[1]["clean_text"] == good
     assert quality.clean(table(spark, [])).count() == 0
+
+
+# --- identity of words, lines and shingles ------------------------------------------------
+
+
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_are_told_apart(spark, n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    a, b = thue_morse(n)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids_crc32"] for r in token_output.token_output(table(spark, [a, b, f"{a} {b}"]), path).collect()}
+    for i, text in enumerate((a, b, f"{a} {b}")):
+        assert got[i] == zlib.crc32(np.array([*plain.encode(text, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    lines = quality.clean(table(spark, [f"{a}\n{b}", f"{a}\n{a}", f"{a} x y {b} x y"])).collect()
+    assert [(r["n_dup_lines"], r["n_repeat_words"]) for r in sorted(lines, key=lambda r: r["doc_id"])] == [(0, 0), (1, 0), (0, 0)]
+    sets = ngram_join.ngram_join(table(spark, [f"{a} q r s t", f"{b} q r s t", "".join("xy "[c == "b"] for c in a)])).collect()
+    assert {r["component_id"] for r in sets} == {0, 1, 2}
+    some = list(enumerate([" ".join([x, *(f"w{i}" for i in range(19))]) for x in (a, b, a)]))
+    got = {r["doc_id"]: tuple(r)[1:4] for r in substring_dedup.substring_dedup(table(spark, [t for _, t in some])).collect()}
+    assert got == brute.substring_dedup(some)
+    some = [(0, a + "-" + b), (1, b + "+" + a)]
+    got = {r["doc_id"]: tuple(r)[1:5] for r in suffix_array_dedup.suffix_array_dedup(table(spark, [t for _, t in some])).collect()}
+    assert got == brute.suffix_array_dedup(some)
+
+
+def test_spans_hash_apart():
+    from textloom.llm.windows import SpanHash
+
+    rng = np.random.default_rng(3)
+    items = np.concatenate((rng.integers(0, 3, 3000), np.tile([1, 2, 1, 1], 200))).astype(np.uint64)
+    hashes = SpanHash(items)
+    start = rng.integers(0, len(items) - 40, 4000)
+    end = start + rng.integers(1, 40, 4000)
+    h = hashes.spans(start, end)
+    seen = {}
+    for s, e, x in zip(start, end, h):
+        assert seen.setdefault(int(x), tuple(items[s:e])) == tuple(items[s:e])
+    assert len(seen) == len({tuple(items[s:e]) for s, e in zip(start, end)})
+
+
+def test_ngram_join_of_a_large_family(spark):
+    rng = random.Random(11)
+    base = [f"v{rng.randrange(5000)}" for _ in range(120)]
+    texts = []
+    for _ in range(700):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(120)] = f"e{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts += [f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 9, 12]))) for _ in range(120)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_join(table(spark, texts), ngram_join.Link(flush=9_000, lot_rows=100)).collect()}
+    assert got == brute.ngram_join(list(enumerate(texts)))

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
@@ -18,9 +19,11 @@ CHUNK_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a local one."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode, if that is unset, one of its own."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="textloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -119,5 +122,33 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(starts, offsets)
 
 
-def record_batch(columns: dict[str, object]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(code of every span, distinct spans): spans have one code exactly if their bytes are equal.
+
+    Spans ascend, hold a byte at least and do not overlap.
+    """
+    step = np.zeros(len(data) + 1, np.int8)
+    step[starts] += 1
+    step[ends] -= 1
+    packed = data[np.cumsum(step[:-1], dtype=np.int8).view(bool)]
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    kind, width = (pa.binary(), np.int32) if len(packed) < 1 << 31 else (pa.large_binary(), np.int64)
+    found = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(bounds.astype(width)), pa.py_buffer(packed)]).dictionary_encode()
+    return found.indices.to_numpy(zero_copy_only=False), found.dictionary
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit digest of every word, taken once per distinct word."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    codes, words = span_codes(data, starts, ends)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), np.uint64, len(words))[codes]
+
+
+def parts_of(df: DataFrame, each: int = 32 << 20) -> int:
+    """Tasks for a shuffle of the texts of ``df``: by the size of the files it scans, at least as many as the session asks for."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # a source that cannot tell its size names the largest number
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), known // each)

@@ -1,29 +1,37 @@
 """Exact n-gram Jaccard join: size-banded tiles, hashed bitmaps, sorted-array intersection.
 
-Equal shingle sets are one *class*; only classes are compared.  Two classes
-link when 100 * |A and B| >= percent * |A or B|; 85 percent below.
-
-Candidates.  A link of A misses at most d = |A| - ceil(0.85 |A|) of A's
-shingles, so any d + 1 shingles of A hold one that every partner has.  A class
-exposes the shingles whose hash lies under a bound that shrinks with its size;
-the bound is the same for all sizes that can link, so partners expose it too.
-Shingles are grouped: a group of up to TILE classes is one tile, whose pairs of
-fitting size are candidates.  Larger groups ("hot" shingles: passages that many
-documents share, families of near copies) are cut into size bands, and each
-class is paired with its band's leader and the next lower band's; these links
-come first, and a tile's pairs that they connect are not compared.  A class with
-d + 1 shingles in groups that are not hot has met all its partners; only links
-between two classes that lack them (*loose* ones) can be missing.
-
-Loose classes.  1 - Jaccard is a metric.  Each loose class that links to a
-leader lies within 0.15 of it, so the classes of two leaders can link only if
-the leaders are within 0.45: leaders and unlinked loose classes meet in
-size-banded tiles under that weaker bound, and the members of those that pass
-and are not connected already meet in tiles of their own.
+Equal shingle sets are one *class*, named by 128 bits of its set; only classes
+are compared.  Two classes link when 100 * |A and B| >= percent * |A or B|; 85
+percent below.  A link of A misses at most d = |A| - ceil(0.85 |A|) of A's
+shingles, so any d + 1 shingles of A hold one that every partner has.
+
+Round 1, all classes.  A class exposes the shingles whose hash lies under a bound
+that shrinks with its size; the bound is the same for all sizes that can link,
+so partners expose it too.  The classes of one shingle are a tile if there are
+at most TILE; its pairs of fitting size are candidates.  Larger groups are *hot*
+and only counted.  A class with d + 1 exposed shingles that are not hot has met
+all its partners; only links between two classes that lack them (*loose* ones)
+can be missing.
+
+Round 2, loose classes among themselves.  They expose all their shingles.  Hot
+groups (families of near copies, passages that many share) are cut into size
+bands, and each class is paired with its band's leader and the next lower
+band's; those links come first, and pairs that they connect are not compared.
+Still open are classes that consist of hot shingles but for d or fewer (*dense*).
+
+Round 3, dense classes.  1 - Jaccard is a metric: a class lies within 0.15 of
+its hub (a partner), so classes of two hubs can link only if the hubs are within
+0.45.  Hubs meet in size-banded tiles under that bound; the members of those
+that pass, and are not connected yet, meet in tiles with their sorted arrays and
+give a spanning forest of the links found there, not all of them.
 
 Every candidate passes the bitmaps first: a bit that A has and B lacks is a
 shingle (at least one) that A has and B lacks, which bounds the overlap from
 above.  What is left is settled by intersecting the sorted arrays.
+
+No shingle's rows meet in one task unthinned: a map task that holds more than
+TILE classes of a shingle knows it as hot, ships TILE + 1 of them and the
+leaders, and counts the others itself.
 """
 
 from __future__ import annotations
@@ -33,20 +41,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.llm.common import named, row_chunks, rowed, strings, word_spans, written
-from textloom.llm.windows import U64, _BASE_A, RollingHash, mix
+from textloom.llm.common import named, parts_of, row_chunks, rowed, strings, word_hashes, word_spans, written
+from textloom.llm.windows import U64, SpanHash, mix
 
-#: Classes of one tile; a shingle group beyond it is cut by size bands.
+#: Classes of one tile; a larger shingle group is hot.
 TILE = 24
 #: Least width of a bitmap.
 MIN_BITS = 512
+#: Exposed shingles a map task holds before it packs them.
 FLUSH = 1_000_000
 #: Leaders a class is compared with.
 LEADERS = 2
 #: Members of a hub that one task compares.
 HUB_LOT = 256
+#: Bounds of one lot of a size band in round 3: rows, and shingles in all.
+LOT_ROWS, LOT_ITEMS = 2_000, 1_000_000
 
 
 @dataclass(frozen=True)
@@ -56,26 +67,31 @@ class Link:
     percent: int = 85
     shingle: int = 4
     tile: int = TILE
+    flush: int = FLUSH
+    lot_rows: int = LOT_ROWS
 
     @property
     def base(self) -> float:
         """Share of a large set's shingles that it exposes: what it must, and a little more."""
         return 0.02 + (100 - self.percent) / 100
 
+    @property
+    def least(self) -> float:
+        return self.percent / 100
+
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all documents back to back, document bounds)."""
     folded = np.where((data >= 0x41) & (data <= 0x5A), data | 0x20, data).astype(np.uint8)
     starts, ends, first = word_spans(folded, offsets)
-    words = RollingHash(folded, _BASE_A).spans(starts, ends)
     docs = len(offsets) - 1
     count = np.diff(first)
-    rolling = RollingHash(words, _BASE_A)
+    hashes = SpanHash(word_hashes(folded, starts, ends))
     doc_of = np.repeat(np.arange(docs), count)
-    grams = rolling.grams(n)
+    grams = hashes.grams(n)
     inside = doc_of[: len(grams)] == doc_of[n - 1 :] if len(grams) else np.zeros(0, bool)
     short = np.flatnonzero((count > 0) & (count < n))  # the whole sequence is the only shingle
-    h = np.concatenate((grams[inside], mix(rolling.spans(first[short], first[short + 1]) + count[short].astype(U64))))
+    h = np.concatenate((grams[inside], mix(hashes.spans(first[short], first[short + 1]) + count[short].astype(U64))))
     doc = np.concatenate((doc_of[: len(grams)][inside], short))
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -120,159 +136,223 @@ def folded(bits: bytes, size: int) -> int:
     return x
 
 
-_TOKEN = np.dtype([("token", "<u8"), ("ref", "<i8"), ("n", "<i4")])
-_PACKED = "bucket int, token binary, ref binary, n binary, a bigint, rid bigint, size int, total int, bits binary"
+# --- rounds 1 and 2: tiles of shingles ---------------------------------------------
+
+_REF = np.dtype([("hi", "<u8"), ("lo", "<u8")])
+_TOKEN = np.dtype([("token", "<u8"), ("ref", _REF), ("n", "<i4")])
+_TOKENS, _SET, _PAIR, _HOT, _STAR = range(5)
+_FOUND = "kind int, a binary, b binary, n int, rid bigint, total int, bits binary"
+_MET = pa.schema([("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("n", pa.int32()), ("rid", pa.int64()), ("total", pa.int32()), ("bits", pa.binary())])
+_SENT = pa.schema([("bucket", pa.int32()), ("packed", pa.binary()), *_MET])
+
+
+def _refs(x: np.ndarray) -> pa.Array:
+    """As 16 bytes, most significant first, so that they order like the numbers."""
+    raw = np.stack((x["hi"], x["lo"]), axis=1).astype(">u8")
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.arange(0, 16 * len(x) + 1, 16, dtype=np.int32)), pa.py_buffer(raw)])
+
+
+def _rows(schema: pa.Schema, m: int, **columns) -> pa.RecordBatch:
+    """m rows; columns that are not given are null."""
+    fill = lambda f: pa.nulls(m, f.type) if f.name not in columns else columns[f.name] if isinstance(columns[f.name], pa.Array) else pa.array(columns[f.name], f.type)
+    return pa.RecordBatch.from_arrays([fill(f) for f in schema], schema=schema)
+
+
+def _numbered(ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct refs in order, number of each row's ref)."""
+    hi, lo = ref["hi"].astype(U64), ref["lo"].astype(U64)
+    order = np.lexsort((lo, hi))
+    head = np.ones(len(ref), bool)
+    head[1:] = (hi[order][1:] != hi[order][:-1]) | (lo[order][1:] != lo[order][:-1])
+    code = np.empty(len(ref), np.int64)
+    code[order] = np.cumsum(head) - 1
+    return ref[order][head], code
+
+
+def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    fresh &= a != b
+    return a[fresh], b[fresh]
+
+
+def _groups(token: np.ndarray, tile: int) -> np.ndarray:
+    """Rows of sorted tokens -> size of each row's group."""
+    head = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(token)))
+    return np.repeat(size, size)
 
 
-def _expose(keyed: DataFrame, buckets: int, link: Link) -> DataFrame:
+def _stars(token: np.ndarray, code: np.ndarray, n: np.ndarray, link: Link) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of hot groups -> (whether a row leads its size band, (class, leader, shingles that say so))."""
+    none = np.zeros(0, np.int64)
+    if not len(token):
+        return np.zeros(0, bool), (none, none, none)
+    band = (np.log(n) / -np.log(link.least)).astype(np.int64)
+    order = np.lexsort((code, band, token))
+    token, code, band = token[order], code[order], band[order]
+    head = np.concatenate(([True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])))
+    start = np.flatnonzero(head)
+    which = np.cumsum(head) - 1
+    leader = code[start]
+    below = np.maximum(which - 1, 0)
+    near = (which > 0) & (token[start[below]] == token) & (band[start[below]] == band - 1)
+    member, leads = np.concatenate((code, code[near])), np.concatenate((leader[which], leader[below[near]]))
+    by = np.lexsort((leads, member))
+    member, leads = member[by], leads[by]
+    first = np.flatnonzero(np.concatenate(([True], (member[1:] != member[:-1]) | (leads[1:] != leads[:-1]))))
+    times = np.diff(np.append(first, len(member)))
+    other = member[first] != leads[first]
+    mask = np.zeros(len(head), bool)
+    mask[order] = head
+    return mask, (member[first][other], leads[first][other], times[other])
+
+
+def _own(token: np.ndarray, n: np.ndarray, link: Link, whole: bool) -> np.ndarray:
+    return np.ones(len(token), bool) if whole else _under(token, _bound(n.astype(np.int64), link))
+
+
+def _tell_hot(refs: np.ndarray, token: np.ndarray, code: np.ndarray, n: np.ndarray, link: Link, whole: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of hot groups -> how many of its own shingles are hot, per class."""
+    cls, times = np.unique(code[_own(token, n, link, whole)], return_counts=True)
+    yield _rows(schema, len(cls), kind=np.full(len(cls), _HOT, np.int32), a=_refs(refs[cls]), n=times.astype(np.int32))
+
+
+def _tell_stars(refs: np.ndarray, stars: tuple[np.ndarray, np.ndarray, np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    member, leader, times = stars
+    yield _rows(schema, len(member), kind=np.full(len(member), _STAR, np.int32), a=_refs(refs[member]), b=_refs(refs[leader]), n=times.astype(np.int32))
+
+
+def _thinned(rows: np.ndarray, link: Link, whole: bool) -> Iterator[np.ndarray | pa.RecordBatch]:
+    """Rows of one flush -> rows to ship; what is known of those kept back."""
+    rows = rows[np.argsort(rows["token"], kind="stable")]
+    size = _groups(rows["token"], link.tile)
+    hot = np.flatnonzero(size > link.tile + 1)
+    if not len(hot):
+        yield rows
+        return
+    refs, code = _numbered(rows["ref"][hot])
+    token, n = rows["token"][hot], rows["n"][hot]
+    leads, stars = _stars(token, code, n, link)
+    head = np.concatenate(([True], token[1:] != token[:-1]))
+    place = np.arange(len(hot)) - np.maximum.accumulate(np.where(head, np.arange(len(hot)), 0))
+    back = ~leads & (place > link.tile)
+    yield from _tell_hot(refs, token[back], code[back], n[back], link, whole, _SENT)
+    if whole:
+        yield from _tell_stars(refs, stars, _SENT)
+    keep = np.ones(len(rows), bool)
+    keep[hot[back]] = False
+    yield rows[keep]
+
+
+def _expose(keyed: DataFrame, buckets: int, link: Link, whole: bool) -> DataFrame:
     """Per document one row (class, size, bitmap), and exposed shingles packed by bucket."""
 
     def pack(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        rows = np.concatenate(held)
-        where = (mix(rows["token"]) % U64(buckets)).astype(np.int32)
-        order = np.lexsort((rows["ref"], where))
-        rows, where = rows[order], where[order]
-        cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(rows)])) if len(rows) else np.zeros(1, np.int64)
-        heads = cut[:-1].tolist()
-        spans = list(zip(heads, cut[1:].tolist(), strict=True))
-        if spans:
-            m = len(spans)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(where[heads], pa.int32()), **{c: pa.array([rows[c][lo:hi].tobytes() for lo, hi in spans], pa.binary()) for c in _TOKEN.names}, **{c: pa.nulls(m, t) for c, t in (("a", pa.int64()), ("rid", pa.int64()), ("size", pa.int32()), ("total", pa.int32()), ("bits", pa.binary()))}})
+        for got in _thinned(np.concatenate(held), link, whole):
+            if isinstance(got, pa.RecordBatch):
+                yield got.set_column(0, "bucket", pa.array(np.arange(got.num_rows) % buckets, pa.int32()))
+                continue
+            where = (mix(got["token"].astype(U64)) % U64(buckets)).astype(np.int32)
+            order = np.argsort(where, kind="stable")
+            got, where = got[order], where[order]
+            cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(got)])) if len(got) else np.zeros(1, np.int64)
+            if len(cut) > 1:
+                lots = [got[lo:hi] for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
+                # column by column: equal and small values then compress well in the shuffle
+                packed = [b"".join(x[c].tobytes() for c in _TOKEN.names) for x in lots]
+                yield _rows(_SENT, len(lots), bucket=where[cut[:-1]], kind=np.full(len(lots), _TOKENS, np.int32), packed=packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size, seen = 0, set()
         for batch in batches:
-            rids = batch.column(0).to_numpy(zero_copy_only=False)
+            rids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = strings(batch.column(1))
             for lo, hi in row_chunks(offsets):
                 h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], link.shingle)
-                n = np.diff(bounds)
-                sums = np.zeros(len(h) + 1, U64)
-                np.cumsum(mix(h + U64(0x2545F491)), out=sums[1:])
-                ref = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ n.astype(U64)).astype(np.int64)
-                ref[n == 0] = 0
-                doc = np.repeat(np.arange(hi - lo), n)
-                total = np.bincount(doc, weights=_under(h, _bound(n, link)[doc]), minlength=hi - lo).astype(np.int32)
-                new = np.zeros(hi - lo, bool)  # equal sets expose once
+                m, n = hi - lo, np.diff(bounds)
+                ref = np.zeros(m, _REF)
+                for name, salt in (("hi", U64(0x2545F491)), ("lo", U64(0x9E6C63D0))):
+                    sums = np.zeros(len(h) + 1, U64)
+                    np.cumsum(mix(h ^ salt), out=sums[1:])
+                    ref[name] = np.where(n > 0, mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ n.astype(U64)), U64(0))
+                doc = np.repeat(np.arange(m), n)
+                total = np.bincount(doc, weights=_own(h, n[doc], link, whole), minlength=m).astype(np.int32)
+                new = np.zeros(m, bool)  # equal sets expose once
                 for i, r in enumerate(ref.tolist()):
                     if r not in seen and n[i]:
                         seen.add(r)
                         new[i] = True
                 bits = bitmaps(h, bounds)
-                m = hi - lo
-                yield pa.RecordBatch.from_pydict({"bucket": pa.array((mix(rids[lo:hi].astype(np.int64).view(U64)) % U64(buckets)).astype(np.int32)), **{c: pa.nulls(m, pa.binary()) for c in _TOKEN.names}, "a": ref, "rid": rids[lo:hi].astype(np.int64), "size": n.astype(np.int32), "total": total, "bits": pa.array([bits[i] if new[i] else None for i in range(m)], pa.binary())})
-                shown = new[doc] & _under(h, _bound(link.percent * n // 100, link)[doc])
+                yield _rows(_SENT, m, bucket=(mix(rids[lo:hi].view(U64)) % U64(buckets)).astype(np.int32), kind=np.full(m, _SET, np.int32), a=_refs(ref), n=n.astype(np.int32), rid=rids[lo:hi], total=total, bits=[bits[i] if new[i] else None for i in range(m)])
+                shown = new[doc] & (True if whole else _under(h, _bound(link.percent * n // 100, link)[doc]))
                 rows = np.zeros(int(shown.sum()), _TOKEN)
                 rows["token"], rows["ref"], rows["n"] = h[shown], ref[doc[shown]], n[doc[shown]]
                 held.append(rows)
                 size += len(rows)
-                if size >= FLUSH:
+                if size >= link.flush:
                     yield from pack(held)
                     held, size, seen = [], 0, set()
         if held:
             yield from pack(held)
 
-    return keyed.select("rid", "text").mapInArrow(run, _PACKED)
-
-
-_FOUND = "kind int, a bigint, b bigint, n int, total int, bits binary"
-_SET, _PAIR, _HOT, _STAR = 0, 1, 2, 3
-
-
-def _fit(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * np.minimum(n, m).astype(np.int64) >= percent * np.maximum(n, m).astype(np.int64)
-
-
-def _unique_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b = a[order], b[order]
-    fresh = np.ones(len(a), bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    fresh &= a != b
-    return a[fresh], b[fresh]
-
-
-def _counted(member: np.ndarray, leader: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (member, leader) rows and how often each occurs; none leads itself."""
-    order = np.lexsort((leader, member))
-    member, leader = member[order], leader[order]
-    head = np.flatnonzero(np.concatenate(([True], (member[1:] != member[:-1]) | (leader[1:] != leader[:-1]))))
-    times = np.diff(np.append(head, len(member)))
-    other = member[head] != leader[head]
-    return member[head][other], leader[head][other], times[other]
-
-
-Pairs = tuple[np.ndarray, ...]
-
-
-def tiles(rows: np.ndarray, link: Link) -> tuple[Pairs, Pairs, Pairs]:
-    """Pairs within tiles, (class, leader, hot shingles that say so), and (class, number of its hot own shingles)."""
-    tile = link.tile
-    order = np.lexsort((rows["ref"], rows["token"]))
-    rows = rows[order]
-    fresh = np.ones(len(rows), bool)
-    fresh[1:] = (rows["token"][1:] != rows["token"][:-1]) | (rows["ref"][1:] != rows["ref"][:-1])
-    rows = rows[fresh]
-    head = np.flatnonzero(np.concatenate(([True], rows["token"][1:] != rows["token"][:-1]))) if len(rows) else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, len(rows)))
-    of = np.repeat(size, size)
-    left, right, member, leads = [], [], [], []
-    small = rows[(of > 1) & (of <= tile)]
-    for d in range(1, tile):
-        same = small["token"][d:] == small["token"][:-d]
+    return keyed.select("rid", "text").mapInArrow(run, "bucket int, packed binary, " + _FOUND)
+
+
+def tiles(rows: np.ndarray, link: Link, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs within tiles, stars of hot groups (if whole), and how many own shingles of a class are hot."""
+    refs, code = _numbered(rows["ref"])
+    order = np.lexsort((code, rows["token"]))
+    token, code, n = rows["token"][order], code[order], rows["n"][order].astype(np.int64)
+    fresh = np.ones(len(token), bool)
+    fresh[1:] = (token[1:] != token[:-1]) | (code[1:] != code[:-1])
+    token, code, n = token[fresh], code[fresh], n[fresh]
+    of = _groups(token, link.tile)
+    small = (of > 1) & (of <= link.tile)
+    t, c, m = token[small], code[small], n[small]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for d in range(1, link.tile):
+        same = t[d:] == t[:-d]
         if not same.any():
             break
-        same &= _fit(small["n"][d:], small["n"][:-d], link.percent)
-        left.append(small["ref"][:-d][same])
-        right.append(small["ref"][d:][same])
-    hot = rows[of > tile]
-    if len(hot):
-        band = (np.log(hot["n"]) / -np.log(link.percent / 100)).astype(np.int64)
-        order = np.lexsort((hot["ref"], band, hot["token"]))
-        hot, band = hot[order], band[order]
-        start = np.flatnonzero(np.concatenate(([True], (hot["token"][1:] != hot["token"][:-1]) | (band[1:] != band[:-1]))))
-        which = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(hot))))
-        leader = hot["ref"][start]
-        member.append(hot["ref"])
-        leads.append(leader[which])
-        below = np.maximum(which - 1, 0)
-        near = (which > 0) & (hot["token"][start[below]] == hot["token"]) & (band[start[below]] == band - 1)
-        member.append(hot["ref"][near])
-        leads.append(leader[below[near]])
-    none = np.zeros(0, np.int64)
-    pairs = _unique_pairs(np.concatenate(left), np.concatenate(right)) if left else (none, none)
-    stars = _counted(np.concatenate(member), np.concatenate(leads)) if member else (none, none, none)
-    own = hot[_under(hot["token"], _bound(hot["n"].astype(np.int64), link))]
-    return pairs, stars, np.unique(own["ref"], return_counts=True)
+        same &= 100 * np.minimum(m[d:], m[:-d]) >= link.percent * np.maximum(m[d:], m[:-d])
+        left.append(c[:-d][same])
+        right.append(c[d:][same])
+    a, b = _unique_pairs(np.concatenate(left), np.concatenate(right))
+    yield _rows(_MET, len(a), kind=np.full(len(a), _PAIR, np.int32), a=_refs(refs[a]), b=_refs(refs[b]))
+    hot = of > link.tile
+    yield from _tell_hot(refs, token[hot], code[hot], n[hot], link, whole, _MET)
+    if whole:
+        yield from _tell_stars(refs, _stars(token[hot], code[hot], n[hot], link)[1], _MET)
+
+
+def _meet(keyed: DataFrame, link: Link, whole: bool) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots: list[np.ndarray] = []
+        for batch in batches:
+            packed = batch.column(1)
+            for raw in packed.drop_null().to_pylist():
+                m = len(raw) // _TOKEN.itemsize
+                rows, at = np.zeros(m, _TOKEN), 0
+                for c in _TOKEN.names:
+                    rows[c] = np.frombuffer(raw, _TOKEN[c], m, at)
+                    at += m * _TOKEN[c].itemsize
+                lots.append(rows)
+            told = batch.filter(packed.is_null())
+            if told.num_rows:
+                yield pa.RecordBatch.from_arrays(told.columns[2:], schema=_MET)
+        if lots:
+            yield from tiles(np.concatenate(lots), link, whole)
 
+    parts = parts_of(keyed)
+    return _expose(keyed, 4 * parts, link, whole).repartition(parts, F.col("bucket")).mapInArrow(run, _FOUND)
 
-def _meet(exposed: DataFrame, link: Link) -> DataFrame:
-    def rows_of(kind: int, a, b=None, n=None, total=None, bits=None) -> pa.RecordBatch:
-        m = len(a)
-        fill = lambda x, t: pa.nulls(m, t) if x is None else (x if isinstance(x, pa.Array) else pa.array(x, t))
-        return pa.RecordBatch.from_pydict({"kind": pa.array(np.full(m, kind, np.int32)), "a": fill(a, pa.int64()), "b": fill(b, pa.int64()), "n": fill(n, pa.int32()), "total": fill(total, pa.int32()), "bits": fill(bits, pa.binary())})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[str, list[bytes]] = {c: [] for c in _TOKEN.names}
-        for batch in batches:
-            token = batch.column(1).is_valid()
-            packed, sets = batch.filter(token), batch.filter(batch.column(1).is_null())
-            for i, c in enumerate(_TOKEN.names, 1):
-                parts[c] += packed.column(i).to_pylist()
-            if sets.num_rows:
-                yield rows_of(_SET, sets.column(4), sets.column(5), sets.column(6), sets.column(7), sets.column(8))
-        columns = {c: np.frombuffer(b"".join(p), _TOKEN[c]) for c, p in parts.items()}
-        rows = np.zeros(len(columns["token"]), _TOKEN)
-        for c, x in columns.items():
-            rows[c] = x
-        pairs, stars, (cls, times) = tiles(rows, link)
-        yield rows_of(_PAIR, *pairs)
-        yield rows_of(_STAR, stars[0], stars[1], stars[2].astype(np.int32))
-        yield rows_of(_HOT, cls, None, times.astype(np.int32))
-
-    return exposed.repartition(F.col("bucket")).mapInArrow(run, _FOUND)
+# --- bitmaps and intersection ---------------------------------------------------------
 
 
 def may_link(x: int, y: int, n: int, m: int, jaccard: float) -> bool:
@@ -287,16 +367,19 @@ def _screen(pairs: DataFrame, classes: DataFrame, link: Link) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"a": [], "b": []}
-            for a, b, n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            good = []
+            for n, m, x, y in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
                 size = min(len(x), len(y))
-                if 100 * min(n, m) >= link.percent * max(n, m) and may_link(folded(x, size), folded(y, size), n, m, link.percent / 100):
-                    out["a"].append(a)
-                    out["b"].append(b)
-            yield pa.RecordBatch.from_pydict({c: pa.array(v, pa.int64()) for c, v in out.items()})
+                good.append(100 * min(n, m) >= link.percent * max(n, m) and may_link(folded(x, size), folded(y, size), n, m, link.least))
+            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
+def _common(x: np.ndarray, y: np.ndarray) -> int:
+    """Items that two sorted arrays share."""
+    return int(np.count_nonzero(x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y))
 
 
 def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, link: Link) -> DataFrame:
@@ -320,10 +403,13 @@ def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, link: Link)
             edges, flat = np.asarray(lists.offsets), lists.values
             for lo, hi in row_chunks(offsets):
                 h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], link.shingle)
-                doc = np.repeat(np.arange(hi - lo), np.diff(edges[lo : hi + 1]))
-                raw = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
-                use = flat.slice(edges[lo], edges[hi] - edges[lo])
-                yield pa.RecordBatch.from_arrays([use.field(0), use.field(1), use.field(2), pa.array([raw[i] for i in doc.tolist()], pa.binary())], names=["a", "lot", "ref", "items"])
+                for i in range(hi - lo):  # a hub's array goes out once per lot
+                    raw = h[bounds[i] : bounds[i + 1]].tobytes()
+                    use = flat.slice(edges[lo + i], edges[lo + i + 1] - edges[lo + i])
+                    step = max(1, (8 << 20) // max(1, len(raw)))
+                    for at in range(0, len(use), step):
+                        some = use.slice(at, step)
+                        yield pa.RecordBatch.from_arrays([some.field(0), some.field(1), some.field(2), pa.array([raw] * len(some), pa.binary())], names=["a", "lot", "ref", "items"])
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, hub_items = None, np.zeros(0, U64)
@@ -335,19 +421,21 @@ def _verify(keyed: DataFrame, classes: DataFrame, pairs: DataFrame, link: Link)
                     at, hub_items = (a, lot), mine
                     continue
                 assert at == (a, lot)
-                place = np.minimum(np.searchsorted(hub_items, mine), len(hub_items) - 1)
-                both = int(np.count_nonzero(hub_items[place] == mine))
+                both = _common(hub_items, mine)
                 either = len(mine) + len(hub_items) - both
                 if 100 * both >= link.percent * either:
                     out["a"].append(a)
                     out["b"].append(ref)
                     out["jaccard"].append(both / either)
             if out["a"]:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64()), "jaccard": pa.array(out["jaccard"], pa.float64())})
+                yield pa.RecordBatch.from_pydict({"a": pa.array(out["a"], pa.binary()), "b": pa.array(out["b"], pa.binary()), "jaccard": pa.array(out["jaccard"], pa.float64())})
 
-    lot_rows = joined.mapInArrow(arrays, "a bigint, lot int, ref bigint, items binary").repartition(F.col("a"), F.col("lot"))
+    lot_rows = joined.mapInArrow(arrays, "a binary, lot int, ref binary, items binary").repartition(F.col("a"), F.col("lot"))
     ordered = lot_rows.sortWithinPartitions("a", "lot", F.col("ref") != F.col("a"))
-    return written(ordered.mapInArrow(intersect, "a bigint, b bigint, jaccard double"))
+    return written(ordered.mapInArrow(intersect, "a binary, b binary, jaccard double"))
+
+
+# --- components ------------------------------------------------------------------------
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
@@ -364,7 +452,7 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         step = label.join(spread, "ref", "left").select("ref", F.least("component", F.coalesce("near", "component")).alias("c"), F.col("component").alias("old"))
         jump = label.select(F.col("ref").alias("c"), F.col("component").alias("far"))
         label = written(step.join(jump, "c", "left").select("ref", F.least("c", F.coalesce("far", "c")).alias("component"), "old"))
-        if label.where("component != old").limit(1).count() == 0:
+        if not label.where("component != old").take(1):
             break
         label = label.select("ref", "component")
     else:
@@ -372,116 +460,183 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
     return label.select("ref", "component")
 
 
-#: Loose classes of one tile.
-TILE_ROWS = 2_000
+def _hubs(links: DataFrame) -> DataFrame:
+    """(ref, component): a class that ref reaches in two steps or fewer, each to the smallest partner."""
+    both = links.select(F.col("a").alias("ref"), F.col("b").alias("m")).union(links.select("b", "a"))
+    near = both.groupBy("ref").agg(F.min("m").alias("m")).select("ref", F.least("ref", "m").alias("hub"))
+    jump = near.select(F.col("ref").alias("hub"), F.col("hub").alias("far"))
+    return written(near.join(jump, "hub", "left").select("ref", F.coalesce("far", "hub").alias("component")))
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not connected yet."""
+    side = lambda x: labels.select(F.col("ref").alias(x), F.col("component").alias(f"c_{x}"))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
 
+# --- round 3: size-banded tiles of dense classes -------------------------------------------
 
-def _loose_pairs(loose: DataFrame, link: Link) -> DataFrame:
-    """Pairs of loose representatives whose bitmaps allow a link between their members.
 
-    loose: (ref, n, bits, component, radius).  Tiles hold TILE_ROWS rows of one
-    size band; a tile meets the tiles of bands it can fit, never all of them.
+def _banded(rows: DataFrame, link: Link, reach: int) -> DataFrame:
+    """``rows`` (ref, n, ...) once for each tile they belong to: cell (band, lot) against cell, with ``side``.
+
+    Sizes of a band differ by less than 2, and cells of bands further apart than
+    ``reach`` never meet.  The table of lots has a row per band, 32 at most.
     """
-    band = F.length(F.bin("n"))  # sizes of a band differ by less than 2
-    least = max(0.02, 3 * link.percent / 100 - 2)  # Jaccard of representatives at their largest radius
-    reach = int(np.ceil(-np.log2(least)))  # bands that such sizes can lie apart
-    tiled = written(loose.withColumn("band", band))
-    sizes = {r["band"]: r["k"] for r in tiled.groupBy("band").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("k")).collect()}
-    spark = loose.sparkSession
-    meet = [(f"{x}.{i}", y, j, 0 if (x, i) == (y, j) else side, p, q) for x in sizes for y in range(x, x + reach + 1) if y in sizes for i in range(sizes[x]) for j in range(sizes[y]) if (x, i) <= (y, j) for side, p, q in ((1, x, i), (2, y, j))]
-    rows = sorted({(p, q, f"{t}-{y}.{j}", s) for t, y, j, s, p, q in meet})
-    plan = spark.createDataFrame(rows or [(0, 0, "", 0)], "band int, tile int, task string, side int")
-    placed = tiled.withColumn("tile", F.pmod(F.xxhash64("ref"), F.element_at(F.create_map(*[F.lit(x) for kv in sizes.items() for x in kv]), F.col("band"))).cast("int")) if sizes else tiled.withColumn("tile", F.lit(0))
-    work = placed.join(F.broadcast(plan), ["band", "tile"]).select("task", "side", "ref", "n", "bits", "component", "radius")
+    banded = written(rows.withColumn("band", F.length(F.bin("n"))))
+    lots = banded.groupBy("band").agg(F.ceil(F.greatest(F.count("*") / link.lot_rows, F.sum("n") / LOT_ITEMS)).cast("int").alias("lots"))
+    lots = written(lots)
+    mine = banded.join(F.broadcast(lots), "band").withColumn("lot", F.pmod(F.xxhash64("ref"), F.col("lots")).cast("int")).drop("lots")
+    other = F.broadcast(lots.select(F.col("band").alias("_band"), F.col("lots").alias("_lots")))
+    met = mine.withColumn("_band", F.explode(F.sequence(F.col("band") - reach, F.col("band") + reach))).join(other, "_band").withColumn("_lot", F.explode(F.sequence(F.lit(0), F.col("_lots") - 1)))
+    here, there = F.struct(F.col("band").alias("band"), F.col("lot").alias("lot")), F.struct(F.col("_band").alias("band"), F.col("_lot").alias("lot"))
+    side: Column = F.when(here == there, 0).when(here < there, 1).otherwise(2)
+    return met.withColumn("first", F.least(here, there)).withColumn("second", F.greatest(here, there)).withColumn("side", side).drop("_band", "_lots", "_lot", "band", "lot")
+
+
+def _bit_bound(bits: np.ndarray, n: np.ndarray, i: int, some: np.ndarray) -> np.ndarray:
+    """Upper bounds of the overlap of set i with the others."""
+    only_i = np.bitwise_count(bits[i] & ~bits[some]).sum(axis=1, dtype=np.int64)
+    only_j = np.bitwise_count(bits[some] & ~bits[i]).sum(axis=1, dtype=np.int64)
+    return np.minimum(n[i] - only_i, n[some] - only_j)
+
+
+def _close_hubs(hubs: DataFrame, link: Link) -> DataFrame:
+    """Hubs (ref, n, bits, component, radius) that another component's may be near enough to."""
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
+        side, n, radius = (table.column(c).to_numpy() for c in ("side", "n", "radius"))
         raw = table.column("bits").to_pylist()
         size = min(map(len, raw))
         bits = np.array([np.frombuffer(folded(x, size).to_bytes(size, "little"), np.uint64) for x in raw])
-        ref, n, component, radius = (table.column(c).to_numpy() for c in ("ref", "n", "component", "radius"))
+        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         n = n.astype(np.int64)
-        first, second = np.flatnonzero(side != 2), np.flatnonzero(side != 1)
-        a_out, b_out = [], []
-        for i in first.tolist():
-            least = np.maximum(0.0, link.percent / 100 - radius[i] - radius[second])
-            ok = (component[second] != component[i]) & (ref[second] > ref[i] if side[i] == 0 else True)
+        close = np.zeros(len(n), bool)
+        second = np.flatnonzero(side != 1)
+        for i in np.flatnonzero(side != 2).tolist():
+            least = np.maximum(0.0, link.least - radius[i] - radius[second])
+            ok = (component[second] != component[i]) & ((second > i) if side[i] == 0 else True)
             ok &= np.minimum(n[second], n[i]) >= least * np.maximum(n[second], n[i]) - 1e-6
+            ok &= ~(close[second] & close[i])
             some, least = second[ok], least[ok]
             if len(some):
-                only_i = np.bitwise_count(bits[i] & ~bits[some]).sum(axis=1, dtype=np.int64)
-                only_j = np.bitwise_count(bits[some] & ~bits[i]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(n[i] - only_i, n[some] - only_j)
-                hit = some[most * (1.0 + least) >= least * (n[i] + n[some]) - 1e-6]
-                a_out.append(np.full(len(hit), ref[i]))
-                b_out.append(ref[hit])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                hit = some[_bit_bound(bits, n, i, some) * (1.0 + least) >= least * (n[i] + n[some]) - 1e-6]
+                close[hit] = True
+                close[i] |= len(hit) > 0
+        return pa.table({"hub": table.column("ref").filter(pa.array(close))})
 
-    return work.groupBy("task").applyInArrow(compare, "a bigint, b bigint")
+    reach = int(np.ceil(-np.log2(max(0.02, 3 * link.least - 2))))
+    return _banded(hubs, link, reach).groupBy("first", "second").applyInArrow(compare, "hub binary").distinct()
 
 
-def _hubs(links: DataFrame) -> DataFrame:
-    """(ref, component): a class that ref reaches in two steps or fewer, each to the smallest partner."""
-    both = links.select(F.col("a").alias("ref"), F.col("b").alias("m")).union(links.select("b", "a"))
-    near = both.groupBy("ref").agg(F.min("m").alias("m")).select("ref", F.least("ref", "m").alias("hub"))
-    jump = near.select(F.col("ref").alias("hub"), F.col("hub").alias("far"))
-    return written(near.join(jump, "hub", "left").select("ref", F.coalesce("far", "hub").alias("component")))
+def _forest(members: DataFrame, link: Link) -> DataFrame:
+    """Links (a, b) that connect members (ref, n, cold, component, items) of different components.
 
+    A tile gives at most one link per two components that it joins.  Two classes
+    that share no cold shingle have all cold ones outside their overlap.
+    """
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    side = lambda x: labels.select(F.col("ref").alias(x), F.col("component").alias(f"c_{x}"))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+    def compare(table: pa.Table) -> pa.Table:
+        side, n, cold = (table.column(c).to_numpy().astype(np.int64) for c in ("side", "n", "cold"))
+        component = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy().copy()
+        refs, raw = table.column("ref").to_pylist(), table.column("items").to_pylist()
+        items = [np.frombuffer(x, U64) for x in raw]
+        wide = max(64, 1 << int(8 * n.max() - 1).bit_length())
+        flags = np.zeros((len(n), wide), bool)
+        for i, x in enumerate(items):
+            flags[i, (x & U64(wide - 1)).astype(np.int64)] = True
+        bits = np.packbits(flags, axis=1).view(np.uint64)
+        del flags
+        second = np.flatnonzero(side != 1)
+        a, b = [], []
+        for i in np.flatnonzero(side != 2).tolist():
+            ok = (component[second] != component[i]) & ((second > i) if side[i] == 0 else True)
+            both = n[second] + n[i]
+            ok &= 100 * np.minimum(n[second], n[i]) >= link.percent * np.maximum(n[second], n[i])
+            ok &= (cold[second] + cold[i]) * (1.0 + link.least) <= (1.0 - link.least) * both + 1e-6
+            some = second[ok]
+            if not len(some):
+                continue
+            some = some[_bit_bound(bits, n, i, some) * (1.0 + link.least) >= link.least * (n[i] + n[some]) - 1e-6]
+            for j in some.tolist():
+                if component[i] == component[j]:
+                    continue
+                shared = _common(items[i], items[j])
+                if 100 * shared >= link.percent * (n[i] + n[j] - shared):
+                    a.append(refs[i])
+                    b.append(refs[j])
+                    component[component == component[j]] = component[i]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
+    reach = int(np.ceil(-np.log2(link.least)))
+    found = _banded(members, link, reach).groupBy("first", "second").applyInArrow(compare, "a binary, b binary")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(None).cast("double").alias("jaccard")))
 
-def join(docs: DataFrame, link: Link = Link(), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keyed documents with ref and n_shingles, links between classes, components of classes)."""
-    keyed, _ = rowed(docs, id_col, text_col)
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(_meet(_expose(keyed, buckets, link), link), ["kind"])
-    sets = found.where(F.col("kind") == _SET).select(F.col("b").alias("rid"), F.col("a").alias("ref"), "n", "total", "bits")
-    hot = found.where(F.col("kind") == _HOT).groupBy("a").agg(F.sum("n").alias("hot"))
-    classes = sets.where("n > 0").groupBy("ref").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("total").alias("total"), F.max("bits").alias("bits"))
-    classes = classes.join(hot.withColumnRenamed("a", "ref"), "ref", "left")
-    short = F.col("total") - F.coalesce("hot", F.lit(0)) < F.col("n") - F.ceil(F.col("n") * link.percent / 100) + 1
-    classes = written(classes.select("ref", "rid", "n", "bits", short.alias("loose")))
-    # a class tries the leaders that most of its hot shingles name; which ones is a matter of speed alone
-    named_by = found.where(F.col("kind") == _STAR).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    best = named_by.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, LEADERS).alias("best"))
-    stars = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = _verify(keyed, classes, _screen(stars, classes, link), link)
-    # families are connected through their leaders now; pairs inside one need no further look
-    apart = _apart(found.where(F.col("kind") == _PAIR).select("a", "b").distinct(), _hubs(links))
-    links = links.unionByName(_verify(keyed, classes, _screen(apart, classes, link), link))
+
+def _dense_links(keyed: DataFrame, dense: DataFrame, links: DataFrame, link: Link) -> DataFrame | None:
+    """Links between dense classes (ref, rid, n, bits, cold) that no tile of shingles could show."""
     labels = components(links)
-    more = _loose_links(keyed, classes, links, labels, link)
-    if more is not None:
-        links = links.unionByName(more)
-        labels = components(links)
-    return sets.select("rid", "ref", F.col("n").cast("bigint").alias("n_shingles")), links, labels
+    ends = links.select(F.col("a").alias("hub"), F.col("b").alias("ref"), "jaccard").union(links.select(F.col("b"), F.col("a"), "jaccard"))
+    both = dense.select("ref").join(ends, "ref").join(dense.select(F.col("ref").alias("hub")), "hub", "left_semi").where("hub < ref")
+    near = both.groupBy("ref").agg(F.min(F.struct("hub", "jaccard")).alias("s"))
+    # a dense class goes with its smallest dense partner, if that is smaller than itself
+    star = written(dense.join(near, "ref", "left").join(labels, "ref", "left").select("ref", "rid", "n", "bits", "cold", F.coalesce("component", "ref").alias("component"), F.coalesce("s.hub", "ref").alias("hub"), F.coalesce(1 - F.col("s.jaccard"), F.lit(0.0)).alias("away")))
+    radius = star.groupBy("hub").agg(F.max("away").alias("radius")).withColumnRenamed("hub", "ref")
+    active = written(_close_hubs(star.select("ref", "n", "bits", "component").join(radius, "ref"), link))
+    if not active.take(1):
+        return None
+    members = star.join(active, "hub", "left_semi").select("rid", "ref", "n", "cold", "component")
+    wanted = keyed.select("rid", "text").join(members, "rid").select("text", "ref", "n", "cold", "component")
 
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch.column(0))
+            for lo, hi in row_chunks(offsets):
+                h, bounds = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], link.shingle)
+                raw = [h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(raw, pa.binary())], names=["ref", "n", "cold", "component", "items"])
+
+    return _forest(wanted.mapInArrow(arrays, "ref binary, n int, cold int, component binary, items binary"), link)
+
+
+# --- the join --------------------------------------------------------------------------------
 
-def _loose_links(keyed: DataFrame, classes: DataFrame, links: DataFrame, labels: DataFrame, link: Link) -> DataFrame | None:
-    """Links between loose classes that no tile could show."""
+
+def _short(total: Column, link: Link) -> Column:
+    """Too few shingles that are not hot to have met every partner."""
+    return total - F.coalesce("hot", F.lit(0)) < F.col("n") - F.ceil(F.col("n") * link.percent / 100) + 1
+
+
+def join(keyed: DataFrame, link: Link = Link()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """((rid, ref, n_shingles) of every row, links between classes, classes (ref, rid of its first row))."""
+    found = written(_meet(keyed, link, False), ["kind"])
+    told = lambda rows, kind: rows.where(F.col("kind") == kind)
+    hot = lambda rows: told(rows, _HOT).groupBy(F.col("a").alias("ref")).agg(F.sum("n").alias("hot"))
+    sets = told(found, _SET).select("rid", F.col("a").alias("ref"), "n", "total", "bits")
+    classes = sets.where("n > 0").groupBy("ref").agg(F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("total").alias("total"), F.max("bits").alias("bits"))
+    classes = written(classes.join(hot(found), "ref", "left").select("ref", "rid", "n", "bits", _short(F.col("total"), link).alias("loose")))
+    links = _verify(keyed, classes, _screen(told(found, _PAIR), classes, link), link)
     loose = classes.where("loose")
-    ends = links.select(F.col("a").alias("hub"), F.col("b").alias("ref"), "jaccard").union(links.select(F.col("b"), F.col("a"), "jaccard"))
-    # a loose class goes with its smallest partner, if that is smaller than itself
-    star = written(loose.select("ref").join(ends.where("hub < ref"), "ref", "left").groupBy("ref").agg(F.min(F.struct("hub", "jaccard")).alias("s")).select("ref", F.coalesce("s.hub", "ref").alias("hub"), F.coalesce(1 - F.col("s.jaccard"), F.lit(0.0)).alias("away")))
-    radius = star.groupBy("hub").agg(F.max("away").alias("radius"))
-    reps = radius.withColumnRenamed("hub", "ref").join(classes.select("ref", "n", "bits"), "ref").join(labels, "ref", "left")
-    reps = reps.select("ref", "n", "bits", F.coalesce("component", "ref").alias("component"), "radius")
-    close = written(_loose_pairs(reps, link))
-    if close.limit(1).count() == 0:
-        return None
-    # the members of representatives that are close to another one meet in tiles at their own distance
-    active = close.select(F.col("a").alias("hub")).union(close.select("b")).distinct()
-    members = star.join(active, "hub").join(classes.select("ref", "n", "bits"), "ref").join(labels, "ref", "left")
-    pairs = _loose_pairs(members.select("ref", "n", "bits", F.coalesce("component", "ref").alias("component"), F.lit(0.0).alias("radius")), link)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return _verify(keyed, classes, _screen(pairs, classes, link), link)
+    if loose.take(1):
+        texts = written(keyed.select("rid", "text").join(loose.select("rid"), "rid", "left_semi"))
+        again = written(_meet(texts, link, True), ["kind"])
+        # a class tries the leaders that most of its hot shingles name; which ones is a matter of speed alone
+        voted = told(again, _STAR).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        best = voted.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "b")), False), 1, LEADERS).alias("best"))
+        stars = best.select("a", F.explode("best.b").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        links = links.unionByName(_verify(texts, loose, _screen(stars, loose, link), link))
+        # families are connected through their leaders now; pairs inside one need no further look
+        apart = _apart(told(again, _PAIR).select("a", "b").distinct(), _hubs(links))
+        links = links.unionByName(_verify(texts, loose, _screen(apart, loose, link), link))
+        counted = loose.join(hot(again), "ref", "left")
+        dense = written(counted.where(_short(F.col("n"), link)).select("ref", "rid", "n", "bits", (F.col("n") - F.coalesce("hot", F.lit(0))).cast("int").alias("cold")))
+        if dense.take(1):
+            more = _dense_links(texts, dense, links, link)
+            if more is not None:
+                links = links.unionByName(more)
+    return sets.select("rid", "ref", F.col("n").cast("bigint").alias("n_shingles")), links, classes.select("ref", "rid")
 
 
 def ngram_join(docs: DataFrame, link: Link = Link(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,20 +645,21 @@ def ngram_join(docs: DataFrame, link: Link = Link(), id_col: str = "doc_id", tex
     Null texts and texts without words have no shingles, link with nothing and
     are components of their own.  Rows that repeat or lack a doc_id are
     documents of their own; their component's smallest doc_id may be null only
-    if all its doc_ids are.
+    if all its doc_ids are.  Columns besides id and text are not read, whatever
+    their names.  A long text is one set; a task holds the arrays of about 2 MB
+    of text, or of one longer text, at a time.
     """
     keyed, plain = rowed(docs, id_col, text_col)
-    sets, _, labels = join(keyed.select(F.col("rid").alias("doc_id"), "text"), link)
-    known = sets.join(labels, "ref", "left").withColumn("class", F.when(F.col("n_shingles") > 0, F.coalesce("component", "ref")))
-    least = known.where("class is not null")
-    if not plain:
-        least = least.join(keyed.select("rid", "doc_id"), "rid")
-    smallest = least.groupBy("class").agg(F.min("rid" if plain else "doc_id").alias("smallest"))
-    out = known.join(smallest, "class", "left")
+    sets, links, classes = join(keyed, link)
+    if not plain:  # the first row of a class may lack a doc_id that others have
+        classes = sets.where("n_shingles > 0").join(keyed.select("rid", "doc_id"), "rid").groupBy("ref").agg(F.min("doc_id").alias("rid"))
+    grouped = classes.join(components(links), "ref", "left").withColumn("component", F.coalesce("component", "ref"))
+    smallest = grouped.groupBy("component").agg(F.min("rid").alias("component_id"))
+    of_class = grouped.join(smallest, "component").select("ref", "component_id")
+    out = sets.join(of_class, "ref", "left")
     if plain:
-        return out.select(F.col("rid").alias("doc_id"), "n_shingles", F.when(F.col("class").isNull(), F.col("rid")).otherwise(F.col("smallest")).alias("component_id"))
-    out = out.join(keyed.select("rid", "doc_id"), "rid")
-    return out.select("doc_id", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id"))
+        return out.select(F.col("rid").alias("doc_id"), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("rid")).alias("component_id"))
+    return out.join(keyed.select("rid", "doc_id"), "rid").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def op7_ngram_join(spark, sf_dir: str) -> DataFrame:

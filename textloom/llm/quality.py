@@ -15,8 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textloom.llm.common import row_chunks, strings, word_spans
-from textloom.llm.windows import U64, _BASE_A, RollingHash, mix
+from textloom.llm.common import row_chunks, span_codes, strings, word_spans
 
 #: Phrases that mark a line as boilerplate; compared in lower case (ASCII).
 BOILERPLATE = (
@@ -55,11 +54,20 @@ def _sums(flags: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(groups: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each (group, key) row: does it occur again, and did it occur before (in order)?"""
-    both = mix(keys ^ mix(groups.astype(U64) + U64(1)))
-    order = np.argsort(both, kind="stable")
-    ranked = both[order]
+def _together(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One number per pair of numbers, equal for equal pairs only."""
+    if not len(a):
+        return a.astype(np.int64)
+    width = int(b.max()) + 1
+    if (int(a.max()) + 1) * width >= 1 << 63:
+        a = np.unique(a, return_inverse=True)[1]
+    return a.astype(np.int64) * width + b
+
+
+def _repeats(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each key: does it occur again, and did it occur before (in order)?"""
+    order = np.argsort(keys, kind="stable")
+    ranked = keys[order]
     same = np.zeros(len(ranked) + 1, bool)
     same[1:-1] = ranked[1:] == ranked[:-1]
     often, later = np.zeros(len(keys), bool), np.zeros(len(keys), bool)
@@ -77,15 +85,16 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[dict[str
     chars = _sums((data & 0xC0) != 0x80)
     letters = _sums(chars[ends] - chars[starts])
     symbols = _sums(_SYMBOL[data])
-    rolling = RollingHash(data, _BASE_A)
-    words = rolling.spans(starts, ends)
+    words = span_codes(data, starts, ends)[0].astype(np.int64) if len(starts) else starts
 
     # 3-word windows that occur again in their document
     repeat_words = np.zeros(n_docs, np.int64)
     if len(words) >= 3:
-        grams = RollingHash(words, _BASE_A).grams(3)
         inside = np.flatnonzero(doc_of_word[:-2] == doc_of_word[2:])
-        often, _ = _repeats(doc_of_word[inside], grams[inside])
+        grams = doc_of_word[inside]
+        for step in range(3):
+            grams = _together(grams, words[inside + step])
+        often, _ = _repeats(grams)
         hit = np.zeros(len(words), bool)
         for step in range(3):
             hit[inside[often] + step] = True
@@ -103,7 +112,8 @@ def judge(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[dict[str
     some = word_hi > word_lo
     line_start, line_end, line_doc, word_lo, word_hi = (x[some] for x in (line_start, line_end, line_doc, word_lo, word_hi))
     count = word_hi - word_lo
-    _, again = _repeats(line_doc, rolling.spans(line_start, line_end))
+    lines = span_codes(data, line_start, line_end)[0] if len(line_start) else line_start
+    _, again = _repeats(_together(line_doc, lines))
 
     of = lambda sums: sums[line_end] - sums[line_start]
     last = data[ends - 1] if len(ends) else data[:0]

@@ -30,8 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import row_chunks, strings, word_spans, written
-from textloom.llm.windows import U64, _BASE_A, RollingHash, mix, segments
+from textloom.llm.common import row_chunks, strings, word_hashes, word_spans, written
+from textloom.llm.windows import U64, mix, segments
 
 #: Windows of one block of a key that is split again.
 HOT_BLOCK = 8
@@ -64,7 +64,7 @@ def items_of(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.nda
     if not words:
         return data, offsets
     starts, ends, first = word_spans(data, offsets)
-    return RollingHash(data, _BASE_A).spans(starts, ends), first
+    return word_hashes(data, starts, ends), first
 
 
 def _pieces(items: np.ndarray, bounds: np.ndarray, window: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
@@ -104,10 +104,8 @@ def _unpack(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
 
 def _equal_segments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows in order of (segment, rid, pos); start of each segment's run; its number of occurrences."""
-    both = mix(rows["key"]) ^ rows["hull"]
-    order = np.lexsort((rows["pos"], rows["rid"], both))
-    rows, both = rows[order], both[order]
-    head = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(rows) else np.zeros(0, np.int64)
+    rows = rows[np.lexsort((rows["pos"], rows["rid"], rows["hull"], rows["key"]))]
+    head = np.flatnonzero(np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["hull"][1:] != rows["hull"][:-1])))) if len(rows) else np.zeros(0, np.int64)
     count = np.diff(np.append(head, len(rows)))
     if len(head):
         count = count + np.maximum.reduceat((rows["state"] == MANY).astype(np.int64), head)

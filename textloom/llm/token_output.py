@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.llm.common import named, row_chunks, rowed, shared_dir, strings, word_spans
-from textloom.llm.windows import U64, _BASE_A, RollingHash
+from textloom.llm.common import named, parts_of, row_chunks, rowed, shared_dir, span_codes, strings, word_spans
 
 BLOCK, PERCENTILE, CHUNK_IDS = 256, 95, 1 << 16
 END_ID = 2
@@ -117,46 +116,6 @@ def decode_blocks(payload: bytes, offsets: np.ndarray) -> np.ndarray:
 # --- tokens ------------------------------------------------------------------
 
 
-class WordTable:
-    """Open-addressing map from 64-bit word hashes to codes, looked up in bulk; at most half full."""
-
-    def __init__(self, bits: int = 20) -> None:
-        self.size = 0
-        self._clear(bits)
-
-    def _clear(self, bits: int) -> None:
-        self.mask = U64((1 << bits) - 1)
-        self.hashes, self.codes = np.zeros(1 << bits, U64), np.zeros(1 << bits, np.int32)
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Codes, -1 where a hash is not known."""
-        out = np.full(len(h), -1, np.int32)
-        left, at = np.arange(len(h)), h & self.mask
-        while len(left):
-            there = self.hashes[at]
-            hit = there == h[left]
-            out[left[hit]] = self.codes[at[hit]]
-            on = ~hit & (there != 0)
-            left, at = left[on], (at[on] + U64(1)) & self.mask
-        return out
-
-    def add(self, h: np.ndarray) -> None:
-        """New distinct hashes; they get the next codes in order."""
-        codes = np.arange(self.size, self.size + len(h), dtype=np.int32)
-        self.size += len(h)
-        if 2 * self.size > len(self.hashes):
-            held = np.flatnonzero(self.hashes)
-            h, codes = np.concatenate((self.hashes[held], h)), np.concatenate((self.codes[held], codes))
-            self._clear((2 * self.size - 1).bit_length())
-        at = h & self.mask
-        while len(h):
-            free = self.hashes[at] == 0
-            self.hashes[at[free]] = h[free]  # of several for one slot, one stays
-            mine = free & (self.hashes[at] == h)
-            self.codes[at[mine]] = codes[mine]
-            h, codes, at = h[~mine], codes[~mine], (at[~mine] + U64(1)) & self.mask
-
-
 class WordEncoder:
     """Ids of whole texts by way of their words.
 
@@ -172,7 +131,7 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.table, self.known = WordTable(), np.zeros(0, U64)
+        self.codes: dict[bytes, int] = {}
         self.pool, self.start, self.length, self.times = np.zeros(0, np.uint32), *(np.zeros(0, np.int64) for _ in range(3))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
@@ -197,11 +156,11 @@ class WordEncoder:
             out[i] = ids
         return out
 
-    def _learn(self, h: np.ndarray, words: list[str]) -> None:
-        found = self._encode_words(words)
+    def _learn(self, words: list[bytes]) -> None:
+        """New words take the next codes in order."""
+        found = self._encode_words([w.decode("utf-8", "replace") for w in words])
         length = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        self.table.add(h)
-        self.known = np.concatenate((self.known, h))
+        self.codes.update(zip(words, range(len(self.codes), len(self.codes) + len(words)), strict=True))
         self.start = np.concatenate((self.start, len(self.pool) + np.cumsum(length) - length))
         self.length = np.concatenate((self.length, length))
         self.times = np.concatenate((self.times, np.zeros(len(found), np.int64)))
@@ -213,13 +172,14 @@ class WordEncoder:
         length = self.length[keep]
         ends = np.cumsum(length)
         self.pool = self.pool[np.repeat(self.start[keep] - ends + length, length) + np.arange(ends[-1] if len(ends) else 0)]
-        self.start, self.length, self.times, self.known = ends - length, length, np.zeros(len(keep), np.int64), self.known[keep]
-        self.table = WordTable()
-        self.table.add(self.known)
+        self.start, self.length = ends - length, length
+        words = list(self.codes)
+        self.codes = {words[i]: j for j, i in enumerate(keep.tolist())}
+        self.times = np.zeros(len(keep), np.int64)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts back to back, where each text's ids start and end)."""
-        if self.table.size > CACHE_WORDS:
+        if len(self.codes) > CACHE_WORDS:
             self._shrink()
         raw = data.tobytes()
         if b"<|" not in raw:  # special tokens are told from their upper-case look-alikes
@@ -230,15 +190,12 @@ class WordEncoder:
         cut = np.flatnonzero((ends - starts > 1) & _MARK[data[ends - 1]] & _ASCII_LETTER[data[ends - 2]]) if len(ends) else np.zeros(0, np.int64)
         first = first + np.searchsorted(cut, first)
         starts, ends = np.insert(starts, cut + 1, ends[cut] - 1), np.insert(ends, cut, ends[cut] - 1)
-        h = RollingHash(data, _BASE_A).spans(starts, ends)
-        h[h == 0] = U64(1)
-        codes = self.table.find(h)
-        new = np.flatnonzero(codes < 0)
-        if len(new):
-            fresh, at = np.unique(h[new], return_index=True)
-            at = new[at]
-            self._learn(fresh, [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            codes[new] = self.table.find(h[new])
+        if not len(starts):
+            return np.zeros(0, np.uint32), first
+        at, distinct = span_codes(data, starts, ends)
+        words = distinct.to_pylist()
+        self._learn([w for w in words if w not in self.codes])
+        codes = np.fromiter((self.codes[w] for w in words), np.int64, len(words))[at]
         self.times += np.bincount(codes, minlength=len(self.times))
         length = self.length[codes]
         stop = np.cumsum(length)
@@ -300,7 +257,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col
         if held:
             yield flush()
 
-    dealt = docs.select("rid", "text").repartitionByRange("rid").sortWithinPartitions("rid")
+    dealt = docs.select("rid", "text").repartitionByRange(parts_of(docs), "rid").sortWithinPartitions("rid")
     spark = docs.sparkSession
     at = f"{shared_dir(spark)}/textloom-ids-{uuid.uuid4().hex}"
     dealt.mapInArrow(encode, CHUNK_SCHEMA).write.option("compression", "uncompressed").parquet(at)

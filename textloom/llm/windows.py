@@ -17,10 +17,6 @@ from dataclasses import dataclass
 import numpy as np
 
 U64 = np.uint64
-_BASE_A = U64(0x9E3779B97F4A7C15 | 1)
-_BASE_B = U64(0xC2B2AE3D27D4EB4F | 1)
-_POWERS: dict[int, np.ndarray] = {}
-_INVERSES: dict[int, np.ndarray] = {}
 #: Low bits of a window key that hold the position; bounds the items of one chunk.
 _POS_BITS = U64(26)
 _POS_MASK = U64((1 << 26) - 1)
@@ -36,37 +32,53 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(33))
 
 
-def _powers(base: np.ndarray, n: int) -> np.ndarray:
-    have = _POWERS.get(int(base))
-    if have is None or len(have) < n:
-        size = max(1 << 16, 1 << (n - 1).bit_length())
-        steps = np.full(size, base, dtype=U64)
-        steps[0] = U64(1)
-        have = _POWERS[int(base)] = np.multiply.accumulate(steps)
-    return have[:n]
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two spans that follow each other; not linear, so exchanged or mirrored halves differ."""
+    x = a >> U64(29)
+    x ^= a
+    x *= U64(0x9E3779B97F4A7C15)
+    x += b
+    x ^= x >> U64(32)
+    return x
 
 
-def _inverse(base: np.ndarray) -> np.uint64:
-    return U64(pow(int(base), -1, 1 << 64))
+class SpanHash:
+    """Hashes of spans of items: those of 2, 4, 8, ... items are joined from halves.
 
+    A span of any length is told by its first and its last power of two of items
+    (which overlap) and its length.  Nothing is a polynomial, so regular texts
+    (periods, Thue-Morse words) do not meet.
+    """
 
-class RollingHash:
-    """Prefix sums of a polynomial over 2^64; hash of any span in O(1), vectorised."""
-
-    def __init__(self, items: np.ndarray, base: np.uint64) -> None:
-        n = len(items)
-        self.prefix = np.zeros(n + 1, dtype=U64)
-        np.cumsum((items.astype(U64) + U64(1)) * _powers(base, n), out=self.prefix[1:])
-        self.back = _powers(_inverse(base), n + 1)
+    def __init__(self, items: np.ndarray) -> None:
+        self.n = len(items)
+        self.levels = {1: mix(items.astype(U64) + U64(0x632BE59BD9B4E019))}
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.back[start])
+    def level(self, size: int) -> np.ndarray:
+        """Hash of the ``size`` items (a power of two) from every place."""
+        if size not in self.levels:
+            half = self.level(size // 2)
+            self.levels[size] = _join(half[: -(size // 2)], half[size // 2 :]) if self.n >= size else np.zeros(0, U64)
+        return self.levels[size]
 
     def grams(self, k: int) -> np.ndarray:
-        n = len(self.prefix) - 1
-        if n < k:
-            return np.zeros(0, dtype=U64)
-        return mix((self.prefix[k:] - self.prefix[:-k]) * self.back[: n - k + 1])
+        """Hash of every k items in a row."""
+        if self.n < k:
+            return np.zeros(0, U64)
+        size = 1 << (k.bit_length() - 1)
+        part = self.level(size)
+        return mix(_join(part[: self.n - k + 1], part[k - size :]) + U64(k))
+
+    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hash of items[start:end] for every pair; empty spans are 0."""
+        out = np.zeros(len(start), U64)
+        length = end - start
+        size = np.int64(1) << np.floor(np.log2(np.maximum(length, 1) + 0.5)).astype(np.int64)
+        for s in np.unique(size[length > 0]).tolist():
+            mine = np.flatnonzero((size == s) & (length > 0))
+            part = self.level(s)
+            out[mine] = mix(_join(part[start[mine]], part[end[mine] - s]) + length[mine].astype(U64))
+        return out
 
 
 @dataclass
@@ -92,8 +104,8 @@ def segments(items: np.ndarray, bounds: np.ndarray, window: int, k: int) -> Segm
         return Segments(empty, empty.astype(U64), empty, empty, empty.astype(U64))
     if n > MAX_ITEMS:
         raise ValueError("chunk too large: split it with an overlap of window - 1 items")
-    rolling = RollingHash(items, _BASE_A)
-    grams = rolling.grams(k)
+    hashes = SpanHash(items)
+    grams = hashes.grams(k)
     low = (grams & ~_POS_MASK) | np.arange(len(grams), dtype=U64)
     span, have = window - k + 1, 1
     while have < span:  # sliding minimum by doubling
@@ -114,6 +126,5 @@ def segments(items: np.ndarray, bounds: np.ndarray, window: int, k: int) -> Segm
     head = np.concatenate(([0], cut))
     tail = np.concatenate((cut, [len(at)])) - 1
     anchor, first, last = where[head], at[head], at[tail]
-    other = RollingHash(items, _BASE_B)
-    hull = mix(other.spans(first, last + window) ^ mix((anchor - first).astype(U64) + U64(0x51ED2701)))
+    hull = mix(hashes.spans(first, last + window) ^ mix((anchor - first).astype(U64) + U64(0x51ED2701)))
     return Segments(anchor, grams[anchor], first, last, hull)
