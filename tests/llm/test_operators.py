@@ -148,6 +148,16 @@ def test_toxicity_edges(spark):
     assert all(r["score"] == 0 for r in toxicity.score(docs, labels.limit(0)).collect())
 
 
+def test_toxicity_held_out(spark):
+    got = toxicity.op3_toxicity(spark, "/root/testdata/sf0.1").where("held_out").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").select("score", "predicted", "toxic").toPandas()
+    bad, good = got[got.toxic == 1], got[got.toxic == 0]
+    assert bad.score.rank().size and (bad.score.to_numpy()[:, None] > good.score.to_numpy()[None, :]).mean() >= 0.9
+    assert bad.predicted.mean() >= 0.6 and good.predicted.mean() <= 0.01
+    for lo, hi in ((0.0, 0.2), (0.8, 1.0)):  # calibrated
+        some = got[(got.score >= lo) & (got.score <= hi)]
+        assert abs(some.toxic.mean() - some.score.mean()) < 0.1
+
+
 # --- language ----------------------------------------------------------------------
 
 
@@ -158,12 +168,22 @@ def test_language_held_out(spark):
 
 
 def test_language_edges(spark):
-    docs = table(spark, [*EDGE, "12 34 !!"])
+    docs = table(spark, [*EDGE, "12 34 !!", "\U0001f600 12", "\U00010330\U00010331", "\U0001d400 1"])
     got = {r["doc_id"]: r for r in language_id.predict(docs, language_id.learned(docs)).collect()}
-    assert [got[i]["lang_pred"] for i in (0, 1, 2, 9)] == ["und"] * 4 and got[3]["lang_pred"] == "en"
+    assert [got[i]["lang_pred"] for i in (0, 1, 2, 9, 10)] == ["und"] * 5 and {got[i]["lang_pred"] for i in (3, 11, 12)} == {"en"}
     assert language_id.predict(table(spark, []), language_id.learned(table(spark, []))).count() == 0
 
 
+def test_language_sample_is_bounded_and_weights_are_sparse(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    counts = {r["lang"]: r["count"] for r in language_id.sampled(docs.select("doc_id", "text", "lang"), 60).groupBy("lang").count().collect()}
+    assert len(counts) == 4 and all(15 <= n <= 60 for n in counts.values())
+    model = language_id.learned(docs)
+    assert 0 < len(model.feature) < 0.02 * language_id.DIM and (model.weight == 0).mean() > 0.2
+    fewer = language_id.sampled(docs.select("doc_id", "text", "lang"), 60, max_languages=2).select("lang").distinct().count()
+    assert fewer == 2
+
+
 # --- mixing --------------------------------------------------------------------------
 
 

@@ -1,13 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max inverted lists.
 
-Terms are words and word stems (the first STEM letters).  The vocabulary keeps
-terms that mark one label (seen in enough distinct labelled texts and far more
-often in toxic than in other ones); inverse document frequencies come from the
-whole corpus.  A text's neighbours are the K examples of highest cosine, found
-exactly: examples lie in blocks, every (term, block) holds its largest weight,
-blocks are opened in order of their bound until no bound beats the K-th best.
-Neighbours vote with their similarity; a logistic curve fitted to leave-one-out
-votes of the examples turns votes into probabilities.
+Terms are words and word stems (the first STEM letters) of whole texts.  A term
+weighs (1 + log tf) * idf * contrast: document frequencies are those of the whole
+corpus, and the contrast, z^2 / (z^2 + SOFT) of the two-proportion test that
+toxic examples hold the term more often than others, is a smooth weight without
+a cut: every term that leans to toxic examples counts, the surer the more.
+(Without it nearly all of a text's weight lies in words that mark nothing.)
+
+A text's neighbours are the K examples of highest cosine, found exactly: examples
+lie in blocks, every (term, block) holds its largest weight, blocks are opened in
+order of their bound until no bound beats the K-th best.  Neighbours vote with
+their similarity; a logistic curve fitted to the leave-one-out votes of all
+examples turns votes into probabilities.
 """
 
 from __future__ import annotations
@@ -18,71 +22,72 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.llm.common import crc_bucket, written
+from textloom.llm.common import crc_bucket, row_chunks, strings, written
 
-#: Bounds of the fitted part: labelled rows used, and vocabulary size.
-MAX_EXAMPLES, MAX_TERMS = 12_000, 4_096
+#: Bounds of the labelled sample, taken in order of the id's hash: rows, and bytes of text.
+MAX_EXAMPLES, MAX_SAMPLE_BYTES = 6_000, 48 << 20
 STEM = (4, 5)
-MIN_DF, MIN_LIFT = 6, 20.0
-K, BLOCK = 15, 64
+SOFT = 30.0
+K, BLOCK = 15, 256
 THRESHOLD = 0.7
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_"
 
 
-def terms(text: str, known: dict[str, tuple[str, ...]]) -> Counter:
-    """Term -> times, over the whole text.  known: memory of words' terms."""
-    words = Counter(text.lower().split())
-    out: Counter = Counter()
-    for word, times in words.items():
-        found = known.get(word)
-        if found is None:
-            bare = word.strip(_EDGE)
-            found = (bare, *(f"{bare[:n]}~" for n in STEM if len(bare) > n)) if bare else ()
-            if len(known) < 200_000:
-                known[word] = found
-        for term in found:
-            out[term] += times
-    return out
+def word_terms(word: str) -> tuple[str, ...]:
+    """The terms of one word: itself without outer marks, and its stems."""
+    bare = word.strip(_EDGE)
+    return (bare, *(f"{bare[:n]}~" for n in STEM if len(bare) > n)) if bare else ()
+
+
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, str]]:
+    """(row, text), a few MB of texts as Python strings at a time."""
+    _, offsets = strings(batch.column(column))
+    for lo, hi in row_chunks(offsets):
+        for i, text in enumerate(batch.column(column).slice(lo, hi - lo).to_pylist()):
+            yield lo + i, text or ""
 
 
 @dataclass
 class Index:
-    """Examples sorted into blocks; postings and block maxima per term."""
+    """Examples in blocks; postings by (block, term), and block maxima per term."""
 
     ids: np.ndarray
     labels: np.ndarray
-    rows: list[np.ndarray]  # per term: example numbers, ascending
-    weights: list[np.ndarray]  # per term: TF-IDF weight over the example's norm
+    run_term: np.ndarray  # term of every run of postings, ascending within its block
+    run_start: np.ndarray  # first posting of every run, and the end
+    block_runs: np.ndarray  # first run of every block, and the end
+    row: np.ndarray  # of a posting: example number within the block
+    weight: np.ndarray  # of a posting: TF-IDF weight over the example's norm
     maxima: np.ndarray  # float32, terms x blocks
     prior: float
-    slope: float = 1.0
-    offset: float = 0.0
+
+    def scores(self, block: int, feature: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Cosines of all examples of a block."""
+        lo, hi = self.block_runs[block : block + 2]
+        there = self.run_term[lo:hi]
+        at = np.minimum(np.searchsorted(there, feature), max(len(there) - 1, 0))
+        hit = there[at] == feature
+        run = lo + at[hit]
+        start = self.run_start[run]
+        length = self.run_start[run + 1] - start
+        stop = np.cumsum(length)
+        posting = np.repeat(start - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)
+        return np.bincount(self.row[posting], weights=np.repeat(weight[hit], length) * self.weight[posting], minlength=BLOCK)
 
     def nearest(self, feature: np.ndarray, weight: np.ndarray, k: int = K, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines), best first, ties by example number; cosine 0 is no neighbour."""
         bounds = weight @ self.maxima[feature]
-        order = np.argsort(-bounds, kind="stable")
-        best_i, best_s, floor, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        step = 4
-        while at < len(order):
-            blocks = order[at : at + step]
-            blocks = blocks[bounds[blocks] > max(floor - 1e-6, 0.0)]
-            if not len(blocks):
+        best_i, best_s, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
+        for block in np.argsort(-bounds, kind="stable").tolist():
+            if bounds[block] <= max(floor - 1e-6, 0.0):
                 break
-            at += step
-            for block in blocks:
-                lo, hi = block * BLOCK, (block + 1) * BLOCK
-                score = np.zeros(BLOCK)
-                for f, w in zip(feature, weight, strict=True):
-                    if self.maxima[f, block]:
-                        a, b = np.searchsorted(self.rows[f], (lo, hi))
-                        score[self.rows[f][a:b] - lo] += w * self.weights[f][a:b]
-                if lo <= skip < hi:
-                    score[skip - lo] = 0.0
-                some = np.flatnonzero(score > 0)
-                best_i, best_s = np.concatenate((best_i, some + lo)), np.concatenate((best_s, score[some]))
+            score = self.scores(block, feature, weight)
+            if 0 <= skip - block * BLOCK < BLOCK:
+                score[skip - block * BLOCK] = 0.0
+            some = np.flatnonzero(score > floor - 1e-6) if floor else np.flatnonzero(score > 0)
+            best_i, best_s = np.concatenate((best_i, some + block * BLOCK)), np.concatenate((best_s, score[some]))
             if len(best_i) > k:
                 keep = np.lexsort((best_i, -best_s))[:k]
                 best_i, best_s = best_i[keep], best_s[keep]
@@ -95,9 +100,6 @@ class Index:
         mass = 0.05
         return float((cosines @ self.labels[examples] + mass * self.prior) / (cosines.sum() + mass))
 
-    def score(self, vote: float) -> float:
-        return float(1.0 / (1.0 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
-
 
 def unit(feature: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = (1.0 + np.log(tf)) * idf[feature]
@@ -107,28 +109,27 @@ def unit(feature: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def build(examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray, prior: float) -> Index:
     """examples: (id, label, features, tf).  Sorting by strongest term gathers like with like in blocks."""
-    vectors = [(i, y, f, unit(f, tf, idf)) for i, y, f, tf in examples if len(f)]
-    vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]), v[0]))
+    vectors = [(i, y, f, unit(f, tf, idf)) for i, y, f, tf in examples]
+    vectors.sort(key=lambda v: (int(v[2][np.argmax(v[3])]) if len(v[2]) else -1, v[0]))
     n, blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
-    posting: list[list[tuple[int, float]]] = [[] for _ in idf]
+    size = [len(v[2]) for v in vectors]
+    row = np.repeat(np.arange(n), size)
+    term = np.concatenate([v[2] for v in vectors] or [np.zeros(0)]).astype(np.int64)
+    weight = np.concatenate([v[3] for v in vectors] or [np.zeros(0)])
+    block = row // BLOCK
+    order = np.lexsort((row, term, block))
+    row, term, weight, block = row[order], term[order], weight[order], block[order]
+    head = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(row) else np.zeros(0, np.int64)
     maxima = np.zeros((len(idf), blocks), np.float32)
-    for row, (_, _, feature, weight) in enumerate(vectors):
-        for f, w in zip(feature.tolist(), weight.tolist(), strict=True):
-            posting[f].append((row, w))
-            maxima[f, row // BLOCK] = max(maxima[f, row // BLOCK], w)
+    if len(head):
+        maxima[term[head], block[head]] = np.maximum.reduceat(weight, head)
     maxima = np.nextafter(maxima, np.float32(2)) * (maxima > 0)  # rounding to float32 must not lower a bound
-    index = Index(np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), [np.array([r for r, _ in p], np.int64) for p in posting], [np.array([w for _, w in p]) for p in posting], maxima, prior)
-    if n:
-        every = np.unique(np.linspace(0, n - 1, min(n, 1500)).astype(int))
-        votes = np.array([index.vote(*index.nearest(vectors[i][2], vectors[i][3], skip=i)) for i in every])
-        nothing = index.vote(np.zeros(0, np.int64), np.zeros(0))
-        index.slope, index.offset = _platt(np.append(votes, [nothing] * len(every)), np.append(index.labels[every], [prior * 0.1] * len(every)))
-    return index
-
-
-def _platt(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Logistic curve by damped Newton steps; targets are drawn in a little, the slope has a small penalty."""
-    y = y * 0.98 + 0.01
+    labels = np.array([v[1] for v in vectors], float)
+    return Index(np.array([v[0] for v in vectors], np.int64), labels, term[head], np.append(head, len(row)), np.searchsorted(block[head], np.arange(blocks + 1)), row % BLOCK, weight, maxima, prior)
+
+
+def platt(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
+    """Logistic curve by damped Newton steps; the slope has a small penalty."""
     a, b = 1.0, 0.0
     for _ in range(steps):
         p = 1.0 / (1.0 + np.exp(-np.clip(a * x + b, -30, 30)))
@@ -136,102 +137,140 @@ def _platt(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]
         w = p * (1 - p) + 1e-9
         h = np.array([[(w * x * x).mean() + 1e-4, (w * x).mean()], [(w * x).mean(), w.mean() + 1e-9]])
         da, db = np.linalg.solve(h, g)
-        a, b = a - np.clip(da, -2, 2), b - np.clip(db, -2, 2)
+        a, b = a - np.clip(da, -3, 3), b - np.clip(db, -3, 3)
     return float(a), float(b)
 
 
-def vocabulary(sample: DataFrame) -> tuple[list[str], float]:
-    """Terms that mark label 1, from (text, label) rows; counts are by distinct text."""
+def contrasts(sample: DataFrame) -> tuple[dict[str, int], np.ndarray, float]:
+    """(term -> number, contrast of each, share of label 1) of (text, label) rows; counts are by distinct text.
+
+    Terms that toxic examples do not hold more often than others have contrast 0
+    and no number.  Their number is bounded by the sample's.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[str, ...]] = {}
         toxic, other, n = Counter(), Counter(), [0, 0]
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[label] += 1
-                (toxic if label else other).update(set(terms(text, known)))
-        # a term no toxic text of this partition holds still counts in the contrast
+            label = batch.column(1).to_pylist()
+            for i, text in _texts(batch, 0):
+                n[label[i]] += 1
+                (toxic if label[i] else other).update({t for w in set(text.lower().split()) for t in word_terms(w)})
         names = list(toxic | other)
         yield pa.RecordBatch.from_pydict({"term": pa.array([*names, None], pa.string()), "pos": pa.array([*(toxic[t] for t in names), n[1]], pa.int64()), "neg": pa.array([*(other[t] for t in names), n[0]], pa.int64())})
 
     counts = written(sample.dropDuplicates(["text"]).mapInArrow(count, "term string, pos bigint, neg bigint").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
     total = counts.where("term is null").first()
-    n_pos, n_neg = (total["pos"], total["neg"]) if total else (0, 0)
-    if not n_pos or not n_neg:
-        return [], 0.0
-    lift = (F.col("pos") / F.lit(float(n_pos))) / ((F.col("neg") + 0.5) / F.lit(float(n_neg)))
-    least = MIN_DF if n_pos >= 100 else 3
-    best = counts.where(F.col("term").isNotNull() & (F.col("pos") >= least)).withColumn("lift", lift).where(F.col("lift") >= MIN_LIFT)
-    rows = best.orderBy(F.col("pos").desc(), F.col("lift").desc(), "term").limit(MAX_TERMS).collect()
-    return sorted(r["term"] for r in rows), n_pos / (n_pos + n_neg)
+    n1, n0 = (float(total["pos"]), float(total["neg"])) if total else (0.0, 0.0)
+    if not n1 or not n0:
+        return {}, np.zeros(0), 0.0
+    lead = F.col("pos") / n1 - F.col("neg") / n0
+    p = (F.col("pos") + F.col("neg") + 0.5) / (n1 + n0 + 1.0)
+    z2 = lead * lead / (p * (1 - p) * (1 / n1 + 1 / n0))
+    rows = counts.where(F.col("term").isNotNull() & (lead > 0)).select("term", (z2 / (z2 + SOFT)).alias("contrast")).collect()
+    rows.sort(key=lambda r: r["term"])
+    return {r["term"]: i for i, r in enumerate(rows)}, np.array([r["contrast"] for r in rows]), n1 / (n1 + n0)
 
 
-def features(docs: DataFrame, names: list[str]) -> DataFrame:
-    """(doc_id, f, tf): a text's vocabulary terms and their times; every row, whole texts, no shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(names)})  # MAX_TERMS at most
+def features(docs: DataFrame, number: dict[str, int]) -> DataFrame:
+    """(doc_id, f, tf): a text's numbered terms and their times; every row, whole texts, no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(number)  # terms of the sample at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term_id = sent.value
+        number = sent.value
         memory: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             fs, tfs = [], []
-            for text in batch.column(1).to_pylist():
+            for _, text in _texts(batch, 1):
                 found: Counter = Counter()
-                for word in (text or "").lower().split():
+                for word, times in Counter(text.lower().split()).items():
                     got = memory.get(word)
                     if got is None:
-                        bare = word.strip(_EDGE)
-                        got = tuple(term_id[t] for t in (bare, *(f"{bare[:n]}~" for n in STEM if len(bare) > n)) if t in term_id)
+                        got = tuple(number[t] for t in word_terms(word) if t in number)
                         if len(memory) > 300_000:
                             memory.clear()
                         memory[word] = got
-                    if got:
-                        found.update(got)
-                keys = sorted(found)
-                fs.append(keys)
-                tfs.append([found[x] for x in keys])
+                    for f in got:
+                        found[f] += times
+                keys = np.fromiter(found, np.int32, len(found))
+                order = np.argsort(keys)
+                fs.append(keys[order])
+                tfs.append(np.fromiter(found.values(), np.int32, len(found))[order])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "f": pa.array(fs, pa.list_(pa.int32())), "tf": pa.array(tfs, pa.list_(pa.int32()))})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, f array<int>, tf array<int>")
 
 
+def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, text, label): the first MAX_EXAMPLES labelled rows in order of the id's hash, as far as MAX_SAMPLE_BYTES reach."""
+    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
+    chosen = [(r[0], r[1]) for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()]
+    wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint, label int"))  # MAX_EXAMPLES rows at most
+    rows = written(docs.join(wanted, "doc_id").where("text is not null").select("doc_id", "text", "label"))
+    sizes = rows.select("doc_id", F.octet_length("text").alias("size"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = sizes.groupBy("doc_id").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= MAX_SAMPLE_BYTES)
+    return rows.join(F.broadcast(fitting.select("doc_id")), "doc_id", "left_semi")
+
+
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, vote, evidence (neighbour ids), similarity (their cosines).
 
     labels: (doc_id, toxic) of rows to learn from; a null toxic is no label, a
-    doc_id labelled more than once is toxic if any says so.  A text without a
-    vocabulary term (null and empty ones too) has no neighbours and gets the
-    curve's value at the prior.  With nothing to learn from, every score is 0.
+    doc_id labelled more than once is toxic if any says so; rows that repeat a
+    labelled doc_id are examples each.  A text without a term that leans to toxic
+    examples (null and empty ones too) has no neighbours and gets the curve's
+    value at the prior.  With nothing to learn from, every score is 0.  Repeated
+    rows score alike; a long text is one vector, and a task holds the words of
+    one text, or of about 2 MB of shorter ones, at a time.  Columns besides id
+    and text are not read, whatever their names.  Neighbours of equal cosine
+    come in order of their block.
     """
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spark = docs.sparkSession
-    marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    chosen = [(r[0], r[1]) for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()]
-    sample = F.broadcast(spark.createDataFrame(chosen, "doc_id bigint, label int"))  # MAX_EXAMPLES rows at most
-    names, prior = vocabulary(slim.join(sample, "doc_id").where("text is not null").select("text", "label"))
-    found = written(features(slim, names))
-    stats = {r["x"]: r["n"] for r in found.select(F.explode("f").alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()} if names else {}
+    sample = _sampled(slim, labels)
+    number, contrast, prior = contrasts(sample.select("text", "label"))
+    found = written(features(slim, number))
+    stats = {r["x"]: r["n"] for r in found.select(F.explode("f").alias("x")).groupBy("x").agg(F.count("*").alias("n")).collect()} if number else {}
     n_docs = found.count()
-    idf = np.array([np.log((1 + n_docs) / (1 + stats.get(i, 0))) + 1.0 for i in range(len(names))])
-    rows = found.join(sample, "doc_id").where(F.size("f") > 0).select("doc_id", "label", "f", "tf").collect() if names else []
-    examples = sorted(((r[0], int(r[1] > 0), np.array(r[2], np.int64), np.array(r[3], float)) for r in rows), key=lambda e: (e[0], e[1]))
-    index = build(examples, idf, prior)
-    sent = spark.sparkContext.broadcast((index, idf))
+    idf = np.log((1 + n_docs) / (1 + np.array([stats.get(i, 0) for i in range(len(number))], float))) + 1.0
+    weight = idf * contrast
+    rows = features(sample, number).join(F.broadcast(sample.select(F.col("doc_id").alias("_id"), "label").distinct()), F.col("doc_id") == F.col("_id")).select("doc_id", "label", "f", "tf").collect() if number else []
+    examples = sorted(((r[0], int(r[1]), np.array(r[2], np.int64), np.array(r[3], float)) for r in rows), key=lambda e: (e[0], e[1]))
+    index = build(examples, weight, prior)
+    sent = spark.sparkContext.broadcast((index, weight))
+    nobody = (np.zeros(0, np.int64), np.zeros(0))
+
+    def near(f: list[int], tf: list[int], skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        index, weight = sent.value
+        feature = np.array(f, np.int64)
+        return index.nearest(feature, unit(feature, np.array(tf, float), weight), skip=skip) if f and len(index.ids) else nobody
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, _ = sent.value
+        place = {int(d): i for i, d in enumerate(index.ids)}
+        for batch in batches:
+            ids = batch.column(0).to_pylist()
+            votes = [index.vote(*near(f, tf, place.get(d, -1))) for d, f, tf in zip(ids, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "vote": pa.array(votes, pa.float64())})
+
+    slope, offset = 0.0, -30.0
+    if examples:
+        label = {e[0]: e[1] for e in examples}
+        own = found.join(F.broadcast(spark.createDataFrame([(d,) for d in label], "doc_id bigint")), "doc_id", "left_semi")
+        votes = own.mapInArrow(leave_out, "doc_id bigint, vote double").collect()
+        slope, offset = platt(np.array([r[1] for r in votes]), np.array([label[r[0]] for r in votes], float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, idf = sent.value
-        nobody = (np.zeros(0, np.int64), np.zeros(0))
+        index, _ = sent.value
         for batch in batches:
-            out: dict[str, list] = {"score": [], "vote": [], "evidence": [], "similarity": []}
+            votes, evidence, similarity = [], [], []
             for f, tf in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                feature = np.array(f, np.int64)
-                near = index.nearest(feature, unit(feature, np.array(tf, float), idf)) if f and len(index.ids) else nobody
-                vote = index.vote(*near)
-                out["vote"].append(vote)
-                out["score"].append(index.score(vote) if len(index.ids) else 0.0)
-                out["evidence"].append(index.ids[near[0]].tolist())
-                out["similarity"].append(near[1].tolist())
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(out["score"], pa.float64()), "vote": pa.array(out["vote"], pa.float64()), "evidence": pa.array(out["evidence"], pa.list_(pa.int64())), "similarity": pa.array(out["similarity"], pa.list_(pa.float64()))})
+                examples, cosines = near(f, tf)
+                votes.append(index.vote(examples, cosines))
+                evidence.append(index.ids[examples].tolist())
+                similarity.append(cosines.tolist())
+            scores = 1.0 / (1.0 + np.exp(-np.clip(slope * np.array(votes) + offset, -30, 30))) if len(index.ids) else np.zeros(len(votes))
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": pa.array(scores, pa.float64()), "vote": pa.array(votes, pa.float64()), "evidence": pa.array(evidence, pa.list_(pa.int64())), "similarity": pa.array(similarity, pa.list_(pa.float64()))})
 
     scored = found.mapInArrow(run, "doc_id bigint, score double, vote double, evidence array<bigint>, similarity array<double>")
     return scored.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "vote", "evidence", "similarity")
