@@ -11,25 +11,27 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.common import crc_bucket, row_chunks, strings
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 DIM = len(ORDERS) << BUCKET_BITS
-#: Bound of the training sample: labelled rows per language, chosen by hash.
-MAX_ROWS_PER_LANGUAGE = 800
-MAX_LANGUAGES = 256
+#: Bounds of the fitted model: labelled rows per language, chosen by hash; languages, the most frequent ones (ties by name).
+MAX_ROWS_PER_LANGUAGE = 1_200
+MAX_LANGUAGES = 64
 UNDETERMINED = "und"
 
 
 def _fold_table() -> np.ndarray:
-    table = np.full(1 << 16, 0x20, np.uint32)
-    for i in range(1 << 16):
+    """Code point -> lower case of a letter, else a blank."""
+    table = np.full(0x110000, 0x20, np.uint32)
+    for i in range(0x110000):
         c = chr(i)
         if c.isalpha():
             low = c.lower()
@@ -41,9 +43,7 @@ _FOLD: np.ndarray | None = None
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points of all texts back to back (blanks squeezed) and text starts.
-
-    Letters beyond the basic plane keep their own code."""
+    """Folded code points of all texts back to back (blanks squeezed) and text starts."""
     global _FOLD
     if _FOLD is None:
         _FOLD = _fold_table()
@@ -52,7 +52,7 @@ def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     lead = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
     starts = lead[offsets]
-    folded = np.where(points < (1 << 16), _FOLD[np.minimum(points, 0xFFFF)], points)
+    folded = _FOLD[points]
     keep = np.ones(len(folded), bool)
     keep[1:] = (folded[1:] != 0x20) | (folded[:-1] != 0x20)
     kept = np.zeros(len(folded) + 1, np.int64)
@@ -81,11 +81,20 @@ def grams(points: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray,
 
 @dataclass
 class Model:
+    """Sparse weights: rows of features that have none are not kept, nor sent."""
+
     languages: list[str]
-    table: np.ndarray  # float32, DIM x languages: idf * weight
+    feature: np.ndarray  # features with a weight other than 0
+    weight: np.ndarray  # float32, those features x languages: idf * weight
     bias: np.ndarray
     temperature: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        out = np.zeros((DIM, len(self.languages)), np.float32)
+        out[self.feature] = self.weight
+        return out
+
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents x languages, whether a text has a letter)."""
         n = len(offsets) - 1
@@ -103,7 +112,7 @@ class Model:
         return p / p.sum(axis=1, keepdims=True), letter
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-4, l2: float = 1e-4, seed: int = 7) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-4, seed: int = 7) -> Model:
     """FTRL-proximal on (label, features, relative frequencies) rows; every fifth row fits the temperature."""
     df = np.zeros(DIM)
     for _, feature, _ in rows:
@@ -139,7 +148,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], ep
     w = weights(every)
     logits = np.array([(rows[i][2] * idf[rows[i][1]] * SCALE) @ w[rows[i][1]] + bias for i in held]).reshape(len(held), k)
     labels = np.array([rows[i][0] for i in held], int)
-    return Model(languages, (w * idf[:, None] * SCALE).astype(np.float32), bias, _temperature(logits, labels))
+    some = np.flatnonzero(w.any(axis=1))
+    return Model(languages, some, (w[some] * idf[some, None] * SCALE).astype(np.float32), bias, _temperature(logits, labels))
 
 
 #: Relative frequencies are small; this brings them to the order of one.
@@ -151,7 +161,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     if not len(labels):
         return 1.0
     best, least = 1.0, np.inf
-    for t in np.geomspace(0.1, 10.0, 81):
+    for t in np.geomspace(0.05, 20.0, 121):
         x = logits / t
         x = x - x.max(axis=1, keepdims=True)
         loss = np.mean(np.log(np.exp(x).sum(axis=1)) - x[np.arange(len(labels)), labels])
@@ -160,12 +170,35 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return best
 
 
+def _level(col: str) -> Column:
+    """Trailing zero bits of the value's hash: half of all values have 1 or more, a quarter 2 or more, ..."""
+    return F.expr(f"bit_count((xxhash64({col}) & -xxhash64({col})) - 1)")
+
+
+def sampled(labelled: DataFrame, max_rows: int, max_languages: int = MAX_LANGUAGES) -> DataFrame:
+    """Rows of (doc_id, text, lang) to learn from: per language all, or those over the level that leaves max_rows at most.
+
+    A count per (language, level) tells the level; no language's rows meet in one task.
+    """
+    good = labelled.where("lang is not null and text is not null").withColumn("_level", _level("doc_id"))
+    counts: dict[str, dict[int, int]] = {}
+    whole = good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
+    for r in good.join(F.broadcast(whole.select("lang")), "lang", "left_semi").groupBy("lang", "_level").count().collect():
+        counts.setdefault(r[0], {})[r[1]] = r[2]
+    least = []
+    for lang, by_level in counts.items():
+        left, at = sum(by_level.values()), 0
+        while left > max_rows:
+            left -= by_level.get(at, 0)
+            at += 1
+        least.append((lang, at))
+    levels = F.broadcast(labelled.sparkSession.createDataFrame(least, "lang string, _least int"))  # max_languages rows at most
+    return good.join(levels, "lang").where("_level >= _least").select("lang", "text")
+
+
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Model:
     """labelled: (doc_id, text, lang).  At most ``max_rows`` rows per language are used."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id")), "doc_id")
-    chosen = labelled.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_rows)
-    ids = [r[0] for r in chosen.select("doc_id").distinct().limit(max_rows * MAX_LANGUAGES).collect()]
-    sample = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(labelled.sparkSession.createDataFrame([(i,) for i in ids], "doc_id bigint")), "doc_id", "left_semi").select("lang", "text")
+    sample = sampled(labelled, max_rows)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +214,7 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Model:
     got = sorted(tuple(r) for r in sample.mapInArrow(vectors, "lang string, f binary, tf binary").collect())
     languages = sorted({g[0] for g in got})
     if not languages:
-        return Model([UNDETERMINED], np.zeros((DIM, 1), np.float32), np.zeros(1), 1.0)
+        return Model([UNDETERMINED], np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1), 1.0)
     rows = [(languages.index(lang), np.frombuffer(f, "<i4"), np.frombuffer(tf, "<f4").astype(np.float64)) for lang, f, tf in got]
     return fit(rows, languages)
 
@@ -208,7 +241,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """doc_id, lang_pred, score for every row; no shuffle.
 
     A null text, or one without a letter, is ``und`` with score 0; so is every
-    text if nothing was learned.  Repeated rows are predicted alike.
+    text if nothing was learned.  Of languages that score alike the first by
+    name counts.  Repeated rows are predicted alike; a long text is one text, and
+    a task holds about 1 MB of texts, or one longer text, at a time.  Columns
+    besides id and text are not read, whatever their names.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # DIM x languages floats, a fixed size
 
