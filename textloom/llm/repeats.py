@@ -3,21 +3,26 @@
 The jobs, all keyed so that no task needs more than its share:
 
 1. anchors   every document's segments (see ``windows``), packed by key bucket.
-             Equal segments of one flush meet here already: only one travels.
-2. classes   per key bucket: a segment whose hull occurs again is settled as a
-             whole; the first of each hull is *open* if its key has other hulls,
-             because windows may still be shared in part.
-3. contexts  open segments fetch their items from their documents.
+             Equal segments of one flush meet here already: one travels for
+             them, the others are known as further occurrences of its leaf.
+2. leaves    per key bucket: equal segments are one leaf with a list of
+             occurrences.  Leaves of keys that occur more than once are *open*.
+3. contexts  open leaves fetch their items from the document of their first
+             occurrence.
 4. orders    per key: the items right of the anchor are put in order, and those
              left of it, read backwards.  Two windows that start o items before
-             their anchors are equal exactly if their left contexts agree on o
-             items and their right ones on window - o; with the longest common
-             prefixes of neighbours at hand that is one look-up per window.
-5. cover     the settled ranges come back to their documents.
-
-A key with very many hulls (a passage many documents share, at whose edges the
-contexts all differ) is split again in step 3: blocks of windows are keyed by
-the items all of them contain.
+             their anchors are equal exactly if they lie below one node of depth
+             o on the left and one of depth window - o on the right; the windows
+             below such nodes that have several leaves, or a leaf with several
+             occurrences, are repeats.  Each leaf's ranges follow; its further
+             occurrences are repeats as a whole.
+5. cover     the ranges come back to their documents.
+
+A key with very many leaves (a passage many documents share, at whose edges the
+contexts all differ) never meets in one task: the map task that finds it hot
+spreads its segments and tells the key's bucket, and open leaves of hot keys go
+on as blocks of windows, keyed by the items that all windows of a block contain;
+equal blocks of one task travel once.
 """
 
 from __future__ import annotations
@@ -27,14 +32,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from textloom.llm.common import row_chunks, strings, word_hashes, word_spans, written
+from textloom.llm.common import parts_of, row_chunks, strings, word_hashes, word_spans, written
 from textloom.llm.windows import U64, mix, segments
 
-#: Windows of one block of a key that is split again.
-HOT_BLOCK = 8
 Order = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 
 
@@ -46,7 +50,8 @@ class Spec:
     keep_first: bool  # the first occurrence stays, else every occurrence goes
     flush: int = 500_000  # segments a map task holds before it packs them
     piece: int = 2 << 20  # items of one piece of a long document
-    hot_hulls: int = 2_000  # hulls of a key beyond which it is split again
+    hot_hulls: int = 256  # leaves of a key, in one flush or one bucket, beyond which it is split again
+    block: int = 8  # windows of one block of such a key
     lot: int = 20_000  # rows put in order at a time
 
     @property
@@ -55,8 +60,10 @@ class Spec:
 
 
 _ROW = np.dtype([("key", "<u8"), ("hull", "<u8"), ("rid", "<i8"), ("pos", "<i8"), ("before", "<i4"), ("n", "<i4"), ("state", "u1")])
-#: state: shipped alone, shipped for several equal segments, already settled
-ONE, MANY, SETTLED = 0, 1, 2
+#: state: an occurrence, one for several equal segments, a further occurrence of a leaf, the notice that a key is hot.
+ONE, MANY, FURTHER, NOTICE = 0, 1, 2, 3
+#: added to ONE and MANY of hot keys, which go by hull instead of by key
+HOT = 4
 
 
 def items_of(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +85,8 @@ def _pieces(items: np.ndarray, bounds: np.ndarray, window: int, size: int) -> It
 
 
 def _pack(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    where = np.where(rows["state"] == SETTLED, mix(rows["rid"].astype(U64)), rows["key"]) % U64(buckets)
+    by = np.where(rows["state"] == FURTHER, mix(rows["rid"].astype(U64)), np.where(rows["state"] >= HOT, mix(rows["hull"]), rows["key"]))
+    where = by % U64(buckets)
     order = np.argsort(where, kind="stable")
     rows, where = rows[order], where[order].astype(np.int32)
     cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(rows)])) if len(rows) else [0]
@@ -108,7 +116,7 @@ def _equal_segments(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     head = np.flatnonzero(np.concatenate(([True], (rows["key"][1:] != rows["key"][:-1]) | (rows["hull"][1:] != rows["hull"][:-1])))) if len(rows) else np.zeros(0, np.int64)
     count = np.diff(np.append(head, len(rows)))
     if len(head):
-        count = count + np.maximum.reduceat((rows["state"] == MANY).astype(np.int64), head)
+        count = count + np.maximum.reduceat((rows["state"] % HOT == MANY).astype(np.int64), head)
     return rows, head, count
 
 
@@ -121,8 +129,15 @@ def anchors(keyed: DataFrame, spec: Spec, buckets: int) -> DataFrame:
             several = np.repeat(count > 1, np.diff(np.append(head, len(rows))))
             first = np.zeros(len(rows), bool)
             first[head] = True
-            rows["state"][several & ~first] = SETTLED
+            rows["state"][several & ~first] = FURTHER
             rows["state"][several & first] = MANY
+            keys, leaves = np.unique(rows["key"][head], return_counts=True)
+            hot = keys[leaves > spec.hot_hulls]
+            if len(hot):
+                rows["state"][first & np.isin(rows["key"], hot)] += HOT
+                notice = np.zeros(len(hot), _ROW)
+                notice["key"], notice["state"] = hot, NOTICE
+                rows = np.concatenate((rows, notice))
             yield from _pack(rows, buckets)
 
         for batch in batches:
@@ -150,52 +165,62 @@ def anchors(keyed: DataFrame, spec: Spec, buckets: int) -> DataFrame:
     return keyed.select("rid", "text").mapInArrow(run, _PACKED)
 
 
-_CLASSED = "rid bigint, start bigint, stop bigint, key bigint, pos bigint, before int, n int, hot boolean"
+_CLASSED = "rid bigint, start bigint, stop bigint, key bigint, pos bigint, before int, n int, several boolean, hot boolean"
 
 
-def classes(packed: DataFrame, spec: Spec) -> DataFrame:
-    """Settled ranges (key null), and open segments, the first of each hull of a shared key."""
+def leaves(packed: DataFrame, spec: Spec) -> DataFrame:
+    """Ranges of further occurrences (key null), and open leaves, by their first occurrence."""
 
-    def emit(rows: np.ndarray, settled: bool, hot: np.ndarray | None = None) -> pa.RecordBatch:
+    def emit(rows: np.ndarray, several: np.ndarray | None = None, hot: np.ndarray | None = None) -> pa.RecordBatch:
+        further = several is None
         start = rows["pos"] - rows["before"]
-        none = pa.nulls(len(rows), pa.int64())
+        none, unsaid = pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), pa.bool_())
         return pa.RecordBatch.from_pydict({
-            "rid": rows["rid"], "start": start if settled else none, "stop": start + rows["n"] - 1 + spec.window if settled else none,
-            "key": none if settled else rows["key"].astype(np.int64), "pos": none if settled else rows["pos"], "before": rows["before"], "n": rows["n"],
-            "hot": pa.nulls(len(rows), pa.bool_()) if hot is None else pa.array(hot),
+            "rid": rows["rid"], "start": start if further else none, "stop": start + rows["n"] - 1 + spec.window if further else none,
+            "key": none if further else rows["key"].astype(np.int64), "pos": none if further else rows["pos"], "before": rows["before"], "n": rows["n"],
+            "several": unsaid if further else pa.array(several), "hot": unsaid if further else pa.array(hot),
         })
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _unpack(batches)
-        done = rows["state"] == SETTLED
-        if done.any():
-            yield emit(rows[done], True)
-        rows, head, count = _equal_segments(rows[~done])
+        if (done := rows["state"] == FURTHER).any():
+            yield emit(rows[done])
+        told = np.unique(rows["key"][rows["state"] == NOTICE])
+        rows, head, count = _equal_segments(rows[~done & (rows["state"] != NOTICE)])
         if not len(rows):
             return
-        first = np.zeros(len(rows), bool)
-        first[head] = True
-        several = np.repeat(count > 1, np.diff(np.append(head, len(rows))))
-        settled = several & ~first if spec.keep_first else several
-        if settled.any():
-            yield emit(rows[settled], True)
-        hulls = rows[head]
-        _, inverse, per_key = np.unique(hulls["key"], return_inverse=True, return_counts=True)
-        shared = per_key[inverse] > 1
+        further = np.ones(len(rows), bool)
+        further[head] = False
+        if further.any():
+            yield emit(rows[further])
+        leaf, several = rows[head], count > 1
+        _, inverse, per_key = np.unique(leaf["key"], return_inverse=True, return_counts=True)
+        hot = (leaf["state"] >= HOT) | np.isin(leaf["key"], told) | (per_key[inverse] > spec.hot_hulls)
+        shared = several | hot | (per_key[inverse] > 1)
         if shared.any():
-            yield emit(hulls[shared], False, per_key[inverse][shared] > spec.hot_hulls)
+            yield emit(leaf[shared], several[shared], hot[shared])
 
     return packed.mapInArrow(run, _CLASSED)
 
 
-_CONTEXT = "key bigint, rid bigint, pos bigint, before int, n int, items binary"
+_CONTEXT = "key bigint, rid bigint, pos bigint, before int, n int, several boolean, items binary"
 
 
 def contexts(keyed: DataFrame, open_rows: DataFrame, spec: Spec) -> DataFrame:
-    """Open segments with the items of their hulls; hot keys in blocks with keys of their own."""
-    wanted = open_rows.groupBy("rid").agg(F.collect_list(F.struct("key", "pos", "before", "n", "hot")).alias("want"))
+    """Open leaves with the items of their hulls; hot keys in blocks with keys of their own.
+
+    Blocks that equal an earlier one of the batch come without items, under a key
+    that spreads them: their windows are repeats as a whole.
+    """
+    wanted = open_rows.groupBy("rid").agg(F.collect_list(F.struct("key", "pos", "before", "n", "several", "hot")).alias("want"))
     joined = keyed.select("rid", "text").join(wanted, "rid").select("rid", "text", "want")
-    width, window = spec.width, spec.window
+    width, window, size = spec.width, spec.window, spec.block
+
+    def blocks(at: int, before: int, n: int) -> Iterator[tuple[int, int, int, int]]:
+        """(block, first item of its core, windows' largest distance to the anchor, windows)."""
+        for block in range((before - n + 1) // size, before // size + 1):
+            far, near = min(before, block * size + size - 1), max(before - n + 1, block * size)
+            yield block, at - block * size, far, far - near + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,42 +229,45 @@ def contexts(keyed: DataFrame, open_rows: DataFrame, spec: Spec) -> DataFrame:
             lists = batch.column(2)
             edges = np.asarray(lists.offsets)
             flat = lists.values
-            key, pos, before, n, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+            key, pos, before, n, several, hot = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(6))
             for lo, hi in row_chunks(offsets):
                 items, bounds = items_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], spec.words)
                 raw = items.tobytes()
-                out: dict[str, list] = {c.split()[0]: [] for c in _CONTEXT.split(", ")}
+                out: list[list] = []  # key, rid, pos, before, n, several, items
+                of_block: dict[tuple[int, bytes], list[int]] = {}
                 for doc in range(lo, hi):
                     base, rid = int(bounds[doc - lo]), rids[doc]
                     for i in range(edges[doc], edges[doc + 1]):
                         at, b, m = int(pos[i]), int(before[i]), int(n[i])
-                        blocks = [(int(key[i]), b, m)]
-                        if hot[i]:
-                            blocks = []
-                            for block in range((b - m + 1) // HOT_BLOCK, b // HOT_BLOCK + 1):
-                                far, near = min(b, block * HOT_BLOCK + HOT_BLOCK - 1), max(b - m + 1, block * HOT_BLOCK)
-                                core = raw[(base + at - block * HOT_BLOCK) * width : (base + at - block * HOT_BLOCK - HOT_BLOCK + 1 + window) * width]
-                                blocks.append((xxhash.xxh64_intdigest(core, block) - (1 << 63), far, far - near + 1))
-                        for k, far, count in blocks:
-                            lo_item = base + at - far
-                            out["key"].append(k)
-                            out["rid"].append(rid)
-                            out["pos"].append(at)
-                            out["before"].append(far)
-                            out["n"].append(count)
-                            out["items"].append(raw[lo_item * width : (lo_item + count - 1 + window) * width])
-                if out["key"]:
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(out["key"], pa.int64()), "rid": pa.array(out["rid"], pa.int64()), "pos": pa.array(out["pos"], pa.int64()), "before": pa.array(out["before"], pa.int32()), "n": pa.array(out["n"], pa.int32()), "items": pa.array(out["items"], pa.binary())})
+                        cut = lambda far, count: raw[(base + at - far) * width : (base + at - far + count - 1 + window) * width]  # noqa: B023, E731
+                        if not hot[i]:
+                            out.append([int(key[i]), rid, at, b, m, bool(several[i]), cut(b, m)])
+                            continue
+                        for block, core, far, count in blocks(base + at, b, m):
+                            k = xxhash.xxh64_intdigest(raw[core * width : (core - size + 1 + window) * width], block) - (1 << 63)
+                            of_block.setdefault((k, cut(far, count)), []).append(len(out))
+                            out.append([k, rid, at, far, count, bool(several[i]), cut(far, count)])
+                for same in of_block.values():
+                    if len(same) > 1:
+                        same.sort(key=lambda j: (out[j][1], out[j][2]))
+                        out[same[0]][5] = True
+                        for j in same[1:]:
+                            out[j][0], out[j][6] = out[j][1], None
+                if out:
+                    columns = zip(*out, strict=True)
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _CONTEXT.split(", ")])
 
     return joined.mapInArrow(run, _CONTEXT)
 
 
-def shared_windows(items: list[bytes], rid: np.ndarray, pos: np.ndarray, before: np.ndarray, n: np.ndarray, spec: Spec, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ranges (rid, start, stop) of windows that occur in several of these segments."""
+def shared_windows(items: list[bytes], rid: np.ndarray, pos: np.ndarray, before: np.ndarray, n: np.ndarray, several: np.ndarray, spec: Spec, order: Order) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ranges (rid, start, stop) of these leaves' windows that occur in several leaves, or in one that occurs several times."""
     width, window = spec.width, spec.window
     if spec.keep_first:  # rows in order of occurrence: the first of equals is the earliest
         earliest = np.lexsort((pos, rid))
         items, rid, pos, before, n = [items[i] for i in earliest], rid[earliest], pos[earliest], before[earliest], n[earliest]
+        several = np.zeros(len(rid), bool)  # a leaf's own later occurrences do not touch its first
     cut = (before * width).tolist()
     right, right_lcp = order([x[c:] for x, c in zip(items, cut, strict=True)])
     if width == 1:
@@ -252,7 +280,7 @@ def shared_windows(items: list[bytes], rid: np.ndarray, pos: np.ndarray, before:
     rows, starts = [], []
     for o in range(int((before - n + 1).min()), int(before.max()) + 1):
         here = np.flatnonzero((before >= o) & (before - n < o))
-        if len(here) < 2:
+        if not len(here):
             continue
         left_class = np.cumsum(left_lcp < o)[left_rank[here]]
         right_class = np.cumsum(right_lcp < window - o)[right_rank[here]]
@@ -260,8 +288,8 @@ def shared_windows(items: list[bytes], rid: np.ndarray, pos: np.ndarray, before:
         by = np.argsort(both, kind="stable")
         ranked = both[by]
         same = ranked[1:] == ranked[:-1]
-        hit = np.zeros(len(here), bool)
-        hit[by[1:]] = same
+        hit = several[here]
+        hit[by[1:]] |= same
         if not spec.keep_first:
             hit[by[:-1]] |= same
         rows.append(here[hit])
@@ -279,9 +307,16 @@ def shared_windows(items: list[bytes], rid: np.ndarray, pos: np.ndarray, before:
 _RANGE = "rid bigint, start bigint, stop bigint"
 
 
-def orders(found: DataFrame, spec: Spec, order: Order) -> DataFrame:
+def orders(found: DataFrame, spec: Spec, order: Order, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = list(batches)
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            known = batch.column(6).is_null()
+            held.append(batch.filter(pc.invert(known)))
+            done = batch.filter(known)
+            if done.num_rows:
+                pos, before, n = (done.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3, 4))
+                yield pa.RecordBatch.from_pydict({"rid": done.column(1), "start": pos - before, "stop": pos - before + n - 1 + spec.window})
         if not sum(b.num_rows for b in held):
             return
         table = pa.Table.from_batches(held).sort_by("key")
@@ -294,19 +329,19 @@ def orders(found: DataFrame, spec: Spec, order: Order) -> DataFrame:
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             part = table.slice(lo, hi - lo)
             rid, pos, before, n = (part.column(c).to_numpy().astype(np.int64) for c in ("rid", "pos", "before", "n"))
-            r, start, stop = shared_windows(part.column("items").to_pylist(), rid, pos, before, n, spec, order)
+            several = part.column("several").to_numpy().astype(bool)
+            r, start, stop = shared_windows(part.column("items").to_pylist(), rid, pos, before, n, several, spec, order)
             yield pa.RecordBatch.from_pydict({"rid": r, "start": start, "stop": stop})
 
-    return found.repartition(F.col("key")).mapInArrow(run, _RANGE)
+    return found.repartition(parts, F.col("key")).mapInArrow(run, _RANGE)
 
 
 def covered(keyed: DataFrame, spec: Spec, order: Order) -> DataFrame:
     """(rid, text, ranges): every row, with the item ranges that repeated windows cover (null: none)."""
-    spark = keyed.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed = anchors(keyed, spec, buckets).repartition(F.col("bucket"))
-    classed = written(classes(packed, spec))
-    late = orders(contexts(keyed, classed.where("key is not null"), spec), spec, order)
+    parts = parts_of(keyed)
+    packed = anchors(keyed, spec, 4 * parts).repartition(parts, F.col("bucket"))
+    classed = written(leaves(packed, spec))
+    late = orders(contexts(keyed, classed.where("key is not null"), spec), spec, order, parts)
     ranges = classed.where("key is null").select("rid", "start", "stop").unionByName(late)
     per_doc = ranges.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("ranges"))
     return keyed.select("rid", "text").join(per_doc, "rid", "left").select("rid", "text", "ranges")

@@ -108,7 +108,7 @@ def deep_shallow(suffixes: list[bytes], shallow: int = SHALLOW) -> tuple[np.ndar
     return np.array(result, np.int64), np.array(joined, np.int64)
 
 
-SPEC = Spec(words=False, window=200, gram=100, keep_first=False)
+SPEC = Spec(words=False, window=200, gram=100, keep_first=False, block=32)
 SCHEMA = "rid bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
