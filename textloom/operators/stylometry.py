@@ -19,8 +19,14 @@ THIRD_PERSON = ("he", "she", "it", "they", "him", "her", "them", "his", "hers",
 COMMON = ("the", "of", "and", "to", "a", "that", "is", "it")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer splits than the session has cores is dealt anew; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def tokens(docs: DataFrame) -> DataFrame:

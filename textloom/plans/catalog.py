@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from textloom.functions import stats
-from textloom.operators import corpus, forensics, phrases, rules, stylometry
+from textloom.operators import corpora, corpus, forensics, measured_rules, phrases, rules, stylometry, writing_rules
 from textloom.streaming import quota
 
-_PARTS = (stylometry, rules, forensics, corpus, phrases, stats, quota)
+_PARTS = (stylometry, rules, writing_rules, measured_rules, forensics, corpus, corpora, phrases, stats, quota)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "stylometry"
