@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from textloom.functions import evaluation, stats
-from textloom.operators import corpora, corpus, forensics, measured_rules, phrases, rules, stylometry, writing_rules
+from textloom.operators import corpora, corpus, document_measures, forensics, measured_rules, phrases, rules, stylometry, writing_rules
+from textloom.sources import text_files
 from textloom.streaming import quota
 
-_PARTS = (stylometry, rules, writing_rules, measured_rules, forensics, corpus, corpora, phrases, stats, evaluation, quota)
+_PARTS = (stylometry, rules, writing_rules, measured_rules, forensics, corpus, corpora, document_measures, phrases, stats, evaluation, quota, text_files)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "stylometry"
