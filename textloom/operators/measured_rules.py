@@ -21,7 +21,7 @@ VERSION_DASH = r"(?m)^#{1,6}[ \t]+\[?v?\d+\.\d+\.\d+[^\]\n]*\]?[ \t]*—[ \t]*\d
 DASHES = ("—", r"(?m)(?:^|\s)--(?:\s|$)", r"\S (?:-|–) ")
 MISSING_MARK = r"(?i)\b(?:dont|wont|cant|isnt|wasnt|shouldnt|wouldnt|couldnt|youre|theyre|its\s+a\s+\w+ing)\b"
 COPULA = r"(?i)\b(?:serves?|stands?|functions?|operates?)\s+as\s+(?:a|an|the)\b"
-PASSIVE = r"(?i)\b(?:is|are|was|were|been|being|be)\s+(?:\w+ly\s+)?\w{3,}(?:ed|en|wn|lt)\b"
+PASSIVE = r"(?i)(?:^|[^\p{L}\p{N}_])(?:is|are|was|were|been|being|be)\s+(?:\w+ly\s+)?\w{3,}(?:ed|en|wn|lt)(?:[^\p{L}\p{N}_]|$)"
 OPENER = r"(?i)^\s*(?:Additionally|Moreover|Furthermore|Subsequently|In\s+addition|What['’]s\s+more)\b"
 VERB = r"(?i)\b(?:is|are|was|were|has|have|had|will|would|should|must|do|does|did|can|could|may|might|am|been|being)\b"
 BOLD_LABEL = r"^\s*[-*+•]\s*\*\*[^*\n]{2,40}\*\*[:.]?\s"
@@ -109,7 +109,7 @@ def bases(docs: DataFrame) -> DataFrame:
         _stat(F.transform(F.filter(paras, lambda p: _words(p) >= 5), lambda p: _count(p, "[,;:—()]").cast("double") / _words(p))).alias("st_density"),
         _stat(F.filter(F.transform(paras, lambda p: F.transform(F.array(_stat(_numbers(F.transform(_sentences(p), _words)))), lambda z: F.when(z["n"] >= 3, z["cv"]))[0]), lambda c: c.isNotNull())).alias("st_rhythm"),
         _trigrams(F.col("tok")).alias("grams"),
-        F.transform(sents, lambda x: F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit(r"\b[a-z]{6,}\b"), F.lit(0)))).alias("content"),
+        F.transform(sents, lambda x: F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda k: k.rlike("^[a-z]{6,}$")))).alias("content"),
         letters(paras, lambda p: F.when(p.rlike(OPENER), "o").otherwise("x")).alias("opener_code"),
         F.size(F.filter(paras, lambda p: letters(F.split(F.regexp_replace(p, r"([.!?])\s+", "$1\u0001"), "\u0001"), lambda x: F.when(_words(x).between(1, 4) & x.rlike(r"[.!?]\s*$"), "s").otherwise("x")).contains("sss"))).alias("shorts"),
         F.regexp_replace(t, r"\s+$", "").alias("trimmed"),
@@ -336,7 +336,7 @@ m0 AS (SELECT b.*, total, kinds, entropy, {_c('t', LABEL_DASH)} + {_c('t', VERSI
   len(list_filter(range(1, len(slens)), lambda i: (slens[i] > 0 AND slens[i] <= 6 AND slens[i + 1] >= 3 * slens[i] AND slens[i + 1] >= 12) OR (slens[i + 1] > 0 AND slens[i + 1] <= 6 AND slens[i] >= 3 * slens[i + 1] AND slens[i] >= 12))) AS cadence,
   len(list_filter(sents, lambda s: {_m('s', PASSIVE)})) AS passive,
   {_c('t', r'(?:^|[^\w.])[£$€]?\d[\d,.]*%?')} + {_c('t', r'[a-z,;]\s[A-Z][a-z]{2,}')} AS specific,
-  list_transform(sents, lambda s: list_distinct(regexp_extract_all(lower(s), '\b[a-z]{{6,}}\b'))) AS content,
+  list_transform(sents, lambda s: list_distinct(list_filter(regexp_extract_all(lower(s), '[\p{{L}}\p{{N}}_]+'), lambda k: regexp_matches(k, '^[a-z]{{6,}}$')))) AS content,
   {_c('t', r'\*\*[^*\n]{1,120}\*\*')} AS bold, {_c('t', r'(?m)^#{1,6}[ \t]+\S')} AS md, {_c('t', r'(?m)^[^\S\n]*[-*•]\s+')} AS bullets, {_c('raw', f'[{wr.ZERO_WIDTH}]')} AS width, {_c('raw', f'[{wr.LOOKALIKES[0]}]')} AS swaps,
   list_filter(regexp_extract_all(regexp_replace(plain, '`[^`\n]+`', ' ', 'g'), '(?:^|\W)#(\w[\w-]*)', 1), lambda x: NOT (regexp_matches(x, '^\d+$') OR (regexp_matches(x, '(?i)^(?:[0-9a-f]{{6}}|[0-9a-f]{{8}})$') AND regexp_matches(x, '\d')) OR regexp_matches(x, '^(?:{DIRECTIVE})$'))) AS tags
   FROM b LEFT JOIN g3 USING (doc_id)),
