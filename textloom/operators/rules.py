@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.stylometry import documents
 
@@ -16,9 +16,14 @@ STOCK_PHRASES = ("in today's rapidly evolving landscape", "game-changer", "in co
 TRANSITIONS = ("moreover", "furthermore", "additionally", "consequently", "therefore", "however")
 OPENING_WORDS, MIN_OPENINGS = 3, 3
 DENSITY, DENSITY_WORDS = 0.04, 40
-#: Elements whose content is never visible.
-HIDDEN = ("script", "style", "figure", "figcaption", "aside", "nav", "form", "noscript")
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
+# Elements whose content is never visible, elements that end a line, named entities.
+HIDDEN = ("script", "style", "template", "noscript")
+BLOCK = "address|article|aside|blockquote|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul"
+ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "amp": "&"}
+#: One pattern for all that is not shown, one for every kind of tag, one for character references.
+UNSEEN = "(?is)<!--.*?-->|" + "|".join(rf"<{x}\b[^>]*>.*?</{x}[ \t\n]*>" for x in HIDDEN)
+LINE_TAG, TAG = rf"(?i)</?(?:{BLOCK})\b[^>]*>", r"</?[A-Za-z!][^>]*>"
+REFERENCE = "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|" + "|".join(ENTITIES) + ");"
 
 
 def overused_phrases(docs: DataFrame) -> DataFrame:
@@ -85,32 +90,41 @@ SELECT doc_id, CASE WHEN coalesce(size, 0) = 0 THEN 'empty' WHEN script > 0 THEN
 """
 
 
+def _decoded(reference: Column) -> Column:
+    """The character of a reference; one that names no character stays as it is."""
+    named = F.coalesce(*[F.when(reference == f"&{k};", F.lit(c)) for k, c in ENTITIES.items()])
+    hexed = F.conv(F.regexp_extract(reference, "^&#[xX]([0-9A-Fa-f]+);$", 1), 16, 10)
+    point = F.when(reference.rlike("^&#[xX]"), hexed).when(reference.startswith("&#"), F.regexp_extract(reference, "^&#([0-9]+);$", 1)).cast("int")
+    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    return F.coalesce(named, F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")), reference)
+
+
 def visible_text(pages: DataFrame) -> DataFrame:
-    """Text of HTML pages: hidden elements dropped, breaks kept, tags removed, six entities decoded."""
-    t = F.col("html")
-    for tag in HIDDEN:
-        t = F.regexp_replace(t, rf"(?is)<{tag}[^>]*>.*?</{tag}>", " ")
-    t = F.regexp_replace(t, r"(?i)<br[ \t\n]*/?>", "\n")
-    t = F.regexp_replace(t, r"(?i)</(?:p|div|h[1-6]|li|blockquote|tr)>", "\n\n")
-    t = F.regexp_replace(t, "<[^>]+>", " ")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"[ \t]+", " "), " *\n *", "\n"), "\n{3,}", "\n\n")
-    t = F.regexp_replace(t, r"^[ \n\r\t]+|[ \n\r\t]+$", "")
-    return pages.select("page_id", t.alias("visible"))
+    """Text of HTML pages: what is not shown goes, block elements end lines, other tags vanish, references are decoded once.
+
+    Text and references are taken apart and put together again, so that a decoded
+    ampersand never begins a reference.
+    """
+    shown = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", UNSEEN, ""), LINE_TAG, "\n"), TAG, "")
+    cut = pages.where("html is not null").select("page_id", shown.alias("t"))
+    references = F.transform(F.regexp_extract_all("t", F.lit(REFERENCE), F.lit(0)), _decoded)
+    joined = F.array_join(F.zip_with(F.split("t", REFERENCE, -1), references, lambda x, c: F.concat(x, F.coalesce(c, F.lit("")))), "")
+    return cut.select("page_id", F.btrim(F.regexp_replace(F.regexp_replace(joined, r"[ \t\r\x{A0}]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n")).alias("visible"))
 
 
 def _visible_sql() -> str:
-    t = "html"
-    for tag in HIDDEN:
-        t = f"regexp_replace({t}, '(?is)<{tag}[^>]*>.*?</{tag}>', ' ', 'g')"
-    t = rf"regexp_replace({t}, '(?i)<br[ \t\n]*/?>', chr(10), 'g')"
-    t = f"regexp_replace({t}, '(?i)</(?:p|div|h[1-6]|li|blockquote|tr)>', chr(10) || chr(10), 'g')"
-    t = f"regexp_replace({t}, '<[^>]+>', ' ', 'g')"
-    for name, char in ENTITIES.items():
-        t = f"replace({t}, '{name}', '{_q(char)}')"
-    t = rf"regexp_replace(regexp_replace(regexp_replace({t}, '[ \t]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
-    return rf"SELECT page_id, regexp_replace({t}, '^[ \n\r\t]+|[ \n\r\t]+$', '', 'g') AS visible FROM pages"
+    shown = "html"
+    for pattern, by in ((UNSEEN, "''"), (LINE_TAG, "chr(10)"), (TAG, "''")):
+        shown = f"regexp_replace({shown}, '{_q(pattern)}', {by}, 'g')"
+    point = "(CASE WHEN r[3] IN ('x', 'X') THEN ('0x' || r[4:len(r) - 1])::BIGINT WHEN r[2] = '#' THEN r[3:len(r) - 1]::BIGINT END)"
+    named = " ".join(f"WHEN r = '&{k};' THEN '{_q(c)}'" for k, c in ENTITIES.items())
+    decoded = f"(CASE {named} WHEN {point} BETWEEN 1 AND 1114111 AND NOT {point} BETWEEN 55296 AND 57343 THEN chr({point}::INT) ELSE r END)"
+    return rf"""
+WITH s AS (SELECT page_id, {shown} AS t FROM pages WHERE html IS NOT NULL),
+c AS (SELECT page_id, string_split_regex(t, '{REFERENCE}') AS x, list_transform(regexp_extract_all(t, '{REFERENCE}'), lambda r: {decoded}) AS r FROM s),
+j AS (SELECT page_id, array_to_string(list_transform(range(1, len(x) + 1), lambda i: x[i] || coalesce(r[i], '')), '') AS t FROM c)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r\x{{A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS visible FROM j
+"""
 
 
 QUERIES = {

@@ -1,13 +1,12 @@
 """Stylometric features of documents.
 
-Features of single tokens come from per-row array expressions; those of counts
-(vocabulary richness, repetition) from one aggregation by (document, token)
-with map-side combining, then one by document.
+All come from array expressions of one row, so nothing shuffles and rows that
+repeat a doc_id stay apart; counts of words are run lengths of the sorted array.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions.text import ngrams, rate, sentences, words
 
@@ -29,34 +28,45 @@ def documents(spark, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.explode(words(F.col("text"))).alias("tok"))
+def frequencies(a: Column) -> Column:
+    """struct<n, kinds, once, twice, squares> of an array of strings: how often its values occur."""
+    names = ("run", "n", "kinds", "once", "twice", "squares")
+    zero = F.struct(F.lit(None).cast("string").alias("last"), *[F.lit(0).cast("bigint").alias(k) for k in names])
 
+    def closed(z: Column) -> dict[str, Column]:
+        """The totals with the run at hand."""
+        return {"once": z["once"] + (z["run"] == 1).cast("bigint"), "twice": z["twice"] + (z["run"] == 2).cast("bigint"), "squares": z["squares"] + z["run"] * z["run"]}
 
-def _hits(column: str, listed: tuple[str, ...]):
-    return F.sum(F.when(F.col(column).isin(*listed), F.col("n")).otherwise(0))
+    one = F.lit(1).cast("bigint")
+    again = lambda z, x: F.struct(x.alias("last"), (z["run"] + 1).alias("run"), (z["n"] + 1).alias("n"), *[z[k].alias(k) for k in names[2:]])
+    fresh = lambda z, x: F.struct(x.alias("last"), one.alias("run"), (z["n"] + 1).alias("n"), (z["kinds"] + 1).alias("kinds"), *[c.alias(k) for k, c in closed(z).items()])
+    finish = lambda z: F.struct(z["n"].alias("n"), z["kinds"].alias("kinds"), *[c.alias(k) for k, c in closed(z).items()])
+    return F.aggregate(F.array_sort(a), zero, lambda z, x: F.when(z["last"].eqNullSafe(x), again(z, x)).otherwise(fresh(z, x)), finish)
 
 
 def lexical(docs: DataFrame) -> DataFrame:
     """Vocabulary richness and word-class rates; documents without a word have no row."""
-    n = F.sum("n")
-    types = F.count("*")
-    out = tokens(docs).groupBy("doc_id", "tok").agg(F.count("*").alias("n")).groupBy("doc_id").agg(
+    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
+    f = w.select("doc_id", "w", frequencies(F.col("w")).alias("f"))
+    n, types = F.col("f.n"), F.col("f.kinds")
+    of = lambda test: F.size(F.filter("w", test))
+    listed = lambda group: of(lambda x: x.isin(*group)) * 1000.0 / n
+    return f.select(
+        "doc_id",
         n.alias("n_words"),
         types.alias("n_types"),
-        (F.sum((F.col("n") == 1).cast("int")) / types).alias("hapax_rate"),
-        (F.sum((F.col("n") == 2).cast("int")) / types).alias("dis_rate"),
-        (F.lit(10000.0) * (F.sum(F.col("n") * F.col("n")) - n) / (n * n)).alias("yule_k"),
-        (F.sum(F.length("tok") * F.col("n")) / n).alias("mean_word_len"),
-        (F.sum(F.when(F.length("tok") >= 8, F.col("n")).otherwise(0)) / n).alias("long_word_rate"),
-        (F.sum(F.when(F.length("tok") <= 3, F.col("n")).otherwise(0)) / n).alias("short_word_rate"),
-        *[(F.sum(F.when(F.col("tok") == w, F.col("n")).otherwise(0)) * 1000.0 / n).alias(f"{w}_rate") for w in COMMON],
-        (_hits("tok", FIRST_SINGULAR) * 1000.0 / n).alias("first_singular_rate"),
-        (_hits("tok", FIRST_PLURAL) * 1000.0 / n).alias("first_plural_rate"),
-        (_hits("tok", SECOND_PERSON) * 1000.0 / n).alias("second_person_rate"),
-        (_hits("tok", THIRD_PERSON) * 1000.0 / n).alias("third_person_rate"),
+        (F.col("f.once") / types).alias("hapax_rate"),
+        (F.col("f.twice") / types).alias("dis_rate"),
+        (F.lit(10000.0) * (F.col("f.squares") - n) / (n * n)).alias("yule_k"),
+        (F.aggregate("w", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)) / n).alias("mean_word_len"),
+        (of(lambda x: F.length(x) >= 8) / n).alias("long_word_rate"),
+        (of(lambda x: F.length(x) <= 3) / n).alias("short_word_rate"),
+        *[listed((w,)).alias(f"{w}_rate") for w in COMMON],
+        listed(FIRST_SINGULAR).alias("first_singular_rate"),
+        listed(FIRST_PLURAL).alias("first_plural_rate"),
+        listed(SECOND_PERSON).alias("second_person_rate"),
+        listed(THIRD_PERSON).alias("third_person_rate"),
     )
-    return out
 
 
 def _sql_list(listed: tuple[str, ...]) -> str:
@@ -82,11 +92,11 @@ FROM c GROUP BY doc_id
 
 
 def repetition(docs: DataFrame) -> DataFrame:
-    """Distinct 2- and 3-gram shares and repeated trigrams."""
-    tok = docs.select("doc_id", words(F.col("text")).alias("w"))
-    grams = lambda n: tok.select("doc_id", F.explode(ngrams(F.col("w"), n)).alias("g")).groupBy("doc_id", "g").agg(F.count("*").alias("c")).groupBy("doc_id").agg(F.count("*").alias(f"d{n}"), F.sum(F.col("c") - 1).alias(f"r{n}"), F.sum("c").alias(f"t{n}"))
-    both = grams(2).join(grams(3), "doc_id", "left")
-    return both.select("doc_id", (F.col("d2") / F.col("t2")).alias("distinct2"), F.coalesce(F.col("d3") / F.col("t3"), F.lit(0.0)).alias("distinct3"), F.coalesce(F.col("r3") / F.col("t3"), F.lit(0.0)).alias("repeat_trigram_rate"))
+    """Distinct 2- and 3-gram shares and repeated trigrams, of documents of two words or more."""
+    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 2)
+    f = w.select("doc_id", frequencies(ngrams(F.col("w"), 2)).alias("a"), frequencies(ngrams(F.col("w"), 3)).alias("b"))
+    share = lambda part: F.coalesce(F.try_divide(part, F.col("b.n")), F.lit(0.0))
+    return f.select("doc_id", (F.col("a.kinds") / F.col("a.n")).alias("distinct2"), share(F.col("b.kinds")).alias("distinct3"), share(F.col("b.n") - F.col("b.kinds")).alias("repeat_trigram_rate"))
 
 
 REPETITION_SQL = r"""
