@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.operators import forensics, rules
+from textloom.operators import carriers, forensics, measured_rules, rules, writing_rules
 
 
 def table(spark, texts):
@@ -23,5 +23,34 @@ def test_facts(spark):
 
 
 def test_integrity(spark):
-    got = {r["doc_id"]: (r["n_medium"], r["status"]) for r in forensics.integrity(table(spark, ["plain", "a​b", "a​​​b", "x\U000e0041\U000e0042", None])).collect()}
-    assert got == {0: (0, "clean"), 1: (1, "attention"), 2: (3, "manipulated"), 3: (0, "manipulated")}
+    texts = ["plain", "a\u200bb", "a\u200b\u200c\u200bb", "x\U000e0041\U000e0042", None, "\U0001f468\u200d\U0001f469 \u2764\ufe0f", "\U0001f3f4\U000e0067\U000e0062\U000e007f", " ".join(["a\u2060b"] * 8), "p\u0430ssword", "\ue000 \ue001"]
+    got = {r["doc_id"]: r["status"] for r in carriers.integrity(table(spark, texts)).collect()}
+    assert got == {0: "clean", 1: "attention", 2: "manipulated", 3: "manipulated", 5: "clean", 6: "clean", 7: "manipulated", 8: "attention", 9: "attention"}
+    tiers = {(r["doc_id"], r["start"]): (r["code_point"], r["severity"], r["tier"]) for r in carriers.carrier_findings(table(spark, texts)).collect()}
+    assert tiers[1, 1] == (0x200B, "medium", "deliberate") and tiers[9, 0] == (0xE000, "medium", "supporting") and tiers[6, 1] == (0xE0067, "high", "excluded") and not {k for k in tiers if k[0] == 5}
+
+
+def test_every_wording_rule_fires(spark):
+    found = writing_rules.wording_findings(table(spark, writing_rules.PROBES)).collect()
+    assert {r["rule"] for r in found} == {r.name for r in writing_rules.WORDING}
+    for r in found:
+        text = writing_rules.PROBES[r["doc_id"]]
+        assert text[r["start"] :].lower().startswith(r["matched"]), r
+
+
+def test_measured_rules_fire(spark):
+    got = {r["rule"] for r in measured_rules.measured_findings(table(spark, measured_rules.PROBES)).collect()}
+    never = {m.name for m in measured_rules.measures()} - got
+    assert never <= {"uniformity", "punct-distribution", "cross-para-burstiness", "fnword-trigram-entropy", "low-ttr", "token-cutoff", "sentence-flatline", "low-specificity", "setup-expansion-cadence", "passive-ratio", "smart-punct-signature"}, never
+    assert {"tier2", "tier3", "tier3-phrase", "bold-label-bullets", "uniform-list-items", "bullet-np-list", "title-case-header", "invalid-isbn", "proximity-cluster"} <= got
+
+
+def test_plain_prose_has_no_finding(spark):
+    text = "The ferry left at nine in the rain. My sister had packed bread and two apples, and we ate them on the deck. Nobody spoke much."
+    assert writing_rules.wording_findings(table(spark, [text, None, "", "too few words"])).count() == 0
+
+
+def test_visible_text(spark):
+    html = "<p>a &amp;lt; b&#33;</p><script>x<y</script><!-- no --><div>c&nbsp;<b>d</b><br>e &#xD800; &#128512;</div>"
+    pages = spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")
+    assert [tuple(r) for r in rules.visible_text(pages).collect()] == [(1, "a &lt; b!\nc d\ne &#xD800; \U0001f600")]
