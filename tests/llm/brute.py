@@ -81,3 +81,39 @@ def quality_base(text):
     hit = {j for i in range(len(ws) - 2) if times[tuple(ws[i : i + 3])] > 1 for j in range(i, i + 3)}
     failed = len(ws) < 50 or 100 * len(hit) > 50 * len(ws)
     return (len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(hit), failed)
+
+
+def slots(names, size):
+    """Slot -> index of the shard that claims it, shards taking turns by their own order of preference."""
+    import zlib
+
+    order = [[(zlib.crc32(f"offset:{s}".encode()) + j * (zlib.crc32(f"skip:{s}".encode()) % (size - 1) + 1)) % size for j in range(size)] for s in names]
+    owner, at = {}, [iter(o) for o in order]
+    while len(owner) < size:
+        for i, wish in enumerate(at):
+            free = next((s for s in wish if s not in owner), None)
+            if free is not None:
+                owner[free] = i
+    return owner
+
+
+def line_verdict(text, boilerplate):
+    """(kept, words that stay) by the line rules, for texts that pass the base rules."""
+    seen, lost, total = set(), 0, 0
+    for line in (text or "").split("\n"):
+        ws = words(line)
+        if not ws:
+            continue
+        ascii_ = [c for c in line if c.isascii() and c.isalpha()]
+        bad = line in seen
+        bad |= 100 * sum(all(c in "|>/-" for c in w) for w in ws) >= 15 * len(ws)
+        bad |= 100 * sum(c in "#*$%&|<>" for c in line) >= 50 * len(ws)
+        bad |= 100 * sum(w.endswith("!!") for w in ws) >= 50 * len(ws)
+        bad |= len(ws) >= 5 and any(c.isupper() for c in ascii_) and 100 * sum(c.isupper() for c in ascii_) >= 80 * len(ascii_)
+        bad |= len(ws) < 3 and ws[-1][-1] not in ".!?\"')"
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in line)
+        bad |= any(p in low for p in boilerplate)
+        seen.add(line)
+        total += len(ws)
+        lost += len(ws) * bad
+    return 100 * lost <= 50 * total, total - lost

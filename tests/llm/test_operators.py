@@ -118,23 +118,31 @@ def test_shard(spark):
 # --- toxicity --------------------------------------------------------------------
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("dense", [0, 5, 512])
+def test_nearest_is_exact(monkeypatch, dense):
+    monkeypatch.setattr(toxicity, "DENSE", dense)
     rng = np.random.default_rng(0)
-    idf = rng.uniform(1, 5, 40)
-    examples = [(i, int(rng.integers(2)), np.sort(rng.choice(40, rng.integers(1, 8), replace=False)), rng.integers(1, 5, 40)[:0]) for i in range(300)]
-    examples = [(i, y, f, rng.integers(1, 5, len(f)).astype(float)) for i, y, f, _ in examples]
-    index = toxicity.build(examples, idf, 0.5)
-    dense = {i: np.zeros(40) for i, *_ in examples}
+    weights = rng.uniform(0.1, 5, 60)
+    examples = []
+    for i in range(900):
+        f = np.sort(rng.choice(60, rng.integers(0, 8), replace=False))
+        examples.append((i, int(rng.integers(2)), f, rng.integers(1, 5, len(f)).astype(float)))
+    index = toxicity.build(examples, weights, 0.5)
+    full = np.zeros((900, 60))
     for i, _, f, tf in examples:
-        dense[i][f] = toxicity.unit(f, tf, idf)
-    for _, _, f, tf in examples[:60]:
-        query = toxicity.unit(f, tf, idf)
-        near, cosines = index.nearest(f, query)
-        full = np.zeros(40)
-        full[f] = query
-        want = sorted((dense[i] @ full for i in dense), reverse=True)[: toxicity.K]
-        assert np.allclose(cosines, [x for x in want if x > 0])
-        assert np.allclose(cosines, [dense[index.ids[e]] @ full for e in near])
+        w = (1 + np.log(tf)) * weights[f]
+        full[i, f] = w / np.sqrt(w @ w) if len(f) else w
+    some = examples[:150]
+    edges = np.concatenate(([0], np.cumsum([len(e[2]) for e in some])))
+    term, tf = np.concatenate([e[2] for e in some]), np.concatenate([e[3] for e in some])
+    for skip in (None, np.array([int(np.flatnonzero(index.ids == e[0])[0]) for e in some])):
+        near, cosines = index.nearest(term, index.unit(term, tf, edges), edges, skip=skip)
+        for j, e in enumerate(some):
+            want = full @ full[e[0]]
+            if skip is not None:
+                want[e[0]] = 0
+            assert np.allclose(cosines[j], np.sort(want)[::-1][: toxicity.K])
+            assert np.allclose(cosines[j], want[index.ids[near[j]]])
 
 
 def test_toxicity_edges(spark):
@@ -400,3 +408,46 @@ def test_ngram_join_of_a_large_family(spark):
     texts += [f"{passage} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.choice([2, 5, 9, 12]))) for _ in range(120)]
     got = {r["doc_id"]: tuple(r)[1:] for r in ngram_join.ngram_join(table(spark, texts), ngram_join.Link(flush=9_000, lot_rows=100)).collect()}
     assert got == brute.ngram_join(list(enumerate(texts)))
+
+
+# --- queries against brute force ------------------------------------------------------------
+
+
+def test_op2_equals_brute_force(spark):
+    got = sharding.op2_sharding(spark, SF).collect()
+    owner = brute.slots(sharding.SHARDS, sharding.TABLE_SIZE)
+    size = {d: len((t or "").encode()) for d, t in rows(spark)}
+    load = {}
+    for r in got:
+        assert r["shard"] == sharding.SHARDS[owner[r["slot"]]] and r["n_bytes"] == size[r["doc_id"]]
+        n, b = load.get(r["shard"], (0, 0))
+        load[r["shard"]] = (n + 1, b + r["n_bytes"])
+    assert len(got) == len(size) and all((r["shard_docs"], r["shard_bytes"]) == load[r["shard"]] for r in got)
+
+
+def test_op10_verdict_equals_brute_force(spark):
+    texts = dict(rows(spark))
+    got = {r["doc_id"]: r for r in quality.op10_quality_rules(spark, SF).collect()}
+    assert set(got) == set(texts)
+    for doc, r in got.items():
+        kept, left = brute.line_verdict(texts[doc], quality.BOILERPLATE)
+        assert (r["kept"], r["n_words_kept"]) == (kept and not r["base_failed"], left), doc
+
+
+def test_decontamination_recall_on_items_with_other_values(spark):
+    """Items with numbers and names, asked again with other ones inside other texts; and texts that hold none."""
+    rng = random.Random(2)
+    names, things = [f"{a}{b}" for a in ("An", "Be", "Ca", "Du", "El") for b in ("ra", "lo", "mi", "tus")], [f"thing{i}" for i in range(400)]
+
+    def item(who, numbers, stuff):
+        (a, b), (x, y, z) = who, numbers
+        return f"{a} buys {x} {stuff[0]} and {y} {stuff[1]} at the {stuff[2]} near the {stuff[3]}, while {b} sells {z} {stuff[4]} of the {stuff[5]}; how many {stuff[6]} do {a} and {b} hold when the {stuff[7]} closes?"
+
+    forms = [rng.sample(things, 8) for _ in range(60)]
+    asked = [item(rng.sample(names, 2), rng.sample(range(2, 99), 3), f) for f in forms]
+    again = [item(rng.sample(names, 2), rng.sample(range(2, 99), 3), f) for f in forms]
+    filler = lambda: " ".join(rng.choice(things) for _ in range(60))
+    texts = [f"{filler()} {q} {filler()}" for q in again] + [filler() for _ in range(60)]
+    got = set(found(spark, texts, asked))
+    assert len(got & {(i, i) for i in range(60)}) >= 54
+    assert not {d for d, _ in got if d >= 60}  # items of one form may be found in each other's texts
