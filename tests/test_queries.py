@@ -34,6 +34,19 @@ def test_streaming_quota_equals_batch(spark, tmp_path):
     assert key(spark.table("hours")) == key(quota.hourly_quota(events))
 
 
+def test_streaming_ledger_equals_batch(spark, tmp_path):
+    from textloom.streaming import quota
+
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").coalesce(1)
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = quota.single_use(stream).writeStream.outputMode("append").format("memory").queryName("firsts").option("checkpointLocation", str(tmp_path / "ck")).start()
+    query.processAllAvailable()
+    query.stop()
+    key = lambda df: sorted((r["user_id"], r["event_type"]) for r in df.collect())
+    assert spark.table("firsts").columns == quota.single_use(events).columns and key(spark.table("firsts")) == key(quota.single_use(events))
+
+
 def test_ranked_equals_one_window(spark):
     from pyspark.sql import Window, functions as F
 
