@@ -167,7 +167,7 @@ QUERIES = {
     "confusion": lambda s, d: confusion(judged(s, d)),
     "mcnemar": lambda s, d: mcnemar(judged(s, d), "source"),
     "threshold_sweep": lambda s, d: sweep(judged(s, d)),
-    "operating_curve": lambda s, d: operating_curve(judged(s, d)),
+    "budget_curve": lambda s, d: operating_curve(judged(s, d)),
     "balanced_rates": lambda s, d: balanced_rates(judged(s, d)),
     "union_coverage": lambda s, d: union_coverage(judged(s, d)),
     "percentile_ranks": lambda s, d: percentile_ranks(judged(s, d)),
@@ -177,7 +177,7 @@ ORACLE_SQL = {
     "confusion": CONFUSION_SQL,
     "mcnemar": MCNEMAR_SQL,
     "threshold_sweep": SWEEP_SQL,
-    "operating_curve": CURVE_SQL,
+    "budget_curve": CURVE_SQL,
     "balanced_rates": BALANCED_SQL,
     "union_coverage": COVERAGE_SQL,
     "percentile_ranks": PERCENTILE_SQL,
