@@ -127,7 +127,8 @@ def substring_dedup(docs: DataFrame, spec: Spec = SPEC, with_text: bool = False)
     A window that also starts earlier (smaller doc_id, or same document and
     earlier) gives up its words; windows are judged on the input.  Null and
     empty texts have no words.  Rows that repeat or lack a doc_id are documents
-    of their own, in (doc_id, text) order, nulls first.
+    of their own, in (doc_id, text) order, nulls first.  Columns besides doc_id and text are not read, whatever their names.  A long
+    text is one document; a task holds about 2 MB of texts, or one longer text, at a time.
     """
     keyed, plain = rowed(docs)
 

@@ -118,7 +118,8 @@ def suffix_array_dedup(docs: DataFrame, spec: Spec = SPEC, with_text: bool = Fal
     Every byte covered by a window that also starts anywhere else goes, the
     first occurrence too; windows lie within one document and are judged on the
     input.  Null and empty texts have no bytes.  Rows that repeat or lack a
-    doc_id are documents of their own, so equal rows repeat each other.
+    doc_id are documents of their own, so equal rows repeat each other.  Columns besides doc_id and text are not read, whatever their names.  A long
+    text is one document; a task holds about 2 MB of texts, or one longer text, at a time.
     """
     keyed, plain = rowed(docs)
 

@@ -297,7 +297,8 @@ def token_output(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) ->
 
     Null and empty texts hold the end id alone.  Repeated or null doc_ids get
     rows of their own, in (doc_id, text) order, nulls first.  An empty table
-    gives no files' rows and an empty result.
+    gives no files' rows and an empty result.  Columns besides doc_id and text are not read, whatever their names.  A long
+    text is one document; a task holds about 2 MB of texts, or one longer text, at a time.
     """
     keyed, plain = rowed(docs)
     return named(read_ids(docs.sparkSession, write_ids(keyed, tokenizer_path, end_id)), keyed, plain)
