@@ -117,3 +117,62 @@ def line_verdict(text, boilerplate):
         total += len(ws)
         lost += len(ws) * bad
     return 100 * lost <= 50 * total, total - lost
+
+
+def fill_middle(doc, text):
+    """n, form, prefix_chars, middle_chars, output of one text."""
+    text = text or ""
+    lines = re.findall(r"[^\n]*\n|[^\n]+", text)
+    digest = hashlib.sha256(f"7:{'' if doc is None else doc}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(digest[i : i + 8], 16) for i in (0, 8, 16, 24))
+    n = len(lines)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 100:
+        return n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    x, y, z = "".join(lines[:a]), "".join(lines[a:b]), "".join(lines[b:])
+    if h4 % 100 < 50:
+        return n, "spm", len(x), len(y), f"<S>{z}<P>{x}<M>{y}"
+    return n, "psm", len(x), len(y), f"<P>{x}<S>{z}<M>{y}"
+
+
+def planted_words(doc, text):
+    import zlib
+
+    ws = words(text)
+    h = zlib.crc32(str("" if doc is None else doc).encode())
+    g, n = h // 10, len(ws)
+    if h % 10 or not n:
+        return ws
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+
+
+def runs(ws, least=6, times=4):
+    """Every maximal repetition, by trying each period; those that a smaller period explains are left out."""
+    out = {}
+    for p in range(1, len(ws) // times + 1):
+        j = 0
+        while j + p < len(ws):
+            start = j
+            while j + p < len(ws) and ws[j] == ws[j + p]:
+                j += 1
+            if j - start + p >= max(least, times * p) and j > start:
+                out.setdefault((start, j - start + p), p)
+            j += 1
+    return sorted((s, n, p) for (s, n), p in out.items())
+
+
+def collapse(ws, found):
+    gone = {i for s, n, p in found for i in range(s + p, s + n)}
+    return " ".join(w for i, w in enumerate(ws) if i not in gone)
+
+
+def secrets(text, patterns):
+    """patterns: (kind, regex with the tail as its last group, least tail); base order is theirs."""
+    out = []
+    for rank, (kind, pattern, least) in enumerate(patterns):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            if len(m.group(m.lastindex)) >= least:
+                out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
+    return [x for *_, x in sorted(out)]

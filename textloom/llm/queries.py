@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import decontamination, language_id, mixing, ngram_join, quality, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
+from textloom.llm import decontamination, fill_middle, language_id, mixing, ngram_join, periodic_runs, quality, secret_scan, sharding, substring_dedup, suffix_array_dedup, token_output, toxicity
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_suffix_array_dedup": suffix_array_dedup.op8_suffix_array_dedup,
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_fill_middle": fill_middle.op11_fill_middle,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 ORACLE_SQL = {
     "op5_mixing": mixing.OP5_SQL,
     "op6_substring_dedup": substring_dedup.OP6_SQL,
     "op7_ngram_join": ngram_join.OP7_SQL,
+    "op11_fill_middle": fill_middle.OP11_SQL,
+    "op13_secret_scan": secret_scan.OP13_SQL,
 }
