@@ -15,16 +15,17 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.llm.common import crc_bucket, row_chunks, strings
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 16
 DIM = len(ORDERS) << BUCKET_BITS
-#: Bounds of the fitted model: labelled rows per language, chosen by hash; languages, the most frequent ones (ties by name).
-MAX_ROWS_PER_LANGUAGE = 1_200
-MAX_LANGUAGES = 64
+#: Bounds of the labelled sample: texts per language, chosen by hash, and texts in all, of which each language has LEAST_ROWS at least;
+#: bytes of one text.  Languages are as many as there are.
+MAX_ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 1_200, 12_000, 20
+MAX_EXAMPLE_BYTES = 1 << 20
 UNDETERMINED = "und"
 
 
@@ -90,11 +91,16 @@ class Model:
     temperature: float
 
     @cached_property
-    def table(self) -> np.ndarray:
-        out = np.zeros((DIM, len(self.languages)), np.float32)
-        out[self.feature] = self.weight
+    def place(self) -> np.ndarray:
+        """Row of ``rows`` per feature; the first row is that of features without a weight."""
+        out = np.zeros(DIM, np.int32)
+        out[self.feature] = np.arange(1, len(self.feature) + 1)
         return out
 
+    @cached_property
+    def rows(self) -> np.ndarray:
+        return np.concatenate((np.zeros((1, len(self.languages)), np.float32), self.weight))
+
     def probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(documents x languages, whether a text has a letter)."""
         n = len(offsets) - 1
@@ -102,9 +108,14 @@ class Model:
         total, logits = np.zeros(n), np.zeros((n, len(self.languages)))
         for feature, doc in grams(points, starts):
             total += np.bincount(doc, minlength=n)
-            at = np.flatnonzero(np.diff(doc, prepend=-1)) if len(doc) else []
-            if len(at):
-                logits[doc[at]] += np.add.reduceat(self.table[feature], at, axis=0, dtype=np.float64)
+            at = self.place[feature]
+            some = np.flatnonzero(at)
+            at, doc = at[some], doc[some]
+            step = max(1 << 12, (1 << 21) // len(self.languages))  # bounds the rows that are gathered at once
+            for lo in range(0, len(at), step):
+                mine = doc[lo : lo + step]
+                edge = np.flatnonzero(np.diff(mine, prepend=-1))
+                logits[mine[edge]] += np.add.reduceat(self.rows[at[lo : lo + step]], edge, axis=0, dtype=np.float64)
         letter = np.bincount(np.repeat(np.arange(n), np.diff(starts)), weights=points != 0x20, minlength=n) > 0
         logits = (logits / np.maximum(total, 1)[:, None] + self.bias) / self.temperature
         logits -= logits.max(axis=1, keepdims=True)
@@ -114,12 +125,14 @@ class Model:
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.3, l2: float = 1e-4, seed: int = 7) -> Model:
     """FTRL-proximal on (label, features, relative frequencies) rows; every fifth row fits the temperature."""
-    df = np.zeros(DIM)
+    met = np.unique(np.concatenate([f for _, f, _ in rows]))  # only these can get a weight
+    rows = [(label, np.searchsorted(met, f), tf) for label, f, tf in rows]
+    df = np.zeros(len(met))
     for _, feature, _ in rows:
         df[feature] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1.0
     k = len(languages)
-    z, n2 = np.zeros((DIM, k)), np.zeros((DIM, k))
+    z, n2 = np.zeros((len(met), k)), np.zeros((len(met), k))
     bias, bias_n = np.zeros(k), np.zeros(k)
     order = np.random.default_rng(seed).permutation(len(rows))
     train, held = [i for j, i in enumerate(order) if j % 5], [i for j, i in enumerate(order) if j % 5 == 0]
@@ -144,12 +157,11 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], ep
             n2[feature] = nf + g2
             bias_n += p * p
             bias -= 0.1 * p / (1.0 + np.sqrt(bias_n))
-    every = np.arange(DIM)
-    w = weights(every)
+    w = weights(np.arange(len(met)))
     logits = np.array([(rows[i][2] * idf[rows[i][1]] * SCALE) @ w[rows[i][1]] + bias for i in held]).reshape(len(held), k)
     labels = np.array([rows[i][0] for i in held], int)
     some = np.flatnonzero(w.any(axis=1))
-    return Model(languages, some, (w[some] * idf[some, None] * SCALE).astype(np.float32), bias, _temperature(logits, labels))
+    return Model(languages, met[some], (w[some] * idf[some, None] * SCALE).astype(np.float32), bias, _temperature(logits, labels))
 
 
 #: Relative frequencies are small; this brings them to the order of one.
@@ -170,34 +182,41 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return best
 
 
-def _level(col: str) -> Column:
-    """Trailing zero bits of the value's hash: half of all values have 1 or more, a quarter 2 or more, ..."""
-    return F.expr(f"bit_count((xxhash64({col}) & -xxhash64({col})) - 1)")
+def _level() -> Column:
+    """Trailing zero bits of the text's hash: half of all texts have 1 or more, a quarter 2 or more, ..."""
+    return F.expr("bit_count((xxhash64(text) & -xxhash64(text)) - 1)")
 
 
-def sampled(labelled: DataFrame, max_rows: int, max_languages: int = MAX_LANGUAGES) -> DataFrame:
-    """Rows of (doc_id, text, lang) to learn from: per language all, or those over the level that leaves max_rows at most.
+def sampled(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE, max_all: int = MAX_ROWS) -> DataFrame:
+    """Rows of (lang, text) to learn from: per language its texts, or ``max_rows`` of them by hash.
 
-    A count per (language, level) tells the level; no language's rows meet in one task.
+    Equal texts count once, so that no group of copies fills the sample.  Distinct
+    texts are estimated by language and hash level in one pass with map-side sketches;
+    only levels that hold some ``max_rows`` of a language's texts are shuffled, and
+    of these the first by hash are kept.  With many languages each has an equal
+    share of ``max_all``, LEAST_ROWS at least; none is left out.  Texts of more than
+    MAX_EXAMPLE_BYTES are no examples.
     """
-    good = labelled.where("lang is not null and text is not null").withColumn("_level", _level("doc_id"))
+    good = labelled.where((F.col("lang").isNotNull()) & (F.octet_length("text") <= MAX_EXAMPLE_BYTES)).select("lang", "text", _level().alias("_level"))
     counts: dict[str, dict[int, int]] = {}
-    whole = good.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    for r in good.join(F.broadcast(whole.select("lang")), "lang", "left_semi").groupBy("lang", "_level").count().collect():
+    for r in good.groupBy("lang", "_level").agg(F.approx_count_distinct(F.xxhash64("text"), 0.03)).collect():  # 65 rows a language at most
         counts.setdefault(r[0], {})[r[1]] = r[2]
+    each = max(LEAST_ROWS, min(max_rows, max_all // max(1, len(counts))))
     least = []
     for lang, by_level in counts.items():
-        left, at = sum(by_level.values()), 0
-        while left > max_rows:
-            left -= by_level.get(at, 0)
-            at += 1
+        at, left = max(by_level) + 1, 0
+        while at and left < 1.2 * each:  # the estimate's error is far less
+            at -= 1
+            left += by_level.get(at, 0)
         least.append((lang, at))
-    levels = F.broadcast(labelled.sparkSession.createDataFrame(least, "lang string, _least int"))  # max_languages rows at most
-    return good.join(levels, "lang").where("_level >= _least").select("lang", "text")
+    levels = labelled.sparkSession.createDataFrame(least, "lang string, _least int")
+    some = good.join(levels, "lang").where("_level >= _least").dropDuplicates(["lang", "text"])
+    first = some.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
+    return first.where(F.col("_place") <= each).select("lang", "text")
 
 
 def train(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Model:
-    """labelled: (doc_id, text, lang).  At most ``max_rows`` rows per language are used."""
+    """labelled: (text, lang) and any further columns.  At most ``max_rows`` texts per language are used."""
     sample = sampled(labelled, max_rows)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

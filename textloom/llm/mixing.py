@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from textloom.llm.common import WORD, written
 
-#: Hex digits of the hash that one histogram level adds, and the number of levels.
-DIGITS, LEVELS = 3, 5
+#: Hex digits of the key that one histogram level adds, and the number of levels.
+#: A key is KEY digits of the hash of id and text, then digits of the row's own number, which part rows that are alike.
+DIGITS, LEVELS, KEY = 3, 8, 15
 #: More sources than this are joined by shuffle instead.
 MAX_BROADCAST_SOURCES = 50_000
 
@@ -52,16 +53,23 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "do
 
     ``taken`` is size times the whole repeats that its source's target implies,
     plus once more if the document's hash lies under the source's threshold.
-    Null and empty texts have size 0 and take 0; a null source is a source;
-    rows that repeat a doc_id share its hash and are taken alike.
+    Null and empty texts have size 0 and take 0; a null source is a source.
+    Rows are taken one by one, whether they repeat a doc_id, have none or are
+    equal in all columns: a row's key is the hash of its id and text, and of rows
+    alike in both it is arbitrary which are taken, not how many.  A long text is
+    one row.  Columns besides id, text and source are not read.
     """
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0))
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    alike = F.md5(F.concat_ws("|", filled(id_col), filled(text_col)).cast("binary"))
+    # written before anything is chosen: the number of a row stays what it is
+    own = F.md5(F.monotonically_increasing_id().cast("string").cast("binary"))
     slim = written(
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             size.cast("bigint").alias("size"),
-            F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, DIGITS * LEVELS).alias("h"),
+            F.concat(F.substring(alike, 1, KEY), F.substring(own, 1, DIGITS * LEVELS - KEY)).alias("h"),
         )
     )
     want = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), share, cap)
@@ -75,7 +83,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "do
     below = edge.select(F.col("source").alias("_e"), F.col("prefix").alias("threshold"), "rest", "edge_sum")
     per_source = want.select(F.col("source").alias("_s"), "source_size", "target", "whole").join(below, F.col("_s").eqNullSafe(F.col("_e")))
     out = slim.join(small(per_source), slim["source"].eqNullSafe(F.col("_s")))
-    # the documents on the threshold itself are taken if that comes nearer to the target
+    # the row on the threshold itself is taken if that comes nearer to the target
     extra = (F.col("h") < F.col("threshold")) | ((F.col("h") == F.col("threshold")) & (F.col("edge_sum") <= 2 * F.col("rest")))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.when(extra, 1).otherwise(0))).cast("bigint").alias("taken"))
 
@@ -93,7 +101,8 @@ def _refine(slim: DataFrame, edge: DataFrame, level: int, small) -> DataFrame:
     running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cum = sums.withColumn("cum", F.sum("bucket_sum").over(running))
     # boundary: first bucket whose running sum exceeds the budget, else the last
-    key = F.struct(F.when(F.col("cum") > F.col("rest"), 0).otherwise(1), F.when(F.col("cum") > F.col("rest"), F.conv("bucket", 16, 10).cast("bigint")).otherwise(-F.conv("bucket", 16, 10).cast("bigint")))
+    place = F.conv(F.substring("bucket", -DIGITS, DIGITS), 16, 10).cast("bigint")  # a source's buckets share the digits before
+    key = F.struct(F.when(F.col("cum") > F.col("rest"), 0).otherwise(1), F.when(F.col("cum") > F.col("rest"), place).otherwise(-place))
     return cum.groupBy("source").agg(F.min_by(F.struct("bucket", (F.col("rest") - F.col("cum") + F.col("bucket_sum")).alias("rest"), F.col("bucket_sum").cast("double").alias("edge_sum")), key).alias("b")).select("source", F.col("b.bucket").alias("prefix"), F.col("b.rest").alias("rest"), F.col("b.edge_sum").alias("edge_sum"))
 
 
@@ -104,7 +113,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 OP5_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {DIGITS * LEVELS}) AS h
+         substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')), 1, {KEY}) AS h, row_number() OVER () AS rn
   FROM documents
 ), s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
@@ -114,12 +123,11 @@ p AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ratio, source NULLS L
 f AS (SELECT *, first_value(CASE WHEN rate <= ratio THEN rate END IGNORE NULLS) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS free_rate FROM p),
 t AS (SELECT source, source_size, CASE WHEN rate > ratio THEN cap ELSE least(cap, coalesce(free_rate, rate) * weight) END AS target FROM f),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::BIGINT AS whole FROM t),
-x AS (SELECT d.doc_id, d.source, d.size, d.h, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS rest
+x AS (SELECT d.doc_id, d.source, d.size, d.h, d.rn, g.source_size, g.target, g.whole, g.target - g.whole * g.source_size AS rest
       FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
-             sum(size) OVER (PARTITION BY source, h) AS own FROM x),
-e AS (SELECT *, coalesce(min(CASE WHEN cum > rest THEN h END) OVER (PARTITION BY source), max(h) OVER (PARTITION BY source)) AS edge FROM c)
+c AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h, rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum FROM x),
+e AS (SELECT *, min(CASE WHEN cum > rest THEN cum END) OVER (PARTITION BY source) AS edge FROM c)
 SELECT doc_id, size, source_size, target,
-       (size * (whole + CASE WHEN h < edge OR (h = edge AND own <= 2 * (rest - cum + own)) THEN 1 ELSE 0 END))::BIGINT AS taken
+       (size * (whole + CASE WHEN cum <= rest OR (cum = edge AND size <= 2 * (rest - cum + size)) THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM e
 """

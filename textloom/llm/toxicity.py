@@ -25,12 +25,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.common import crc_bucket, row_chunks, span_codes, strings, word_spans, written
 
-#: Bounds of the labelled sample, taken in order of the id's hash: rows, and bytes of text.
-MAX_EXAMPLES, MAX_SAMPLE_BYTES = 4_096, 48 << 20
+#: Bounds of the labelled sample, taken in order of the id's hash: rows, bytes of all their texts, bytes of one text.
+#: A text beyond the last, or that does not fit what is left, is passed over and the next ones are tried.
+MAX_EXAMPLES, MAX_SAMPLE_BYTES, MAX_EXAMPLE_BYTES = 4_096, 48 << 20, 1 << 20
 STEM = (4, 5)
 SOFT = 30.0
 K, BLOCK, DENSE, BATCH = 15, 256, 512, 256
@@ -282,15 +283,19 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.n
 
 
 def _sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, label): the first MAX_EXAMPLES labelled rows in order of the id's hash, as far as MAX_SAMPLE_BYTES reach."""
+    """(doc_id, text, label): labelled rows in order of the id's hash, each that fits the bounds; equal rows count once."""
     marks = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("label"))
     chosen = [(r[0], r[1]) for r in marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_EXAMPLES).collect()]
     wanted = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint, label int"))  # MAX_EXAMPLES rows at most
-    rows = written(docs.join(wanted, "doc_id").where("text is not null").select("doc_id", "text", "label"))
-    sizes = rows.select("doc_id", F.octet_length("text").alias("size"))
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    fitting = sizes.groupBy("doc_id").agg(F.sum("size").alias("size")).withColumn("upto", F.sum("size").over(order)).where(F.col("upto") <= MAX_SAMPLE_BYTES)
-    return rows.join(F.broadcast(fitting.select("doc_id")), "doc_id", "left_semi")
+    rows = written(docs.join(wanted, "doc_id").where(F.octet_length("text") <= MAX_EXAMPLE_BYTES).select("doc_id", "text", "label").dropDuplicates(["doc_id", "text"]))
+    keyed = rows.withColumn("_text", F.xxhash64("text"))
+    fitting, left = [], MAX_SAMPLE_BYTES
+    for r in keyed.select("doc_id", "_text", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "_text").limit(MAX_EXAMPLES).collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            fitting.append((r["doc_id"], r["_text"]))
+    kept = F.broadcast(docs.sparkSession.createDataFrame(fitting, "doc_id bigint, _text bigint"))  # MAX_EXAMPLES rows at most
+    return keyed.join(kept, ["doc_id", "_text"], "left_semi").select("doc_id", "text", "label")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +303,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     labels: (doc_id, toxic) of rows to learn from; a null toxic is no label, a
     doc_id labelled more than once is toxic if any says so; rows that repeat a
-    labelled doc_id are examples each.  A text without a term that leans to toxic
+    labelled doc_id with other texts are examples each.  A text without a term that leans to toxic
     examples (null and empty ones too) has no neighbours and gets the curve's
     value at the prior.  With nothing to learn from, every score is 0.  Repeated
     rows score alike; a long text is one vector, and a task holds the words of
