@@ -54,3 +54,15 @@ def test_visible_text(spark):
     html = "<p>a &amp;lt; b&#33;</p><script>x<y</script><!-- no --><div>c&nbsp;<b>d</b><br>e &#xD800; &#128512;</div>"
     pages = spark.createDataFrame([(1, html), (2, None)], "page_id bigint, html string")
     assert [tuple(r) for r in rules.visible_text(pages).collect()] == [(1, "a &lt; b!\nc d\ne &#xD800; \U0001f600")]
+
+
+def test_rows_that_repeat_a_doc_id_stay_apart(spark):
+    from textloom.operators import carriers, measured_rules
+
+    clean = "The cat sat on the mat and then it went home to eat its supper there."
+    bad = "Moreover, we delve into a rich tapestry of robust ideas. I hope this helps! a​‌​b pаsswoрd"
+    docs = spark.createDataFrame([(1, clean), (1, bad), (None, bad), (1, None), (2, "short")], "doc_id bigint, text string")
+    got = sorted(((r["doc_id"] or 0, r["status"], r["longest_run"], r["n_deliberate"]) for r in carriers.integrity(docs).collect()))
+    assert got == [(0, "manipulated", 3, 5), (1, "clean", 0, 0), (1, "manipulated", 3, 5), (2, "clean", 0, 0)]
+    scored = sorted((r["doc_id"] or 0, r["score"] > 0, r["n_rules"] > 0) for r in measured_rules.scores(docs).collect())
+    assert scored == [(0, True, True), (1, False, False), (1, True, True)]

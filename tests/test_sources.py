@@ -24,7 +24,9 @@ def test_json_arrays_of_either_shape(spark, tmp_path):
 
 def test_csv_with_line_breaks(spark, tmp_path):
     (tmp_path / "x.csv").write_text('id,text\n1,"a ""b""\nc"\n2,d\n3')
-    assert sorted(tuple(r) for r in text_files.csv_rows(spark, str(tmp_path)).collect())[:2] == [(1, 'a "b"\nc'), (2, "d")]
+    assert sorted(tuple(r) for r in text_files.csv_rows(spark, str(tmp_path)).collect()) == [(1, 'a "b"\nc'), (2, "d")]
+    (tmp_path / "y.csv").write_text('id,text\n4,"e"\n5,"cut off\nhere')
+    assert sorted(tuple(r) for r in text_files.csv_rows(spark, str(tmp_path)).collect()) == [(1, 'a "b"\nc'), (2, "d"), (4, "e")]
 
 
 def test_archive_index_and_pages(spark, tmp_path):
@@ -40,12 +42,18 @@ def test_archive_index_and_pages(spark, tmp_path):
     plain = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>one</p>"
     chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\n<p>tw\r\n5\r\no</p>\r\n0\r\n\r\n"
     (tmp_path / "warc" / "x.warc").write_bytes(record("request", "u0", b"GET /") + record("response", "u1", plain) + record("response", "u2", chunked))
-    assert sorted(tuple(r) for r in text_files.archive_pages(spark, str(tmp_path / "warc")).collect()) == [("u1", "<p>one</p>"), ("u2", "<p>two</p>")]
+    want = [("u1", "<p>one</p>"), ("u2", "<p>two</p>")]
+    assert sorted(tuple(r) for r in text_files.archive_pages(spark, str(tmp_path / "warc")).collect()) == want
+    (tmp_path / "gz").mkdir()
+    cut = record("response", "u3", plain)[:-12]
+    (tmp_path / "gz" / "y.warc.gz").write_bytes(b"".join(gzip.compress(x) for x in (record("request", "u0", b"GET /"), record("response", "u1", plain), record("response", "u2", chunked), cut)))
+    assert sorted(tuple(r) for r in text_files.archive_pages(spark, str(tmp_path / "gz")).collect()) == want
 
 
 def test_append_skips_what_is_there(spark, tmp_path):
     at = str(tmp_path / "out")
     rows = spark.range(5).withColumnRenamed("id", "k")
     assert text_files.append_new(rows, at, "k").count() == 5
-    assert text_files.append_new(spark.range(3, 8).withColumnRenamed("id", "k"), at, "k").count() == 3
+    more = spark.range(3, 8).withColumnRenamed("id", "k")
+    assert text_files.append_new(more.union(more), at, "k").count() == 3
     assert sorted(r["k"] for r in spark.read.parquet(at).collect()) == list(range(8))

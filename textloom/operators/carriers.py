@@ -91,14 +91,23 @@ def _code(char: Column, before: Column, after: Column, flagged: Column) -> Colum
     )
 
 
-def coded(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, c, code) of texts that hold a carrier: their characters, and one letter for each."""
-    some = docs.where(F.col("text").rlike(ANY)).select("doc_id", "text", _chars(F.col("text")).alias("c"))
+def _codes(c: Column) -> Column:
+    """A letter for each character of an array."""
     before = lambda c, i: F.when(i > 0, F.get(c, i - 1))
     # tags after a black flag, up to the one at hand, are a flag
     flag = lambda c, i: F.array_join(F.slice(c, F.greatest(F.lit(1), i - 31), F.least(i, F.lit(32))), "").rlike(rf"\x{{{FLAG:X}}}{_class(TAGS)}*$")
-    code = _bound(F.col("c"), lambda c: F.transform(c, lambda x, i: F.when(~x.rlike(ANY), ".").otherwise(_code(x, before(c, i), F.get(c, i + 1), flag(c, i)))))
-    return some.select("doc_id", "text", "c", code.alias("code"))
+    return F.transform(c, lambda x, i: F.when(~x.rlike(ANY), ".").otherwise(_code(x, before(c, i), F.get(c, i + 1), flag(c, i))))
+
+
+def coded(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, c, code) of texts that hold a carrier: their characters, and one letter for each."""
+    some = docs.where(F.col("text").rlike(ANY)).select("doc_id", "text", _chars(F.col("text")).alias("c"))
+    return some.select("doc_id", "text", "c", _bound(F.col("c"), _codes).alias("code"))
+
+
+def _picked(point: Column, k: int) -> Column:
+    """Severity (2) or fix (3) of a carrier's code point."""
+    return F.coalesce(*[F.when(point.between(r[0], r[1]), r[k]) for r in CARRIERS])
 
 
 def carrier_findings(docs: DataFrame) -> DataFrame:
@@ -106,34 +115,56 @@ def carrier_findings(docs: DataFrame) -> DataFrame:
     tier = F.create_map(*[F.lit(x) for kv in {"d": "deliberate", "t": "deliberate", "s": "supporting", "p": "supporting", "x": "excluded", "n": "excluded"}.items() for x in kv])
     rows = coded(docs).select("doc_id", F.posexplode(F.arrays_zip("c", "code")).alias("start", "z")).select("doc_id", "start", "z.*").where(~F.col("code").isin(".", "e"))
     point = F.ascii("c")
-    pick = lambda k: F.coalesce(*[F.when(point.between(r[0], r[1]), r[k]) for r in CARRIERS])
+    pick = lambda k: _picked(point, k)
     return rows.select("doc_id", F.col("start").cast("bigint").alias("start"), point.alias("code_point"), F.when(F.col("code") == "n", "note").otherwise(pick(2)).alias("severity"), F.when((F.col("code") == "n"), "review").otherwise(pick(3)).alias("fix"), tier[F.col("code")].alias("tier"))
 
 
+def _suspects(text: Column) -> Column:
+    """Words of mixed scripts with look-alike letters; the pattern alone passes over all other words."""
+    found = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_-]*[" + LOOKALIKES + r"][\p{L}\p{N}_-]*"), F.lit(0))
+    return F.filter(found, lambda x: x.rlike(r"\p{IsLatin}") & x.rlike(r"[\p{IsCyrillic}\p{IsGreek}]"))
+
+
+def _inside(token: Column) -> Column:
+    """Look-alike letters between Latin ones."""
+    return F.regexp_count(F.regexp_replace(token, r"(\p{IsLatin})", "$1$1"), F.lit(rf"\p{{IsLatin}}[{LOOKALIKES}]\p{{IsLatin}}"))
+
+
 def lookalikes(docs: DataFrame) -> DataFrame:
     """(doc_id, token, n, n_inside): words of mixed scripts with look-alike letters, and those between Latin letters."""
-    mixed = lambda x: x.rlike(r"\p{IsLatin}") & x.rlike(r"[\p{IsCyrillic}\p{IsGreek}]")
-    tokens = F.filter(F.regexp_extract_all("text", F.lit(MIXED), F.lit(0)), lambda x: mixed(x) & x.rlike(f"[{LOOKALIKES}]"))
-    rows = docs.where(F.col("text").rlike(f"[{LOOKALIKES}]")).select("doc_id", F.explode(tokens).alias("token"))
-    return rows.select("doc_id", "token", F.regexp_count("token", F.lit(f"[{LOOKALIKES}]")).cast("bigint").alias("n"), F.regexp_count(F.regexp_replace("token", r"(\p{IsLatin})", "$1$1"), F.lit(rf"\p{{IsLatin}}[{LOOKALIKES}]\p{{IsLatin}}")).cast("bigint").alias("n_inside"))
+    # explode_outer: no filter on the array, which would be computed anew for it, is inferred
+    rows = docs.where(F.col("text").rlike(f"[{LOOKALIKES}]")).select("doc_id", F.explode_outer(_suspects(F.col("text"))).alias("token")).where("token is not null")
+    return rows.select("doc_id", "token", F.regexp_count("token", F.lit(f"[{LOOKALIKES}]")).cast("bigint").alias("n"), _inside(F.col("token")).cast("bigint").alias("n_inside"))
 
 
 def integrity(docs: DataFrame) -> DataFrame:
-    """Counts per severity and tier, the longest run of invisible carriers, and a status for every text that is not null.
+    """Counts per severity and tier, the longest run of invisible carriers, and a status for every row whose text is not null.
 
     manipulated: a run of three, two tags outside a flag, or eight deliberate ones (look-alike
     letters inside a word count); attention: one deliberate one, or two private-use characters.
+    All is read off the row's own text: rows that repeat a doc_id, or have none, stay apart.
     """
-    inside = lookalikes(docs).groupBy("doc_id").agg(F.sum("n_inside").alias("inside"))
-    codes = coded(docs).select("doc_id", F.array_join("code", "").alias("k"))
-    found = carrier_findings(docs).groupBy("doc_id").agg(*[F.count_if(F.col("severity") == s).alias(f"n_{s}") for s in SEVERITIES])
-    every = docs.where("text is not null").select("doc_id").join(codes, "doc_id", "left").join(found, "doc_id", "left").join(inside, "doc_id", "left")
-    n = lambda letters: F.coalesce(F.regexp_count("k", F.lit(f"[{letters}]")), F.lit(0))
-    inner = F.coalesce("inside", F.lit(0))
-    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all("k", F.lit("[dts]+"), F.lit(0)), F.length)), F.lit(0))
-    deliberate = n("dt") + inner
-    status = F.when((longest >= 3) | (n("t") >= 2) | (deliberate >= 8), "manipulated").when((deliberate >= 1) | (n("p") >= 2), "attention").otherwise("clean")
-    return every.select("doc_id", *[F.coalesce(f"n_{s}", F.lit(0)).cast("bigint").alias(f"n_{s}") for s in SEVERITIES], deliberate.cast("bigint").alias("n_deliberate"), n("p").cast("bigint").alias("n_private"), longest.cast("bigint").alias("longest_run"), status.alias("status"))
+    text = F.col("text")
+
+    def marks(c: Column) -> Column:
+        """What the context does not explain: place, letter, severity."""
+        severity = lambda k, x: F.when(k == "n", "note").otherwise(_picked(F.ascii(x), 2))
+        every = F.zip_with(c, _bound(c, _codes), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
+        placed = F.transform(every, lambda z, i: F.struct(i.alias("at"), z["k"].alias("code"), z["x"].alias("x")))
+        return F.transform(F.filter(placed, lambda z: ~z["code"].isin(".", "e")), lambda z: F.struct(z["at"].alias("at"), z["code"].alias("code"), severity(z["code"], z["x"]).alias("severity")))
+
+    of_severity = lambda s: F.size(F.filter("z", lambda z: z["severity"] == s)).cast("bigint").alias(f"n_{s}")
+    found = F.when(text.rlike(ANY), _bound(_chars(text), marks)).otherwise(F.array().cast("array<struct<at:int,code:string,severity:string>>"))
+    inner = F.when(text.rlike(f"[{LOOKALIKES}]"), F.aggregate(_suspects(text), F.lit(0), lambda n, x: n + _inside(x))).otherwise(0)
+    rows = docs.where("text is not null").select("doc_id", found.alias("z"), inner.alias("inside"))
+    of = lambda *codes: F.size(F.filter("z", lambda z: z["code"].isin(*codes)))
+    places = F.transform(F.filter("z", lambda z: z["code"].isin("d", "t", "s")), lambda z: z["at"])
+    zero = F.struct(F.lit(-2).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+    grown = lambda r, at: F.when(at == r["at"] + 1, r["n"] + 1).otherwise(1)
+    run = F.aggregate(places, zero, lambda r, at: F.struct(at.alias("at"), grown(r, at).alias("n"), F.greatest(r["most"], grown(r, at)).alias("most")), lambda r: r["most"])
+    counted = rows.select("doc_id", *map(of_severity, SEVERITIES), (of("d", "t") + F.col("inside")).cast("bigint").alias("n_deliberate"), of("p").cast("bigint").alias("n_private"), run.cast("bigint").alias("longest_run"), of("t").alias("n_tags"))
+    status = F.when((F.col("longest_run") >= 3) | (F.col("n_tags") >= 2) | (F.col("n_deliberate") >= 8), "manipulated").when((F.col("n_deliberate") >= 1) | (F.col("n_private") >= 2), "attention").otherwise("clean")
+    return counted.select("doc_id", *[f"n_{s}" for s in SEVERITIES], "n_deliberate", "n_private", "longest_run", status.alias("status"))
 
 
 def safe_fixes(docs: DataFrame) -> DataFrame:

@@ -82,9 +82,9 @@ def _pairs(a: Column, test) -> Column:
     return F.size(F.filter(places, lambda i: test(F.get(a, i), F.get(a, i + 1))))
 
 
-def bases(docs: DataFrame) -> DataFrame:
-    """Texts of MIN_WORDS words or more with the arrays, counts and letter codes that the rules look at, each computed once."""
-    t = docs.where("text is not null").select("doc_id", F.col("text").alias("raw"), wr.normalised(F.col("text")).alias("t"))
+def bases(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Texts of MIN_WORDS words or more, the columns to keep beside them, with the arrays, counts and letter codes that the rules look at, each computed once."""
+    t = docs.where("text is not null").select("doc_id", *keep, F.col("text").alias("raw"), wr.normalised(F.col("text")).alias("t"))
     sized = t.withColumn("w", _words(F.col("t"))).where(F.col("w") >= wr.MIN_WORDS)
     cut = sized.select(
         "*",
@@ -242,31 +242,42 @@ def _listed() -> list[Column]:
 ROW = "array<struct<rule:string,severity:string,weight:int,matched:string,n:bigint>>"
 
 
-def measured_findings(docs: DataFrame) -> DataFrame:
-    """(doc_id, rule, severity, weight, matched, n); matched is null for findings about a whole document."""
-    base = bases(docs)
+def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Rows (doc_id, w, columns to keep, f0, f1, ...), and the names of those last ones: arrays of findings."""
+    base = bases(docs, keep)
     single = lambda m: F.struct(F.lit(m.name).alias("rule"), (m.severity if isinstance(m.severity, Column) else F.lit(m.severity)).alias("severity"), F.lit(m.weight).alias("weight"), F.lit(None).cast("string").alias("matched"), m.n.cast("bigint").alias("n"))
     columns = [F.when(m.holds, F.array(single(m))).otherwise(F.array()).cast(ROW) for m in measures()] + [c.cast(ROW) for c in _listed()]
-    wide = base.select("doc_id", *[c.alias(f"f{i}") for i, c in enumerate(columns)])
-    return wide.select("doc_id", F.explode(F.concat(*[F.col(f"f{i}") for i in range(len(columns))])).alias("f")).select("doc_id", "f.*")
+    names = [f"f{i}" for i in range(len(columns))]
+    return base.select("doc_id", "w", *keep, *[c.alias(name) for c, name in zip(columns, names)]), names
+
+
+def measured_findings(docs: DataFrame) -> DataFrame:
+    """(doc_id, rule, severity, weight, matched, n); matched is null for findings about a whole document."""
+    wide, names = _measured(docs)
+    return wide.select("doc_id", F.explode(F.concat(*names)).alias("f")).select("doc_id", "f.*")
 
 
 def all_findings(docs: DataFrame) -> DataFrame:
     return wr.wording_findings(docs).select("doc_id", "rule", "severity", "weight", "matched", "n").unionByName(measured_findings(docs))
 
 
-def scores(docs: DataFrame, findings: DataFrame) -> DataFrame:
+def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_findings, n_rules, rules, raw, score): weights summed, style rules capped, scaled by length.
 
-    Texts of MIN_WORDS words or more without a finding score 0.
+    One row for every row of MIN_WORDS words or more, 0 where there is no finding;
+    all is read off the row's own text, so rows that repeat a doc_id, or have none,
+    stay apart and nothing shuffles.
     """
-    words = docs.where("text is not null").select("doc_id", _words(wr.normalised(F.col("text"))).alias("w")).where(F.col("w") >= wr.MIN_WORDS)
-    style = F.col("rule").isin(*STYLE)
-    sums = findings.groupBy("doc_id").agg(F.count("*").alias("n_findings"), F.array_sort(F.collect_set("rule")).alias("rules"), F.sum(F.when(style, F.col("weight")).otherwise(0)).alias("style"), F.sum(F.when(style, 0).otherwise(F.col("weight"))).alias("other"))
-    every = words.join(sums, "doc_id", "left").na.fill(0, ["n_findings", "style", "other"])
+    worded = docs.where("text is not null").select("doc_id", "text", wr.judged(F.col("text")).alias("worded"))
+    wide, names = _measured(worded, ("worded",))
+    slim = lambda a: F.transform(a, lambda f: F.struct(f["rule"].alias("rule"), f["weight"].alias("weight")))
+    found = wide.select("doc_id", "w", F.concat(slim(F.coalesce(F.col("worded"), F.array().cast(wr.JUDGED))), *[slim(F.col(x)) for x in names]).alias("f"))
+    weights = lambda kept: F.aggregate(F.filter("f", kept), F.lit(0).cast("bigint"), lambda n, f: n + f["weight"])
+    rules = F.array_sort(F.array_distinct(F.transform("f", lambda f: f["rule"])))
+    summed = found.select("doc_id", "w", F.size("f").cast("bigint").alias("n_findings"), rules.alias("r"), weights(lambda f: f["rule"].isin(*STYLE)).alias("style"), weights(lambda f: ~f["rule"].isin(*STYLE)).alias("other"))
     raw = F.col("other") + F.least("style", F.greatest("other", F.lit(STYLE_FLOOR)))
     score = F.least(F.lit(100), F.round(raw / F.greatest(F.lit(1.0), F.log2(F.col("w") / 50.0)))).cast("bigint")
-    return every.select("doc_id", "n_findings", F.coalesce(F.size("rules"), F.lit(0)).alias("n_rules"), F.coalesce(F.array_join("rules", ","), F.lit("")).alias("rules"), raw.alias("raw"), score.alias("score")).withColumn("n_rules", F.greatest("n_rules", F.lit(0)))
+    return summed.select("doc_id", "n_findings", F.size("r").alias("n_rules"), F.array_join("r", ",").alias("rules"), raw.alias("raw"), score.alias("score"))
 
 
 def liveness(findings: DataFrame) -> DataFrame:
@@ -434,7 +445,7 @@ SELECT doc_id, n_findings, coalesce(len(rules), 0)::INT AS n_rules, coalesce(arr
 """
 QUERIES = {
     "measured_findings": lambda s, d: measured_findings(probed(documents(s, d))),
-    "rule_scores": lambda s, d: scores(probed(documents(s, d)), all_findings(probed(documents(s, d)))),
+    "rule_scores": lambda s, d: scores(probed(documents(s, d))),
     "rule_liveness": lambda s, d: liveness(all_findings(probed(documents(s, d)))),
 }
 ORACLE_SQL = {
