@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from textloom.functions import evaluation, stats
-from textloom.operators import background, carriers, corpora, corpus, document_measures, forensics, measured_rules, phrases, rules, structure, stylometry, writing_rules
+from textloom.operators import background, carriers, corpora, corpus, diff, document_measures, forensics, measured_rules, phrases, rules, sentence_spans, structure, stylometry, writing_rules
 from textloom.sources import text_files
 from textloom.streaming import quota
 
-_PARTS = (stylometry, rules, writing_rules, measured_rules, carriers, forensics, corpus, corpora, document_measures, structure, background, phrases, stats, evaluation, quota, text_files)
+_PARTS = (stylometry, rules, writing_rules, measured_rules, carriers, forensics, corpus, corpora, document_measures, structure, sentence_spans, diff, background, phrases, stats, evaluation, quota, text_files)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "stylometry"
