@@ -73,3 +73,59 @@ def test_sentence_spans_are_places_in_the_text(spark, text, want):
 def test_cadence_sentences(spark):
     df = spark.createDataFrame([(1, "We met Dr. Jones, e.g. at noon. \"Late.\" he said! 12. Bye ")], DOCS)
     assert df.select(sentence_spans.cadence_sentences(df["text"]).alias("x")).first()["x"] == ["We met Dr. Jones, e.g. at noon.", '"Late.', "he said!", "Bye"]
+
+
+# --- mark-up ------------------------------------------------------------------------------
+
+
+def one(spark, text, column):
+    return spark.createDataFrame([(1, text)], DOCS).select(column.alias("x")).first()["x"]
+
+
+def test_fences_close_by_mark_length_and_nothing_behind(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import markdown
+
+    ranges = lambda t: [tuple(r) for r in one(spark, t, markdown.fence_ranges(F.col("text")))]
+    assert ranges("no") == [] and ranges("") == []
+    text = "a\n```py\nx\n``` no\n~~~\n````  \nb\n~~~\nopen"
+    assert [text[a:b] for a, b in ranges(text)] == ["```py\nx\n``` no\n~~~\n````  ", "~~~\nopen"]
+    assert ranges("    ```\nfour blanks\n    ```") == []
+    masked = lambda t: one(spark, t, markdown.masked_code(F.col("text")))
+    assert masked("x `a` y\n```\nb\n```\n``c ` d`` e ` f") == "x     y\n   \n \n   \n" + " " * 10 + "e ` f"
+    assert masked("é `x\ny` z") == "é `x\ny` z"
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("# Head #\ntext", "Head\ntext"),
+        ("Title\n=====\n\n\n\nmore  here ", "Title\n\nmore here"),
+        ("**1. Step one**\n- *two* _x_", "Step one\ntwo x"),
+        ("| a | **b** |\n|---|---|\n| c | |", "a, b\nc"),
+        ("> > quote [t](u \"v\") ![i](j) <https://u>", "quote t  https://u".replace("  ", " ")),
+        ("```py\n**code**\n```", "code"),
+        (r"\*not\* **yes** \# x", "*not* yes # x"),
+        ("a ~~b~~ <b>c</b> &amp; `d`\\", "a b c & d"),
+        ("***\n---\nsnake_case_name", "snake_case_name"),
+        ("x[^1] y\r\nz\\", "x y\nz"),
+        ("", ""),
+    ],
+)
+def test_without_markup(text, want):
+    from textloom.operators import markdown
+
+    assert markdown.without_markup(text) == want
+    assert markdown.without_markup(want) == want or "*" in want or "#" in want
+
+
+def test_blocks_and_outline(spark):
+    from textloom.operators import markdown
+
+    text = "# Sea birds\n**Where**\n- a\n- b\n\nLone line\n\nOne. Two.\nThree.\n\n- x\ny\nz\n\nAll sea birds fly."
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "")], DOCS)
+    got = sorted(tuple(r) for r in markdown.block_rows(docs).collect())
+    assert [(k, c) for _, _, k, c in got] == [("heading", "Sea birds"), ("heading", "Where"), ("bullets", "- a\n- b"), ("heading", "Lone line"), ("para", "One. Two.\nThree."), ("para", "- x\ny\nz"), ("para", "All sea birds fly.")]
+    rows = {r["doc_id"]: tuple(r)[1:] for r in markdown.outline(docs).collect()}
+    assert rows == {1: ("Sea birds", 3, 2, 3, 1, False, True), 3: ("", 0, 0, 0, 0, False, False)}
