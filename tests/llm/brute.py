@@ -176,3 +176,79 @@ def secrets(text, patterns):
             if len(m.group(m.lastindex)) >= least:
                 out.append((m.start(), rank, f"{kind}:{m.start()}:{m.end()}"))
     return [x for *_, x in sorted(out)]
+
+
+def decontaminate(docs, items, rules):
+    """{(doc, item): (n_windows, n_matched, verbatim)} by comparing every place of every document with every place of every item."""
+    import math
+
+    import regex
+
+    def split(text):
+        bare = regex.sub(r"[^\p{L}\p{N}\x20\x09-\x0D]+", "", text or "").split()
+        kinds = []
+        for w in bare:
+            if regex.fullmatch(r"\p{Lu}\p{L}*\p{Ll}\p{L}*", w):
+                kinds.append("<name>")
+            elif "0" <= w[0] <= "9":
+                kinds.append("<num>")
+            else:
+                kinds.append("<unit>" if kinds and kinds[-1] == "<num>" and w.lower() in rules.UNITS else w.lower())
+        return [w.lower() for w in bare], kinds
+
+    def windows(raw, kinds):
+        n, out, covered = len(raw), [], set()
+        own = min(n, rules.SPAN)
+        for p in range(n - own + 1):
+            out.append((p, own, True))
+            for span in {own, rules.LONG_SPAN}:
+                if p + span <= n and sum(not k.startswith("<") for k in kinds[p : p + span]) >= rules.MIN_LITERALS:
+                    out.append((p, span, False))
+                    if span <= rules.SPAN:
+                        covered |= set(range(p, p + span))
+        return [w for w in out if w[1] <= rules.SPAN or len(covered) < n * rules.MIN_SHARE], n - own + 1
+
+    def mapped(pairs):
+        counts = [(sum(p[1:] == k for p in pairs), *k) for k in {p[1:] for p in pairs}]
+        best = [c for c in counts if not any(o > c and (o[1] == c[1] or o[2] == c[2]) for o in counts)]
+        return len(best) >= len({p[1] for p in pairs}) * rules.MIN_NAMES and sum(c[0] for c in best) >= len(pairs) * rules.MIN_NAMES
+
+    split_items = {i: split(t) for i, t in items if t is not None}
+    made = {i: windows(*s) for i, s in split_items.items() if s[0]}
+    holders = {}
+    for i, (ws, _) in made.items():
+        raw, kinds = split_items[i]
+        for p, span, literal in ws:
+            holders.setdefault(tuple((raw if literal else kinds)[p : p + span]), set()).add(tuple(raw))
+    out = {}
+    for d, text in docs:
+        raw, kinds = split(text)
+        for i, (ws, n_windows) in made.items():
+            ours, our_kinds = split_items[i]
+            shifts, rare_met = {}, False
+            few = {w: len(holders[tuple((ours if w[2] else our_kinds)[w[0] : w[0] + w[1]])]) <= rules.MAX_HOLDERS for w in ws}
+            for p, span, literal in ws:
+                for at in range(len(raw) - span + 1):
+                    mine, theirs = (ours, raw) if literal else (our_kinds, kinds)
+                    if mine[p : p + span] != theirs[at : at + span]:
+                        continue
+                    rare_met = rare_met or few[p, span, literal] or not any(few.values())
+                    z = shifts.setdefault(at - p, (set(), set(), set(), set()))
+                    z[0].update(range(p, p + span))
+                    z[1].add(p)
+                    if literal:
+                        z[2].add(p)
+                    else:
+                        z[3].update((q, ours[q], raw[at + q - p]) for q in range(p, p + span) if our_kinds[q] == "<name>")
+            reach = max(4, math.ceil(len(ours) / 4))
+            ranges = {}
+            for shift, z in shifts.items():
+                for k in (0, 1):
+                    ranges.setdefault((k, (shift + k * reach) // (2 * reach)), []).append(z)
+            need = max(len(ours) * rules.MIN_SHARE, min(len(ours), rules.SHORT) * rules.SHORT_SHARE)
+            for zs in ranges.values():
+                matched = len(set().union(*[z[1] for z in zs]))
+                if rare_met and len(set().union(*[z[0] for z in zs])) >= need and mapped([p for z in zs for p in z[3]]):
+                    old = out.get((d, i), (n_windows, 0, False))
+                    out[d, i] = (n_windows, max(old[1], matched), old[2] or max(len(z[2]) for z in zs) == n_windows)
+    return out

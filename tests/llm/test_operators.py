@@ -487,3 +487,52 @@ def test_decontamination_recall_on_items_with_other_values(spark):
     got = set(found(spark, texts, asked))
     assert len(got & {(i, i) for i in range(60)}) >= 54
     assert not {d for d, _ in got if d >= 60}  # items of one form may be found in each other's texts
+
+
+# --- decontamination: precision, and the whole result ------------------------------------------
+
+
+INNOCENT = [
+    "Please tell us what is the name of your dog, and where it sleeps.",
+    "We know that the capital of France is Paris and it rains there.",
+    "She asked which of the following is true, and nobody knew.",
+    "How many of them are there on a day like this in the whole of the town?",
+    "In the middle of the night the train from Leeds to York was late again.",
+]
+QUESTIONS = [
+    "What is the name of the largest planet?",
+    "What is the capital of France?",
+    "Which of the following is true of the moon and its phases over a month?",
+    "How many of them are there in the basket after two are taken?",
+    "A train leaves from Leeds to York in the middle of the day at nine; when does it arrive if it needs two hours?",
+]
+
+
+def test_decontamination_leaves_innocent_sentences_alone(spark):
+    assert found(spark, INNOCENT, QUESTIONS) == {}
+    inside = [f"He said: {q} And then he left." for q in QUESTIONS]
+    shouted = [q.upper() for q in inside]
+    assert {k for k in found(spark, inside, QUESTIONS)} == {(i, i) for i in range(5)}
+    assert set(found(spark, shouted, QUESTIONS)) == {(i, i) for i in range(5)}
+    assert set(found(spark, [q.lower() for q in inside], QUESTIONS)) == {(i, i) for i in range(5)}
+    other = ITEM.replace("Anna", "Carl").replace("Bert", "Dora").replace("12", "30").replace("7", "9")
+    assert set(found(spark, [other.lower(), other.upper()], [ITEM])) == {(0, 0), (1, 0)}
+
+
+@pytest.mark.parametrize("holders", [16, 1, 0])
+def test_decontamination_equals_brute_force(spark, monkeypatch, holders):
+    monkeypatch.setattr(decontamination, "MAX_HOLDERS", holders)
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(30)] + ["Anna", "Bert", "Carl", "12", "7", "km", "kg", "which of the", "is the"]
+    items = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([2, 4, 6, 8, 12, 20]))) for _ in range(25)]
+    items += [QUIZ, ITEM, ITEM, "Add 12 and 7 to 30 then 5 and 9 to 4", "", "...", *QUESTIONS]
+    texts = [None, "", *INNOCENT]
+    for item in items:
+        words = item.split()
+        for _ in range(2):
+            some = [rng.choice(vocabulary) if rng.random() < 0.15 else w for w in words]
+            texts.append(" ".join([*(rng.choice(vocabulary) for _ in range(rng.randrange(9))), *some, *(rng.choice(vocabulary) for _ in range(9))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["n_matched"], r["verbatim"]) for r in decontamination.find(table(spark, texts), bench).collect()}
+    want = brute.decontaminate(list(enumerate(texts)), list(enumerate(items)), decontamination)
+    assert got == want and len(want) > 40
