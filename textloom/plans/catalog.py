@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from textloom.functions import evaluation, resampling, stats
+from textloom.functions import evaluation, operating_points, resampling, stats
 from textloom.operators import background, carriers, corpora, corpus, diff, document_measures, forensics, markdown, measured_rules, phrases, rules, sentence_spans, structure, stylometry, watermark, writing_rules
 from textloom.sources import text_files
 from textloom.streaming import quota
 
-_PARTS = (stylometry, rules, writing_rules, measured_rules, carriers, forensics, corpus, corpora, document_measures, structure, sentence_spans, markdown, diff, background, watermark, phrases, stats, evaluation, resampling, quota, text_files)
+_PARTS = (stylometry, rules, writing_rules, measured_rules, carriers, forensics, corpus, corpora, document_measures, structure, sentence_spans, markdown, diff, background, watermark, phrases, stats, evaluation, operating_points, resampling, quota, text_files)
 QUERIES: dict = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
 FLAGSHIP = "stylometry"
