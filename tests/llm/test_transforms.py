@@ -176,3 +176,32 @@ def test_secret_spans(spark):
     assert got == {i: brute.secrets(t, PATTERNS) for i, t in some}
     assert secret_scan.secret_spans(table(spark, [])).count() == 0
     assert sorted(r["doc_id"] or 0 for r in secret_scan.secret_spans(table(spark, SECRETS[:3], [7, 7, None])).collect()) == [0, 7, 7]
+
+
+# --- packing of repeated segments -----------------------------------------------------------
+
+
+def test_packing_does_not_hang_on_the_number_of_tasks():
+    import time
+
+    from textloom.llm import repeats
+
+    rng = np.random.default_rng(1)
+    rows = np.zeros(200_000, repeats._ROW)
+    for name in ("key", "hull", "rid", "pos"):
+        rows[name] = rng.integers(0, 1 << 40, len(rows))
+    rows["state"] = rng.integers(0, 4, len(rows))
+
+    def packed(buckets):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            batches = list(repeats._pack(rows, buckets))
+            took.append(time.process_time() - began)
+        back = repeats._unpack(iter(batches))
+        assert sorted(back.tolist()) == sorted(rows.tolist())
+        assert sum(b.num_rows for b in batches) <= buckets
+        return min(took)
+
+    assert packed(125_000) <= 1.5 * packed(128) + 0.02  # buckets at 1 TB and at 1 GB
+    assert list(repeats._pack(rows[:0], 8)) == []

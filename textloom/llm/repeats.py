@@ -89,21 +89,28 @@ def _pack(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     where = by % U64(buckets)
     order = np.argsort(where, kind="stable")
     rows, where = rows[order], where[order].astype(np.int32)
-    cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(rows)])) if len(rows) else [0]
-    for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-        # column by column: row ids and positions then compress well in the shuffle
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array([int(where[lo])], pa.int32()), **{name: pa.array([rows[name][lo:hi].tobytes()], pa.binary()) for name in _ROW.names}})
+    cut = np.concatenate(([0], np.flatnonzero(np.diff(where)) + 1, [len(rows)]))
+    if not len(rows):
+        return
+
+    def cells(name: str) -> pa.Array:
+        """One value a bucket: the column's bytes, cut by offsets, so that the cost does not hang on the number of buckets."""
+        edges = (cut * _ROW[name].itemsize).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(rows[name]).tobytes())])
+
+    # column by column: row ids and positions then compress well in the shuffle
+    yield pa.RecordBatch.from_arrays([pa.array(where[cut[:-1]], pa.int32()), *map(cells, _ROW.names)], names=["bucket", *_ROW.names])
 
 
 _PACKED = "bucket int, " + ", ".join(f"{n} binary" for n in _ROW.names)
 
 
 def _unpack(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    parts: dict[str, list[bytes]] = {n: [] for n in _ROW.names}
+    parts: dict[str, list[np.ndarray]] = {n: [np.zeros(0, np.uint8)] for n in _ROW.names}
     for batch in batches:
         for i, name in enumerate(_ROW.names, 1):
-            parts[name] += batch.column(i).to_pylist()
-    columns = {n: np.frombuffer(b"".join(p), _ROW[n]) for n, p in parts.items()}
+            parts[name].append(strings(batch.column(i))[0])
+    columns = {n: np.concatenate(p).view(_ROW[n]) for n, p in parts.items()}
     rows = np.zeros(len(columns["key"]), _ROW)
     for name, column in columns.items():
         rows[name] = column
