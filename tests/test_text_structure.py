@@ -129,3 +129,26 @@ def test_blocks_and_outline(spark):
     assert [(k, c) for _, _, k, c in got] == [("heading", "Sea birds"), ("heading", "Where"), ("bullets", "- a\n- b"), ("heading", "Lone line"), ("para", "One. Two.\nThree."), ("para", "- x\ny\nz"), ("para", "All sea birds fly.")]
     rows = {r["doc_id"]: tuple(r)[1:] for r in markdown.outline(docs).collect()}
     assert rows == {1: ("Sea birds", 3, 2, 3, 1, False, True), 3: ("", 0, 0, 0, 0, False, False)}
+
+
+# --- source maps -----------------------------------------------------------------------------
+
+
+def test_runs_lead_back_to_the_source(spark):
+    from pyspark.sql import functions as F
+
+    from textloom.operators import source_maps
+
+    html = "<p>a &amp; b</p><script>x<1</script>\U0001f600 é<br/>&#x41;&nope;<!-- c -->z"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id bigint, html string")
+    text = {r["page_id"]: r["visible"] for r in source_maps.visible(pages).collect()}
+    assert text == {1: "\na & b\n" + " " * 20 + "\U0001f600 é\nA&nope;" + " " * 10 + "z", 3: ""}
+    runs = sorted(tuple(r) for r in source_maps.source_runs(pages).collect())
+    assert [r[1] for r in runs] == list(range(len(runs))) and {r[0] for r in runs} == {1}
+    assert runs[0][2] == 0 and runs[-1][3] == len(text[1]) and all(a[3] == b[2] for a, b in zip(runs, runs[1:]))
+    for _, _, vs, ve, ss, se, u in runs:
+        shown, source = text[1][vs:ve], html[ss:se]
+        assert shown == source or shown == "\n" or source.startswith(("&", " ", "<script", "<!--")) or not shown.strip()
+        assert u == len(html[:ss].encode("utf-16-le")) // 2
+    back = spark.createDataFrame([(i,) for i in range(8)], "u int").select(source_maps.code_point_place(F.lit("a\U0001f600b\U0001f600"), F.col("u"))).collect()
+    assert [r[0] for r in back] == [0, 1, 1, 2, 3, 3, 4, 4]

@@ -124,7 +124,7 @@ def bases(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         _count(F.translate("raw", *wr.LOOKALIKES), rf"(?i)(?:^|[^*])\*(?:{wr.STAGE_VERBS})\b[^*\n]{{0,73}}\*").alias("stage"),
     )
     sections = F.filter(_numbers(F.transform(F.when(F.col("heads") >= 2, F.slice(F.split("t", HEADING, -1), 2, 1 << 30)).otherwise(paras), _words)), lambda x: x >= 20)
-    return counted.select("*", _stat(F.col("slens")).alias("st_sent"), _stat(sections).alias("st_section"), F.regexp_extract("trimmed", r"[^\n]*$", 0).alias("last"))
+    return counted.select("*", _stat(F.col("slens")).alias("st_sent"), _stat(sections).alias("st_section"), F.substring_index("trimmed", "\n", -1).alias("last"))
 
 
 @dataclass(frozen=True)

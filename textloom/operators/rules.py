@@ -112,16 +112,20 @@ def visible_text(pages: DataFrame) -> DataFrame:
     return cut.select("page_id", F.btrim(F.regexp_replace(F.regexp_replace(joined, r"[ \t\r\x{A0}]+", " "), r" ?\n[ \n]*", "\n"), F.lit(" \n")).alias("visible"))
 
 
+def _decoded_sql() -> str:
+    """What reference r stands for."""
+    point = "(CASE WHEN r[3] IN ('x', 'X') THEN ('0x' || r[4:len(r) - 1])::BIGINT WHEN r[2] = '#' THEN r[3:len(r) - 1]::BIGINT END)"
+    named = " ".join(f"WHEN r = '&{k};' THEN '{_q(c)}'" for k, c in ENTITIES.items())
+    return f"(CASE {named} WHEN {point} BETWEEN 1 AND 1114111 AND NOT {point} BETWEEN 55296 AND 57343 THEN chr({point}::INT) ELSE r END)"
+
+
 def _visible_sql() -> str:
     shown = "html"
     for pattern, by in ((UNSEEN, "''"), (LINE_TAG, "chr(10)"), (TAG, "''")):
         shown = f"regexp_replace({shown}, '{_q(pattern)}', {by}, 'g')"
-    point = "(CASE WHEN r[3] IN ('x', 'X') THEN ('0x' || r[4:len(r) - 1])::BIGINT WHEN r[2] = '#' THEN r[3:len(r) - 1]::BIGINT END)"
-    named = " ".join(f"WHEN r = '&{k};' THEN '{_q(c)}'" for k, c in ENTITIES.items())
-    decoded = f"(CASE {named} WHEN {point} BETWEEN 1 AND 1114111 AND NOT {point} BETWEEN 55296 AND 57343 THEN chr({point}::INT) ELSE r END)"
     return rf"""
 WITH s AS (SELECT page_id, {shown} AS t FROM pages WHERE html IS NOT NULL),
-c AS (SELECT page_id, string_split_regex(t, '{REFERENCE}') AS x, list_transform(regexp_extract_all(t, '{REFERENCE}'), lambda r: {decoded}) AS r FROM s),
+c AS (SELECT page_id, string_split_regex(t, '{REFERENCE}') AS x, list_transform(regexp_extract_all(t, '{REFERENCE}'), lambda r: {_decoded_sql()}) AS r FROM s),
 j AS (SELECT page_id, array_to_string(list_transform(range(1, len(x) + 1), lambda i: x[i] || coalesce(r[i], '')), '') AS t FROM c)
 SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t\r\x{{A0}}]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS visible FROM j
 """
