@@ -38,10 +38,29 @@ def test_every_wording_rule_fires(spark):
         assert text[r["start"] :].lower().startswith(r["matched"]), r
 
 
+#: Texts whose rhythm each rule looks for.
+RHYTHM = {
+    "sentence-flatline": "The old boat left the small harbour before the rain had begun again. " * 6,
+    "uniformity": "\n\n".join(f"We met at the mill on day {i}. Then the rain came over the hill. After that all went home again." for i in range(5)),
+    "smart-punct-signature": "She said “no” to the first, second, and third of them — " + "and so the whole crew of the ship walked home along the quiet road in the rain " * 6 + "at last.",
+    "punct-distribution": "\n\n".join(f"One, two and three went out, then four came home; the rest stayed {w}, as planned." for w in ("late", "long", "there", "up", "in")),
+    "cross-para-burstiness": "\n\n".join(f"We saw a {w} boat. It had a red sail up. The wind was {w} too." for w in ("fast", "slow", "new", "old", "big")),
+    "fnword-trigram-entropy": "the " * 160 + "cat of the town and the sea.",
+    "low-ttr": "one red boat and two blue ones went out to sea with nets. " * 20,
+    "token-cutoff": "The crew mended nets and talked about weather in the long evening. " * 10 + "\nand then they all went down to the harbour with",
+    "setup-expansion-cadence": "It was late. The rest of the crew had gone down to the harbour with the nets and all of the ropes. " * 6,
+    "passive-ratio": "The boat was painted by them. The nets were mended in time. " * 6,
+    "low-specificity": "people often think about things in many ways and this can help them to see how things work in general over time " * 16 + ".",
+}
+
+
 def test_measured_rules_fire(spark):
     got = {r["rule"] for r in measured_rules.measured_findings(table(spark, measured_rules.PROBES)).collect()}
-    never = {m.name for m in measured_rules.measures()} - got
-    assert never <= {"uniformity", "punct-distribution", "cross-para-burstiness", "fnword-trigram-entropy", "low-ttr", "token-cutoff", "sentence-flatline", "low-specificity", "setup-expansion-cadence", "passive-ratio", "smart-punct-signature"}, never
+    rhythm: dict = {}
+    for r in measured_rules.measured_findings(table(spark, list(RHYTHM.values()))).collect():
+        rhythm.setdefault(r["doc_id"], set()).add(r["rule"])
+    assert all(rule in rhythm.get(i, ()) for i, rule in enumerate(RHYTHM)), rhythm
+    assert {m.name for m in measured_rules.measures()} <= got | set(RHYTHM)
     assert {"tier2", "tier3", "tier3-phrase", "bold-label-bullets", "uniform-list-items", "bullet-np-list", "title-case-header", "invalid-isbn", "proximity-cluster"} <= got
 
 
