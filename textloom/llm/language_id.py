@@ -26,6 +26,8 @@ DIM = len(ORDERS) << BUCKET_BITS
 #: bytes of one text.  Languages are as many as there are.
 MAX_ROWS_PER_LANGUAGE, MAX_ROWS, LEAST_ROWS = 1_200, 12_000, 20
 MAX_EXAMPLE_BYTES = 1 << 20
+#: More languages than this are joined by shuffle instead of broadcast.
+MAX_BROADCAST_LANGUAGES = 50_000
 UNDETERMINED = "und"
 
 
@@ -210,7 +212,8 @@ def sampled(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE, max_all:
             left += by_level.get(at, 0)
         least.append((lang, at))
     levels = labelled.sparkSession.createDataFrame(least, "lang string, _least int")
-    some = good.join(levels, "lang").where("_level >= _least").dropDuplicates(["lang", "text"])
+    small = F.broadcast if len(least) <= MAX_BROADCAST_LANGUAGES else (lambda df: df)
+    some = good.join(small(levels), "lang").where("_level >= _least").dropDuplicates(["lang", "text"])
     first = some.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")))
     return first.where(F.col("_place") <= each).select("lang", "text")
 
