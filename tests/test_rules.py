@@ -85,3 +85,33 @@ def test_rows_that_repeat_a_doc_id_stay_apart(spark):
     assert got == [(0, "manipulated", 3, 5), (1, "clean", 0, 0), (1, "manipulated", 3, 5), (2, "clean", 0, 0)]
     scored = sorted((r["doc_id"] or 0, r["score"] > 0, r["n_rules"] > 0) for r in measured_rules.scores(docs).collect())
     assert scored == [(0, True, True), (1, False, False), (1, True, True)]
+
+
+def test_verdicts_raise_for_artefacts_and_keep_plain_prose(spark):
+    from textloom.operators import verdicts
+
+    plain = "The ferry left at nine in the rain. My sister had packed bread and two apples, and we ate them on the deck. Nobody spoke much. "
+    texts = {
+        "plain": plain,
+        "artefact": plain + "Send it to INSERT_NAME_HERE please.",
+        "citations": plain + "As told contentReference[oaicite:1]{index=1} and [web:12] so.",
+        "none": "",
+        "blank": " \n",
+        "short": "two words",
+        "long": "walk " * 10_001,
+        "hidden": plain + "a​b c​d",
+    }
+    rows = [(i, t) for i, t in enumerate(texts.values())] + [(0, texts["artefact"]), (None, None)]
+    got = [(r["doc_id"], r["status"], r["classification"], r["escalation"]) for r in verdicts.verdicts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    name = lambda i: list(texts)[i]
+    by = {}
+    for i, *rest in got:
+        by.setdefault("null" if i is None else name(i), []).append(tuple(rest))
+    assert len(got) == len(rows)
+    assert sorted(by["plain"], key=str) == [("scored", "human_like", None), ("scored", "mixed_signals", "artefact_score")]
+    assert by["artefact"] == [("scored", "mixed_signals", "artefact_score")]
+    assert by["citations"][0][1:] == ("ai_like", "citation_co_occurrence")
+    assert by["none"] == by["blank"] == by["null"] == [("empty", None, None)] and by["short"] == [("too_short", None, None)] and by["long"] == [("too_long", None, None)]
+    assert by["hidden"][0][0] == "scored"
+    p = verdicts.verdicts(spark.createDataFrame([(1, plain)], "doc_id bigint, text string")).first()
+    assert (p["score"], p["human"], p["mixed"], p["ai"], p["n_findings"]) == (0, 1.0, 0.0, 0.0, 0) and p["confidence"] == "medium"

@@ -242,13 +242,13 @@ def _listed() -> list[Column]:
 ROW = "array<struct<rule:string,severity:string,weight:int,matched:string,n:bigint>>"
 
 
-def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
-    """Rows (doc_id, w, columns to keep, f0, f1, ...), and the names of those last ones: arrays of findings."""
+def _measured(docs: DataFrame, keep: tuple[str, ...] = (), also: tuple[str, ...] = ()) -> tuple[DataFrame, list[str]]:
+    """Rows (doc_id, w, columns to keep, columns of the bases, f0, f1, ...), and the names of those last ones: arrays of findings."""
     base = bases(docs, keep)
     single = lambda m: F.struct(F.lit(m.name).alias("rule"), (m.severity if isinstance(m.severity, Column) else F.lit(m.severity)).alias("severity"), F.lit(m.weight).alias("weight"), F.lit(None).cast("string").alias("matched"), m.n.cast("bigint").alias("n"))
     columns = [F.when(m.holds, F.array(single(m))).otherwise(F.array()).cast(ROW) for m in measures()] + [c.cast(ROW) for c in _listed()]
     names = [f"f{i}" for i in range(len(columns))]
-    return base.select("doc_id", "w", *keep, *[c.alias(name) for c, name in zip(columns, names)]), names
+    return base.select("doc_id", "w", *keep, *also, *[c.alias(name) for c, name in zip(columns, names)]), names
 
 
 def measured_findings(docs: DataFrame) -> DataFrame:
@@ -261,6 +261,19 @@ def all_findings(docs: DataFrame) -> DataFrame:
     return wr.wording_findings(docs).select("doc_id", "rule", "severity", "weight", "matched", "n").unionByName(measured_findings(docs))
 
 
+def findings_of_rows(docs: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, w, f, columns of the bases): all findings of a row of MIN_WORDS words or more as one array of (rule, weight, matched)."""
+    worded = docs.where("text is not null").select("doc_id", "text", wr.judged(F.col("text")).alias("worded"))
+    wide, names = _measured(worded, ("worded",), also)
+    slim = lambda a: F.transform(a, lambda f: F.struct(f["rule"].alias("rule"), f["weight"].alias("weight"), f["matched"].alias("matched")))
+    return wide.select("doc_id", "w", *also, F.concat(slim(F.coalesce(F.col("worded"), F.array().cast(wr.JUDGED))), *[slim(F.col(x)) for x in names]).alias("f"))
+
+
+def score_of(raw: Column, words: Column) -> Column:
+    """The summed weights on the scale to 100: longer texts need more."""
+    return F.least(F.lit(100), F.round(raw / F.greatest(F.lit(1.0), F.log2(words / 50.0)))).cast("bigint")
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_findings, n_rules, rules, raw, score): weights summed, style rules capped, scaled by length.
 
@@ -268,15 +281,12 @@ def scores(docs: DataFrame) -> DataFrame:
     all is read off the row's own text, so rows that repeat a doc_id, or have none,
     stay apart and nothing shuffles.
     """
-    worded = docs.where("text is not null").select("doc_id", "text", wr.judged(F.col("text")).alias("worded"))
-    wide, names = _measured(worded, ("worded",))
-    slim = lambda a: F.transform(a, lambda f: F.struct(f["rule"].alias("rule"), f["weight"].alias("weight")))
-    found = wide.select("doc_id", "w", F.concat(slim(F.coalesce(F.col("worded"), F.array().cast(wr.JUDGED))), *[slim(F.col(x)) for x in names]).alias("f"))
+    found = findings_of_rows(docs)
     weights = lambda kept: F.aggregate(F.filter("f", kept), F.lit(0).cast("bigint"), lambda n, f: n + f["weight"])
     rules = F.array_sort(F.array_distinct(F.transform("f", lambda f: f["rule"])))
     summed = found.select("doc_id", "w", F.size("f").cast("bigint").alias("n_findings"), rules.alias("r"), weights(lambda f: f["rule"].isin(*STYLE)).alias("style"), weights(lambda f: ~f["rule"].isin(*STYLE)).alias("other"))
     raw = F.col("other") + F.least("style", F.greatest("other", F.lit(STYLE_FLOOR)))
-    score = F.least(F.lit(100), F.round(raw / F.greatest(F.lit(1.0), F.log2(F.col("w") / 50.0)))).cast("bigint")
+    score = score_of(raw, F.col("w"))
     return summed.select("doc_id", "n_findings", F.size("r").alias("n_rules"), F.array_join("r", ",").alias("rules"), raw.alias("raw"), score.alias("score"))
 
 
@@ -316,7 +326,8 @@ def _m(x: str, pattern: str) -> str:
     return f"regexp_matches({x}, '{wr._q(pattern)}')"
 
 
-def _measured_sql(source: str) -> str:
+def _measured_sql(source: str, then: str = "") -> str:
+    """The findings; or, if given, what ``then`` selects from them (measured) and from the bases (k)."""
     q = wr._q
     dashes = " + ".join(_c("t", p) for p in DASHES) + " - labels"
     inside = ", ".join(f"'{x}'" for x in FUNCTION_WORDS)
@@ -405,7 +416,8 @@ f1 AS (SELECT *, lead(spot) OVER (PARTITION BY doc_id, k ORDER BY spot) - spot A
         many("proximity-cluster", 2, "low", "SELECT doc_id, k AS matched, count(*) AS n FROM f1 GROUP BY ALL HAVING min(gap) <= 300"),
         many("normalization-flag", 9, "high", "SELECT doc_id, 'stage directions' AS matched, stage AS n FROM k WHERE stage >= 2"),
     ]
-    return f"WITH {ctes} " + " UNION ALL ".join(selects)
+    found = " UNION ALL ".join(selects)
+    return f"WITH {ctes}, measured AS ({found}) {then}" if then else f"WITH {ctes} {found}"
 
 
 # --- documents with the layouts that rules measure ------------------------------------
