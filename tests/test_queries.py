@@ -54,6 +54,15 @@ def test_streaming_ledger_equals_batch(spark, tmp_path):
     assert spark.table("firsts").columns == quota.single_use(events).columns and key(spark.table("firsts")) == key(quota.single_use(events))
 
 
+def test_hard_guard_stops_at_a_leak(spark):
+    from textloom.operators import corpora
+
+    docs = spark.createDataFrame([(1, "A  text"), (2, "another"), (3, None)], "doc_id bigint, text string")
+    assert corpora.without_leaks(docs, docs.where("doc_id = 3")).count() == 3
+    with pytest.raises(ValueError, match=r"\[1\]"):
+        corpora.without_leaks(docs, spark.createDataFrame([("a text ",)], "text string"))
+
+
 def test_ranked_equals_one_window(spark):
     from pyspark.sql import Window, functions as F
 

@@ -42,6 +42,14 @@ def leaks(docs: DataFrame, held: DataFrame) -> DataFrame:
     return docs.withColumn("h", norm_key(F.col("text"))).join(guard, "h", "left_semi").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+def without_leaks(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """``docs`` as they are; an error if the normal form of one is among the held-out texts."""
+    found = leaks(docs, held).orderBy("first_id").limit(3).collect()
+    if found:
+        raise ValueError(f"held-out texts among the documents, first in {[r['first_id'] for r in found]}")
+    return docs
+
+
 def _held(spark, sf_dir: str) -> DataFrame:
     """The texts of documents with label quality 0, as a held-out corpus."""
     bad = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 0").select("doc_id").distinct()
@@ -107,7 +115,7 @@ def lexicon_counts(docs: DataFrame, words: tuple[str, ...] = wr.TIER3) -> DataFr
     return tok.join(F.broadcast(lexicon), "word").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
 
 
-LEXICON_SQL = "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z-]+')) AS word FROM documents) WHERE word IN (" + ", ".join(f"'{w}'" for w in wr.TIER3) + ") GROUP BY ALL"
+LEXICON_SQL = "SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z-]+')) AS word FROM (" + wr.probed_sql() + ")) WHERE word IN (" + ", ".join(f"'{w}'" for w in (*wr.TIER1, *wr.TIER3)) + ") GROUP BY ALL"
 
 #: Kinds of facts whose spans findings are held against.
 SPAN_KINDS = ("quote", "number", "url", "citation")
@@ -316,7 +324,7 @@ QUERIES = {
     "held_out_leaks": lambda s, d: leaks(documents(s, d), _held(s, d)),
     "turn_pairs": lambda s, d: turn_pairs(conversations(s, d)),
     "matched_sample": lambda s, d: matched_sample(documents(s, d), s.read.parquet(f"{d}/labels.parquet")),
-    "lexicon_counts": lambda s, d: lexicon_counts(documents(s, d)),
+    "lexicon_counts": lambda s, d: lexicon_counts(wr.probed(documents(s, d)), (*wr.TIER1, *wr.TIER3)),
     "protected_findings": lambda s, d: protected_findings(wr.probed(documents(s, d))),
     "findings_without_base": lambda s, d: without_base_spans(wr.probed(documents(s, d))),
     "rule_pairs": lambda s, d: rule_pairs(wr.wording_findings(wr.probed(documents(s, d)))),
