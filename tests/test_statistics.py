@@ -72,7 +72,9 @@ def mulberry(seed):
         yield (t ^ t >> 14) & 0xFFFFFFFF
 
 
-def test_paired_bootstrap_draws_as_one_generator_would(spark):
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_paired_bootstrap_draws_as_one_generator_would(spark, monkeypatch, limit):
+    monkeypatch.setattr(resampling, "MAX_BROADCAST_PAIRS", limit)
     rng = random.Random(3)
     pairs = [(f"k{i:03}", float(rng.randrange(5)), float(rng.randrange(4))) for i in range(37)]
     got = resampling.paired_bootstrap(spark.createDataFrame(pairs, "k string, a double, b double"), "k", iterations=200, seed=11).first()

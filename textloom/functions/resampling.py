@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.corpus import ranked
@@ -12,6 +15,8 @@ from textloom.operators.corpus import ranked
 STEP = 0x6D2B79F5
 SEED, ITERATIONS = 20260826, 4_000
 LEVELS = (0.025, 0.975)
+#: More pairs than this meet their draws in a join; the result is the same.
+MAX_BROADCAST_PAIRS = 1_000_000
 
 
 def interpolated(ordered: Column, q: float) -> Column:
@@ -41,8 +46,9 @@ def paired_bootstrap(pairs: DataFrame, order: str, iterations: int = ITERATIONS,
 
     Pairs are numbered by ``order`` (unique, text); replicate r draws number
     floor(u * n) for its i-th pair with the generator's number r * n + i + 1, so the
-    result hangs on the seed only.  Draws are rows made where they are used and
-    summed by replicate before any shuffle.  An empty table has no row.
+    result hangs on the seed only.  Replicates are spread over tasks, to which up to
+    MAX_BROADCAST_PAIRS differences are sent; beyond, draws are rows that meet the
+    pairs in a join and are summed by replicate map-side.  An empty table has no row.
     """
     differences = pairs.select(F.lit(0).alias("_all"), order, (F.col("a") - F.col("b")).alias("d"))
     numbered = ranked(differences, ["_all"], order).select(F.col("before").alias("place"), "d")
@@ -50,14 +56,41 @@ def paired_bootstrap(pairs: DataFrame, order: str, iterations: int = ITERATIONS,
     if not n:
         return pairs.groupBy().agg(F.count("*").alias("n"), *[F.lit(None).cast("double").alias(x) for x in ("estimate", "lower", "upper")]).where("n > 0")
     spark = pairs.sparkSession
-    k = F.col("id")
-    place = F.floor(draw(k + 1, seed) * F.lit(float(n)) / F.lit(4294967296.0)).cast("bigint")
-    drawn = spark.range(iterations * n).select(F.floor(k / n).alias("replicate"), place.alias("place"))
-    means = drawn.join(numbered, "place").groupBy("replicate").agg((F.sum("d") / n).alias("v"))
+    if n <= MAX_BROADCAST_PAIRS:
+        means = _means(numbered, n, iterations, seed)
+    else:
+        k = F.col("id")
+        place = F.floor(draw(k + 1, seed) * F.lit(float(n)) / F.lit(4294967296.0)).cast("bigint")
+        drawn = spark.range(iterations * n).select(F.floor(k / n).alias("replicate"), place.alias("place"))
+        means = drawn.join(numbered, "place").groupBy("replicate").agg((F.sum("d") / n).alias("v"))
     estimate = numbered.groupBy().agg(F.count("*").alias("n"), F.avg("d").alias("estimate"))
     return estimate.crossJoin(means.groupBy().agg(*_interval()))  # one row each
 
 
+def _means(numbered: DataFrame, n: int, iterations: int, seed: int) -> DataFrame:
+    """(replicate, v): the mean of each resample of differences that fit a task."""
+    spark = numbered.sparkSession
+    sent = spark.sparkContext.broadcast(np.array([r["d"] for r in sorted(numbered.collect(), key=lambda r: r["place"])], float))  # MAX_BROADCAST_PAIRS at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d = sent.value
+        for batch in batches:
+            values = [float(d[(draws(int(r) * n, n, seed) * np.uint64(n)) >> np.uint64(32)].sum()) / n for r in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.float64())], names=["replicate", "v"])
+
+    return spark.range(iterations).withColumnRenamed("id", "replicate").mapInArrow(run, "replicate bigint, v double")
+
+
+def draws(first: int, count: int, seed: int) -> np.ndarray:
+    """The generator's numbers first + 1 to first + count."""
+    mask, u = np.uint64(0xFFFFFFFF), np.uint64
+    k = np.arange(first + 1, first + count + 1, dtype=np.uint64) & mask
+    t = (u(seed) + k * u(STEP)) & mask
+    t = ((t ^ (t >> u(15))) * (t | u(1))) & mask
+    t ^= (t + (((t ^ (t >> u(7))) * (t | u(61))) & mask)) & mask
+    return t ^ (t >> u(14))
+
+
 def _interval() -> list[Column]:
     values = F.array_sort(F.collect_list("v"))  # one value a replicate
     return [F.round(interpolated(values, q), 9).alias(name) for q, name in zip(LEVELS, ("lower", "upper"))]
