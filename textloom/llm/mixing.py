@@ -79,7 +79,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, id_col: str = "do
     small = F.broadcast if want.count() <= MAX_BROADCAST_SOURCES else (lambda df: df)
     edge = want.select("source", F.lit("").alias("prefix"), F.col("left").cast("double").alias("rest"))
     for level in range(LEVELS):
-        edge = _refine(slim, edge, level, small)
+        edge = written(_refine(slim, edge, level, small))  # a row a source; keeps plans, and the driver, small
     below = edge.select(F.col("source").alias("_e"), F.col("prefix").alias("threshold"), "rest", "edge_sum")
     per_source = want.select(F.col("source").alias("_s"), "source_size", "target", "whole").join(below, F.col("_s").eqNullSafe(F.col("_e")))
     out = slim.join(small(per_source), slim["source"].eqNullSafe(F.col("_s")))
