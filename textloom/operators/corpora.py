@@ -151,7 +151,7 @@ PROTECTED_SQL = f"SELECT f.doc_id, rule, start, kind, fact_start FROM ({wr.wordi
 def without_base_spans(docs: DataFrame) -> DataFrame:
     """Findings but for those whose span a stock phrase of the base pack has exactly."""
     base = wr.Rule("base", 0, "low", tuple(rf"\b{p}\b" for p in STOCK_PHRASES))
-    spans = docs.where("text is not null").select("doc_id", F.explode(wr.hits(base, wr.normalised(F.col("text")))).alias("h")).select("doc_id", "h.start", F.lower("h.matched").alias("matched"))
+    spans = docs.where("text is not null").select("doc_id", F.explode(wr.hits(base, F.col("text"), normal=True)).alias("h")).select("doc_id", "h.start", F.lower("h.matched").alias("matched"))
     return wr.wording_findings(docs).join(spans, ["doc_id", "start", "matched"], "left_anti").select("doc_id", "rule", "matched", "start")
 
 
