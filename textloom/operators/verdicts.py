@@ -33,9 +33,9 @@ def verdicts(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id stay apart.
     """
     rated = _rated(docs)
-    short = docs.select("doc_id", F.regexp_count(wr.normalised(F.col("text")), F.lit(r"\S+")).alias("w")).where(F.col("w").isNull() | (F.col("w") < wr.MIN_WORDS))
+    short = docs.select("doc_id", wr.word_count(F.col("text")).alias("w")).where(F.col("w") < wr.MIN_WORDS)
     nulls = [F.lit(None).cast(kind).alias(name) for name, kind in rated.dtypes if name not in ("doc_id", "status")]
-    none = short.select("doc_id", F.when(F.coalesce("w", F.lit(0)) == 0, "empty").otherwise("too_short").alias("status"), *nulls)
+    none = short.select("doc_id", F.when(F.col("w") == 0, "empty").otherwise("too_short").alias("status"), *nulls)
     return rated.unionByName(none)
 
 
