@@ -152,3 +152,32 @@ def test_runs_lead_back_to_the_source(spark):
         assert u == len(html[:ss].encode("utf-16-le")) // 2
     back = spark.createDataFrame([(i,) for i in range(8)], "u int").select(source_maps.code_point_place(F.lit("a\U0001f600b\U0001f600"), F.col("u"))).collect()
     assert [r[0] for r in back] == [0, 1, 1, 2, 3, 3, 4, 4]
+
+
+def test_segments_of_a_batch_are_kept_as_numbers():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pairs = [(" ".join(f"a{i} b{i % k}" for i in range(60)), " ".join(f"a{i} c{i % k}" for i in range(60))) for k in range(1, 101)]
+    source, candidate = (pa.array([*side, None, None]) for side in zip(*pairs))
+    tracemalloc.start()
+    got = diff._text_diff(source, candidate)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    n = len(got.flatten())
+    # six numbers of a segment as objects of a dictionary take some 500 bytes
+    assert n > 10_000 and peak < 150 * n
+    assert got[-1].as_py() == [] and [tuple(x.values()) for x in got[0].as_py()] == diff.segments(*pairs[0])
+
+
+def test_long_texts_differ_as_fast_as_rows_of_whole_numbers():
+    import random
+    import time
+
+    draw = random.Random(5)
+    a = [draw.randrange(300) for _ in range(8000)]
+    b = [x if draw.random() < 0.8 else draw.randrange(300) for x in a]
+    began = time.process_time()
+    got = diff.common(a, b)
+    assert time.process_time() - began < 1.0 and all(a[i] == b[j] for i, j in got)
