@@ -9,9 +9,10 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.functions import scan
 from textloom.functions.text import ngrams
 from textloom.operators.stylometry import documents
 from textloom.operators.writing_rules import _bound
@@ -164,9 +165,10 @@ def without_markup(text: str) -> str:
 def stripped(docs: DataFrame) -> DataFrame:
     """(doc_id, text): texts without mark-up; null stays null, rows stay apart, no shuffle."""
 
-    @F.pandas_udf("string")
-    def bare(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else without_markup(t))
+    @F.arrow_udf("string")
+    def bare(texts: pa.Array) -> pa.Array:
+        # texts as objects only for a slice, not for a batch
+        return pa.concat_arrays([pa.array([None if t is None else without_markup(t) for t in part.to_pylist()], pa.string()) for part in scan.slices(texts)])
 
     return docs.select("doc_id", bare("text").alias("text"))
 

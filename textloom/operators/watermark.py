@@ -48,6 +48,10 @@ class Key:
         return [w * n / sum(ramp) for w in ramp]
 
 
+#: Tokens that are counted at a time, unless one text is longer.
+PIECE_TOKENS = 1 << 18
+
+
 def folded(h: np.ndarray, value: np.ndarray | np.uint64) -> np.ndarray:
     return (h + value) * np.uint64(MULTIPLIER) + np.uint64(INCREMENT)
 
@@ -83,6 +87,17 @@ def counted(tokens: np.ndarray, first: np.ndarray, key: Key) -> tuple[np.ndarray
     return np.bincount(home, minlength=n_texts), np.bincount(home[counts], minlength=n_texts), np.stack(bits, axis=1)
 
 
+def pieces(batch: pa.RecordBatch, tokens: int = PIECE_TOKENS) -> Iterator[pa.RecordBatch]:
+    """The batch cut so that a piece holds about so many tokens, or one longer text: counting takes some hundred bytes a token."""
+    ends = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < batch.num_rows:
+        before = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, before + tokens, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def p_value(z: Column) -> Column:
     """One-sided tail of the normal distribution."""
     x = F.abs(z) / F.sqrt(F.lit(2.0))
@@ -102,12 +117,12 @@ def scores(rows: DataFrame, key: Key, tokens: str = "tokens") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
+        for part in (part for batch in batches for part in pieces(batch)):
+            lists = part.column(1)
             first = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
             n_windows, n_counted, bits = counted(lists.flatten().to_numpy(zero_copy_only=False), first, key)
             values = pa.array(bits.reshape(-1), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_windows, pa.int64()), pa.array(n_counted, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * len(key.keys), pa.int32()), values)], names=["doc_id", "n_windows", "n_counted", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n_windows, pa.int64()), pa.array(n_counted, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(len(bits) + 1) * len(key.keys), pa.int32()), values)], names=["doc_id", "n_windows", "n_counted", "bits"])
 
     got = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), tokens).mapInArrow(run, "doc_id bigint, n_windows bigint, n_counted bigint, bits array<bigint>")
     depth = len(key.keys)

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from textloom.functions import scan
 from textloom.operators.stylometry import documents
 
 #: Names under which records hold their text; the first that is not empty counts.
@@ -92,6 +93,11 @@ def _page(record: bytes) -> tuple[str, str] | None:
     return fields.get("WARC-Target-URI", ""), body.decode("utf-8", "replace")
 
 
+def _page_columns(records: pa.Array) -> pa.StructArray:
+    found = [_page(x.as_py()) or (None, None) for x in records]
+    return pa.StructArray.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], ["url", "html"])
+
+
 #: What stands between two records of a web archive, up to the version's last digit.
 RECORD_EDGE = "\r\n\r\nWARC/1."
 
@@ -105,9 +111,10 @@ def archive_pages(spark: SparkSession, path: str) -> DataFrame:
     in its own text) is dropped.
     """
 
-    @F.pandas_udf("struct<url:string,html:string>")
-    def page(records: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_page(bytes(x)) or (None, None) for x in records], columns=["url", "html"])
+    @F.arrow_udf("struct<url:string,html:string>")
+    def page(records: pa.Array) -> pa.Array:
+        # records and pages as objects only for a slice, not for a batch
+        return pa.concat_arrays([_page_columns(part) for part in scan.slices(records)])
 
     raw = spark.read.option("lineSep", RECORD_EDGE).text(path)
     return raw.where(F.col("value").contains("WARC-Type: response")).select(page(F.col("value").cast("binary")).alias("r")).where("r.html is not null").select("r.*")
