@@ -94,3 +94,16 @@ def test_joint_threshold_and_gap_equal_a_search(spark):
             if false <= 2:
                 best = max(best, (sum(s == 1 and k >= t for s, k in scored), gap))
     assert (fit["n_found"], fit["gap"]) == best and fit["n_false"] <= 2
+
+
+def test_pieces_are_remembered_by_what_stands_between_white_space():
+    from textloom.operators.wordpiece import UNKNOWN, WordPieces, plain_words
+
+    mine = WordPieces([UNKNOWN, "a", "b", "##b", "é", ",", "漢"])
+    seen: list[str] = []
+    of_word = mine.of_word
+    mine.of_word = lambda word: seen.append(word) or of_word(word)
+    text = "Ab,\x00b áb漢b a\x0bB Ab,\x00b x�​ Ab,\x00b"
+    assert mine(text) == [x for w in plain_words(text) for x in of_word(w)] and mine.count(text) == len(mine(text))
+    # each stretch is taken apart once, however often it comes
+    assert len(seen) == len([w for chunk in dict.fromkeys(["Ab,\x00b", "áb漢b", "a", "B", "x�​"]) for w in plain_words(chunk)])
