@@ -56,7 +56,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, as it is or with other values, go; each row by its own text."""
     keyed = _keyed(docs)
-    leaks = decontamination.find(keyed, load(spark, sf_dir, "benchmark"), id_col="_row").select(F.col("doc_id").alias("_row")).distinct()
+    leaks = decontamination.find(keyed, load(spark, sf_dir, "benchmark"), id_col="_row", rare_first=False).select(F.col("doc_id").alias("_row")).distinct()
     return _columns(keyed.join(written(leaks), "_row", "left_anti"))
 
 

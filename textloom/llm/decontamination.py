@@ -11,9 +11,10 @@ occurrence covers enough of its words, nearly all of a short item's.  Numbers an
 units may differ freely; item names and document names must map one to one for
 most names.
 
-Windows that many different items hold ("which of the following") never join on
-their own: documents are met with the rarer windows first, and the frequent ones
-are then joined by document and window for the pairs that these found.
+Windows that many different items hold ("which of the following") need not join on
+their own: with ``rare_first`` documents are met with the rarer windows first, and the
+frequent ones are then joined by document and window for the pairs that these found.
+The query and the pipeline join every window, so that they pass over no item.
 """
 
 from __future__ import annotations
@@ -125,7 +126,7 @@ def _probes(docs: DataFrame, sizes: list, longest: int) -> DataFrame:
     return probes.select("doc_id", "at", "key", F.slice("raw", at, longest).alias("values"))
 
 
-def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_first: bool = True) -> DataFrame:
     """(doc_id, item_id, n_windows, n_matched, verbatim) of items found in documents.
 
     n_matched: places of the item's windows that the best occurrence holds, of
@@ -135,8 +136,13 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     that holds most places counts.  One pass over the texts, whole texts whatever
     their length; only windows that an item has leave it.  Columns besides id and
     text are not read, whatever their names.
+
+    rare_first: an item is only looked for in documents that hold one of its rarer
+    windows.  Without it every window joins, and no item is passed over, at the cost
+    of a row for each item that holds a window of a document.
     """
-    items = written(_rare(item_windows(benchmark)))
+    windows = item_windows(benchmark)
+    items = written(_rare(windows) if rare_first else windows.withColumn("rare", F.lit(True)))
     sizes = items.groupBy("span", "rare").agg(F.max("literal").alias("as_is"), F.max(~F.col("literal")).alias("as_template"), F.count("*").alias("n")).collect()
     if not sizes:
         return docs.limit(0).select(F.col(id_col).alias("doc_id")).join(items.limit(0), F.lit(True)).select("doc_id", "item_id", "n_windows", F.lit(0).alias("n_matched"), F.lit(False).alias("verbatim"))
@@ -175,4 +181,4 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), rare_first=False)
