@@ -83,3 +83,16 @@ def test_mix_with_null_and_repeated_ids(spark):
     got = contents(corpus_pipeline.mixing_stage(spark, odd_rows(spark, rows), SF))
     assert set(got) <= set(rows) and max(got.values()) <= 2
     assert abs(sum(got.values()) - 1.5 * len(rows)) <= 3 and any(r[0] is None for r in got)
+
+
+def test_language_model_is_fitted_in_a_task(spark, monkeypatch):
+    from textloom.llm import language_id
+
+    docs = spark.createDataFrame([(i, ("the cat and the dog " if i % 2 else "der hund und die katze ") * 3 + str(i), "en" if i % 2 else "de") for i in range(60)], "doc_id bigint, text string, lang string")
+    want = language_id.train(docs)
+    # what the driver would fit itself never runs there
+    seen = []
+    fit = language_id.fit
+    monkeypatch.setattr(language_id, "fit", lambda *a, **k: seen.append(1) or fit(*a, **k))
+    got = language_id.train(docs)
+    assert not seen and got.languages == want.languages == ["de", "en"] and (got.weight == want.weight).all() and len(got.feature) == len(got.weight)

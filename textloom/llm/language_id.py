@@ -233,12 +233,21 @@ def train(labelled: DataFrame, max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Model:
                 feature, times = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_pydict({"lang": [lang], "f": [feature.astype("<i4").tobytes()], "tf": [(times / times.sum()).astype("<f4").tobytes()]})
 
-    got = sorted(tuple(r) for r in sample.mapInArrow(vectors, "lang string, f binary, tf binary").collect())
-    languages = sorted({g[0] for g in got})
-    if not languages:
-        return Model([UNDETERMINED], np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1), 1.0)
-    rows = [(languages.index(lang), np.frombuffer(f, "<i4"), np.frombuffer(tf, "<f4").astype(np.float64)) for lang, f, tf in got]
-    return fit(rows, languages)
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        languages = sorted({lang for lang, _, _ in got})
+        if languages:
+            model = fit([(languages.index(lang), np.frombuffer(f, "<i4"), np.frombuffer(tf, "<f4").astype(np.float64)) for lang, f, tf in got], languages)
+            numbers = {"feature": model.feature.astype("<i4"), "weight": model.weight.astype("<f4"), "bias": model.bias.astype("<f8")}
+            yield pa.RecordBatch.from_pydict({"languages": [languages], **{k: [v.tobytes()] for k, v in numbers.items()}, "temperature": [model.temperature]})
+
+    # the sample, of bounded size, is fitted in one task: the driver gets the weights only
+    rows = sample.mapInArrow(vectors, "lang string, f binary, tf binary").repartition(1)
+    for r in rows.mapInArrow(fitted, "languages array<string>, feature binary, weight binary, bias binary, temperature double").collect():
+        languages = list(r["languages"])
+        weight = np.frombuffer(r["weight"], "<f4").reshape(-1, len(languages))
+        return Model(languages, np.frombuffer(r["feature"], "<i4"), weight, np.frombuffer(r["bias"], "<f8"), r["temperature"])
+    return Model([UNDETERMINED], np.zeros(0, np.int64), np.zeros((0, 1), np.float32), np.zeros(1), 1.0)
 
 
 def verdicts(docs: DataFrame, model: Model, min_score: float, text_col: str = "text") -> DataFrame:
