@@ -8,11 +8,12 @@ the rest of a text, so that ``\\b`` and ``^`` hold there where they should not.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that are worked on at a time, unless one text is longer.
 SLICE_BYTES = 1 << 22
@@ -41,6 +42,57 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held, offsets - offsets[0]
 
 
+def rows(docs: DataFrame, schema: str, work: Callable[[pa.Array], tuple[np.ndarray, list]]) -> DataFrame:
+    """(doc_id, schema): what ``work`` makes of the texts that are not null, a slice at a time: (the place of each row's text, columns)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1)):
+                owner, columns = work(texts)
+                ids = batch.column(0).slice(at, len(texts)).take(pa.array(owner, pa.int64()))
+                at += len(texts)
+                yield pa.RecordBatch.from_arrays([ids, *columns], ["doc_id", *names])
+
+    names = [part.split()[0] for part in schema.split(", ")]
+    return docs.select("doc_id", "text").where("text is not null").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
+def _latin() -> np.ndarray:
+    ok = np.zeros(256, bool)
+    ok[[*range(0x41, 0x5B), *range(0x61, 0x7B), 0x27]] = True
+    return ok
+
+
+_LATIN = _latin()
+
+
+def latin_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(code of each word, the place of its text, the different words) of ``[A-Za-zÀ-ɏ']+``, lower case."""
+    data, offsets = raw(texts)
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    after = np.append(data[1:], np.uint8(0))
+    lead = ((data >= 0xC3) & (data <= 0xC8)) | ((data == 0xC9) & (after <= 0x8F))
+    word = _LATIN[data] | lead
+    word[1:] |= lead[:-1]
+    first, last = word.copy(), word.copy()
+    edge = offsets[(offsets > 0) & (offsets < len(data))]  # words end where texts do
+    inner = np.ones(len(data), bool)
+    inner[edge] = False
+    first[1:] &= ~(word[:-1] & inner[1:])
+    last[:-1] &= ~(word[1:] & inner[1:])
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
+    packed = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[word]))
+    met = packed.dictionary_encode()
+    low = pc.utf8_lower(met.dictionary).dictionary_encode()
+    codes = low.indices.to_numpy(zero_copy_only=False).astype(np.int64)[met.indices.to_numpy(zero_copy_only=False)]
+    return codes, np.searchsorted(offsets, starts, "right") - 1, low.dictionary.to_pylist()
+
+
 def marks(texts: pa.Array, n: int = 1) -> list[str]:
     """n characters that no text holds."""
     held = raw(texts)[0].tobytes()

@@ -1,16 +1,19 @@
-"""Sentences as places in the text, with guards for abbreviations, initials and acronyms; row-local and native.
+"""Sentences as places in the text, with guards for abbreviations, initials and acronyms; row-local.
 
-Candidate edges are marked in one pass; a piece between marks that ends in a
-guarded full stop is no end, and the lengths of pieces give exact places in the
-original text.
+Candidate edges are found in one pass over a text; one behind a guarded full stop
+is no end.  Words are told for all texts of an Arrow slice at once.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textloom.functions import scan
 from textloom.operators.stylometry import documents
-from textloom.operators.writing_rules import _bound
 
 # White space, ends, closers and openers of a sentence, and tokens whose full stop ends none.
 SPACE = r"[\f\n\r\t\x0B\x20\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -29,39 +32,72 @@ NON_SPACE = SPACE.replace("[", "[^", 1)
 MARK, OTHER = "\u0001", "\u0002"
 
 
-def _guarded(piece: Column) -> Column:
-    """Does the piece end in one full stop that belongs to its last token?"""
-    token = F.lower(F.regexp_extract(piece, LAST, 1))
-    return (token != "") & ~token.endswith(".") & ((F.length(token) == 1) | token.contains(".") | token.isin(*ABBREVIATIONS))
-
-
-def spans(text: Column) -> Column:
-    """array<struct<start, end, words, scorable>> of a text's sentences; places are code points, end exclusive."""
-    marked = F.regexp_replace(F.translate(text, MARK, OTHER), EDGE, f"$1{MARK}$2")
-
-    def cut(pieces: Column) -> Column:
-        sized = F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), _guarded(p).alias("open")))
-        zero = F.struct(F.lit(0).alias("at"), F.array(F.lit(0)).alias("cuts"))
-        step = lambda z, p: F.struct((z["at"] + p["n"]).alias("at"), F.when(p["open"], z["cuts"]).otherwise(F.concat(z["cuts"], F.array(z["at"] + p["n"]))).alias("cuts"))
-        # a text that ends in a guarded stop ends there all the same
-        return F.aggregate(sized, zero, step, lambda z: F.array_distinct(F.concat(z["cuts"], F.array(z["at"]))))
-
-    def placed(cuts: Column) -> Column:
-        raw = lambda i: F.substring(text, F.get(cuts, i) + 1, F.get(cuts, i + 1) - F.get(cuts, i))
-        lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, f"^{SPACE}+", ""))
-        trail = lambda x: F.length(x) - F.length(F.regexp_replace(x, f"{SPACE}+$", ""))
-        row = lambda i, x: F.struct((F.get(cuts, i) + lead(x)).cast("bigint").alias("start"), (F.get(cuts, i + 1) - trail(x)).cast("bigint").alias("end"), F.regexp_count(x, F.lit(f"{NON_SPACE}+")).cast("bigint").alias("words"))
-        every = F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), lambda i: _bound(raw(i), lambda x: row(i, x)))
-        return F.transform(F.filter(every, lambda s: s["words"] > 0), lambda s: F.struct(s["start"], s["end"], s["words"], (s["words"] >= MIN_WORDS).alias("scorable")))
-
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint,words:bigint,scorable:boolean>>")
-    return F.when(F.coalesce(text, F.lit("")) == "", nothing).otherwise(_bound(F.split(marked, MARK, -1), lambda p: _bound(cut(p), placed)))
+def _python(pattern: str) -> str:
+    """The pattern with its code points as Python writes them."""
+    return re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern)
+
+
+_EDGE, _SPACE, _ENDS = re.compile(_python(EDGE)), re.compile(_python(SPACE)), ".!?…"
+_TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz.")
+_KNOWN = frozenset(ABBREVIATIONS)
+_BLANK = np.zeros(0x10000, bool)
+_BLANK[[i for i in range(0x10000) if _SPACE.match(chr(i))]] = True
+
+
+def _guarded(text: str, low: int, stop: int) -> bool:
+    """Is the full stop at ``stop``, alone, part of the token before it, which starts at ``low`` or later?"""
+    if text[stop] != "." or text[stop + 1] in _ENDS:
+        return False
+    at = stop
+    while at > low and text[at - 1] in _TOKEN:
+        at -= 1
+    token = text[at:stop].lstrip(".").lower()
+    return token != "" and not token.endswith(".") and (len(token) == 1 or "." in token or token in _KNOWN)
+
+
+def _cuts(text: str) -> list[int]:
+    """Places where sentences end, but the last."""
+    low, out = 0, []
+    for m in _EDGE.finditer(text):
+        if not _guarded(text, low, m.start()):
+            out.append(m.end(1))
+        low = m.end(1)
+    return out
+
+
+def spans(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """(the place of each sentence's text, its number, start, end, words, scorable); places are code points, end exclusive."""
+    held = texts.to_pylist()
+    begins = np.concatenate(([0], np.cumsum([len(x) for x in held]))).astype(np.int64)
+    edges, owner = [], []
+    for i, text in enumerate(held):
+        if text:
+            edges.append(np.array([0, *_cuts(text)], np.int64) + begins[i])
+            owner.append(np.full(len(edges[-1]), i, np.int64))
+    if not edges:
+        return np.zeros(0, np.int64), [pa.array([], t) for t in (*[pa.int64()] * 4, pa.bool_())]
+    low, owner = np.concatenate(edges), np.concatenate(owner)
+    high = np.append(low[1:], begins[-1])
+    points = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+    solid = np.append(~_BLANK[np.minimum(points, 0xFFFF)], False)
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    text_starts = begins[:-1][begins[:-1] < begins[1:]]
+    first[text_starts] = solid[text_starts]
+    stop = np.append(solid[:-1] & (~solid[1:] | first[1:]), False)
+    starts, ends = np.flatnonzero(first), np.flatnonzero(stop) + 1
+    a, b = np.searchsorted(starts, low), np.searchsorted(starts, high)
+    some = a < b
+    a, b, owner = a[some], b[some], owner[some]
+    n = b - a
+    number = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    base = begins[owner]
+    return owner, [pa.array(x) for x in (number, starts[a] - base, ends[b - 1] - base, n.astype(np.int64), n >= MIN_WORDS)]
 
 
 def sentence_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence, start, end, words, scorable): one row per sentence; text[start:end] is the sentence."""
-    rows = docs.select("doc_id", F.posexplode(spans(F.col("text"))).alias("sentence", "s"))
-    return rows.select("doc_id", F.col("sentence").cast("bigint").alias("sentence"), "s.*")
+    return scan.rows(docs, "sentence bigint, start bigint, end bigint, words bigint, scorable boolean", spans)
 
 
 def cadence_sentences(text: Column) -> Column:
