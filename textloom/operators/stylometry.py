@@ -6,9 +6,12 @@ repeat a doc_id stay apart; counts of words are run lengths of the sorted array.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textloom.functions.text import ngrams, rate, sentences, words
+from textloom.functions import scan
+from textloom.functions.text import rate, sentences, words
 
 # Fixed word lists.
 FIRST_SINGULAR = ("i", "me", "my", "mine", "myself")
@@ -91,12 +94,29 @@ FROM c GROUP BY doc_id
 """
 
 
+def _repeats(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """Per text of two words or more: its number of 2-grams, 3-grams, and different ones of each."""
+    codes, owner, vocabulary = scan.latin_words(texts)
+    kinds = max(len(vocabulary), 1)
+    size = np.bincount(owner, minlength=len(texts))
+
+    def different(ids: np.ndarray, mine: np.ndarray) -> np.ndarray:
+        many = int(ids.max(initial=0)) + 1
+        return np.bincount(np.unique(mine * many + ids) // many, minlength=len(texts))
+
+    # numbers that are equal exactly if the words are
+    two, three = owner[:-1] == owner[1:], owner[:-2] == owner[2:]
+    pair = np.unique(codes[:-1] * kinds + codes[1:], return_inverse=True)[1]
+    triple = np.unique(pair[:-1] * kinds + codes[2:], return_inverse=True)[1]
+    some = np.flatnonzero(size >= 2)
+    return some, [pa.array(x[some]) for x in (size - 1, np.maximum(size - 2, 0), different(pair[two], owner[:-1][two]), different(triple[three], owner[:-2][three]))]
+
+
 def repetition(docs: DataFrame) -> DataFrame:
     """Distinct 2- and 3-gram shares and repeated trigrams, of documents of two words or more."""
-    w = docs.select("doc_id", words(F.col("text")).alias("w")).where(F.size("w") >= 2)
-    f = w.select("doc_id", frequencies(ngrams(F.col("w"), 2)).alias("a"), frequencies(ngrams(F.col("w"), 3)).alias("b"))
-    share = lambda part: F.coalesce(F.try_divide(part, F.col("b.n")), F.lit(0.0))
-    return f.select("doc_id", (F.col("a.kinds") / F.col("a.n")).alias("distinct2"), share(F.col("b.kinds")).alias("distinct3"), share(F.col("b.n") - F.col("b.kinds")).alias("repeat_trigram_rate"))
+    f = scan.rows(docs, "n2 bigint, n3 bigint, kinds2 bigint, kinds3 bigint", _repeats)
+    share = lambda part: F.coalesce(F.try_divide(part, F.col("n3")), F.lit(0.0))
+    return f.select("doc_id", (F.col("kinds2") / F.col("n2")).alias("distinct2"), share(F.col("kinds3")).alias("distinct3"), share(F.col("n3") - F.col("kinds3")).alias("repeat_trigram_rate"))
 
 
 REPETITION_SQL = r"""
