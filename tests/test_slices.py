@@ -15,7 +15,7 @@ from textloom.plans.catalog import QUERIES
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["sentence_spans", "ngram_repetition", "safe_fixes", "lookalike_words", "integrity_status", "carrier_findings"])
+@pytest.mark.parametrize("name", ["sentence_spans", "ngram_repetition", "safe_fixes", "lookalike_words", "integrity_status", "carrier_findings", "frequent_grams"])
 def test_plan_has_no_function_per_element(spark, name):
     plan = io.StringIO()
     with contextlib.redirect_stdout(plan):
@@ -42,3 +42,10 @@ def test_words_of_slices_end_where_texts_do():
     codes, owner, kinds = scan.latin_words(texts)
     assert [(int(i), kinds[c]) for i, c in zip(owner, codes, strict=True)] == [(0, "ab'c"), (0, "ünï"), (0, "x"), (2, "x"), (3, "xx"), (3, "é"), (4, "ab")]
     assert np.array_equal(scan.latin_words(pa.array(["", "1"]))[0], []) and scan.latin_words(pa.array([], pa.string()))[2] == []
+
+
+def test_words_of_grams_begin_with_a_letter():
+    from textloom.operators import gram_counts
+
+    codes, owner, kinds = gram_counts._words(pa.array(["''It’s 'A", "'", "", "b'", "'c d1e"]))
+    assert [(int(i), kinds[c]) for i, c in zip(owner, codes, strict=True)] == [(0, "it's"), (0, "a"), (3, "b'"), (4, "c"), (4, "d"), (4, "e")]
