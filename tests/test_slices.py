@@ -49,3 +49,32 @@ def test_words_of_grams_begin_with_a_letter():
 
     codes, owner, kinds = gram_counts._words(pa.array(["''It’s 'A", "'", "", "b'", "'c d1e"]))
     assert [(int(i), kinds[c]) for i, c in zip(owner, codes, strict=True)] == [(0, "it's"), (0, "a"), (3, "b'"), (4, "c"), (4, "d"), (4, "e")]
+
+
+@pytest.mark.parametrize("name", ["document_measures"])
+def test_plan_goes_over_slices(spark, name):
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        QUERIES[name](spark, SF).explain("extended")
+    assert "lambda" not in plan.getvalue() and "MapInArrow" in plan.getvalue()
+
+
+def test_measures_of_odd_texts(spark):
+    from textloom.operators.document_measures import measures
+
+    texts = ["One two. Was given. \n \t\nThe it's.' Ünï ended!\r\nWhy?\u0085", "'.' 1", "?", "", None, "a\n\nb\n\nc\n\n" + "d " * 497, "x" + "\n\n" * 3 + "y"]
+    got = {r["doc_id"]: r for r in measures(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert sorted(got) == [0, 1, 5, 6]  # a text of words without a sentence, or the other way round, has no row
+    first = got[0].asDict()
+    # 10 words, the quote among them; sentences: One two / Was given / The it's ' Ünï ended / Why, whose last character is no space
+    assert [first[k] for k in ("question_rate", "exclaim_rate", "passive_rate", "range_sent_len", "n_paragraphs", "mean_para_words", "the_opener_rate", "distinct_opener_ratio", "max_opener_repeat")] == [0.0, 0.25, 0.25, 4.0, 2.0, 5.0, 0.25, 1.0, 0.25]
+    assert (got[5]["n_paragraphs"], got[5]["tail_paragraphs"], got[5]["even_paragraphs"], got[5]["ttr_400"]) == (4.0, 1.0, 0.0, 0.01)
+    assert (got[6]["n_paragraphs"], got[6]["word_entropy"], got[6]["cv_para_words"], got[6]["autocorr_1"]) == (2.0, 1.0, 0.0, 0.0)
+
+
+def test_tallies_are_the_same_by_sorting_and_by_counting():
+    owner, codes = np.array([2, 0, 2, 2, 5]), np.array([1, 0, 1, 0, 1])
+    want = [(0, 0, 1), (2, 0, 1), (2, 1, 2), (5, 1, 1)]
+    for n, kinds in ((6, 2), (600, 200)):
+        assert list(zip(*(x.tolist() for x in scan.tallies(owner, codes, n, kinds)), strict=True)) == want
+    assert [len(x) for x in scan.tallies(owner[:0], codes[:0], 0, 0)] == [0, 0, 0]

@@ -67,13 +67,11 @@ def _latin() -> np.ndarray:
 _LATIN = _latin()
 
 
-def latin_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """(code of each word, the place of its text, the different words) of ``[A-Za-zÀ-ɏ']+``, lower case."""
+def latin_spans(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(words as they stand, their first bytes, the places of their texts) of ``[A-Za-zÀ-ɏ']+``."""
     data, offsets = raw(texts)
-    if not len(data):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
     after = np.append(data[1:], np.uint8(0))
-    lead = ((data >= 0xC3) & (data <= 0xC8)) | ((data == 0xC9) & (after <= 0x8F))
+    lead = ((data >= 0xC3) & (data <= 0xC8)) | ((data == 0xC9) & (after[: len(data)] <= 0x8F))
     word = _LATIN[data] | lead
     word[1:] |= lead[:-1]
     first, last = word.copy(), word.copy()
@@ -84,13 +82,37 @@ def latin_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     last[:-1] &= ~(word[1:] & inner[1:])
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+        return pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64)
     bounds = np.concatenate(([0], np.cumsum(ends - starts))).astype(np.int32)
     packed = pa.StringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[word]))
-    met = packed.dictionary_encode()
+    return packed, starts, np.searchsorted(offsets, starts, "right") - 1
+
+
+def lower_codes(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(code of each word, the different words), lower case."""
+    met = words.dictionary_encode()
     low = pc.utf8_lower(met.dictionary).dictionary_encode()
     codes = low.indices.to_numpy(zero_copy_only=False).astype(np.int64)[met.indices.to_numpy(zero_copy_only=False)]
-    return codes, np.searchsorted(offsets, starts, "right") - 1, low.dictionary.to_pylist()
+    return codes, low.dictionary
+
+
+def latin_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(code of each word, the place of its text, the different words) of ``[A-Za-zÀ-ɏ']+``, lower case."""
+    packed, _, owner = latin_spans(texts)
+    codes, kinds = lower_codes(packed)
+    return codes, owner, kinds.to_pylist()
+
+
+def tallies(owner: np.ndarray, codes: np.ndarray, n: int, kinds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, code, how often) of each different pair, in order; owners are below n, codes below kinds."""
+    key = owner.astype(np.int64) * kinds + codes
+    if n * kinds <= 4 * len(key):
+        often = np.bincount(key, minlength=1)
+        pairs = np.flatnonzero(often)
+        often = often[pairs]
+    else:
+        pairs, often = np.unique(key, return_counts=True)
+    return pairs // max(kinds, 1), pairs % max(kinds, 1), often
 
 
 def marks(texts: pa.Array, n: int = 1) -> list[str]:

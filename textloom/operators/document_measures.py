@@ -1,15 +1,19 @@
 """Row-local measures of a document: syntax proxies, rhythm, information, openings, paragraphs; and views of its text.
 
-Everything comes from arrays of one row; no measure shuffles.  Frequencies of
-words or characters are run lengths of the sorted array.
+Everything comes from one row; no measure shuffles.  Measures number words, sentences
+and paragraphs of all texts of an Arrow slice at once; views are expressions.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F
 
-from textloom.functions.text import WORD, sentences, words
-from textloom.operators.measured_rules import FUNCTION_WORDS, _pairs, _stat
+from textloom.functions import scan
+from textloom.functions.text import SENTENCE_END, WORD
+from textloom.operators.measured_rules import FUNCTION_WORDS
 from textloom.operators.stylometry import documents
 
 # Word lists.
@@ -24,70 +28,159 @@ COORDINATORS = ("and", "but", "so", "yet", "or", "nor", "for")
 CONTRACTION = r"(?i)\b\w+['’](?:t|s|re|ve|ll|d|m)\b"
 
 
-def runs(a: Column) -> Column:
-    """struct<n, kinds, top, entropy> of the values of an array of strings: different ones, most frequent one's number, bits."""
-    part = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
-    zero = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("sum"), F.lit(0).alias("kinds"), F.lit(0.0).alias("n"), F.lit(0.0).alias("top"))
-    again = lambda z, x: F.struct(x.alias("last"), (z["run"] + 1).alias("run"), z["sum"].alias("sum"), z["kinds"].alias("kinds"), (z["n"] + 1).alias("n"), F.greatest(z["top"], z["run"] + 1).alias("top"))
-    fresh = lambda z, x: F.struct(x.alias("last"), F.lit(1.0).alias("run"), (z["sum"] + part(z["run"])).alias("sum"), (z["kinds"] + 1).alias("kinds"), (z["n"] + 1).alias("n"), F.greatest(z["top"], F.lit(1.0)).alias("top"))
-    finish = lambda z: F.struct(z["n"].alias("n"), z["kinds"].alias("kinds"), z["top"].alias("top"), F.when(z["n"] > 0, F.log2(z["n"]) - F.try_divide(z["sum"] + part(z["run"]), z["n"])).otherwise(0.0).alias("entropy"))
-    return F.aggregate(F.array_sort(a), zero, lambda z, x: F.when(z["last"].eqNullSafe(x), again(z, x)).otherwise(fresh(z, x)), finish)
+MEASURES = (
+    "ttr_400", "function_word_rate", "contraction_rate", "cv_sent_len", "range_sent_len", "comma_per_sent", "subordinator_rate", "coord_opener_rate", "the_opener_rate",
+    "distinct_opener_ratio", "max_opener_repeat", "question_rate", "exclaim_rate", "passive_rate", "burstiness", "autocorr_1", "autocorr_2", "masd_norm", "sent_len_entropy",
+    "short_windows_rate", "n_paragraphs", "mean_para_words", "cv_para_words", "tail_paragraphs", "even_paragraphs", "word_entropy", "word_entropy_norm", "char_entropy",
+)
 
 
-def _sum(a: Column) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda n, x: n + x)
+def _characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """(the place of each character's text, its code, how many codes there are)."""
+    points = np.frombuffer(scan.raw(texts)[0].tobytes().decode().encode("utf-32-le"), np.uint32)
+    met = np.zeros(0x110000, bool)
+    met[points] = True
+    codes = np.cumsum(met, dtype=np.int32) - 1
+    return np.repeat(np.arange(len(texts)), np.asarray(pc.utf8_length(texts))), codes[points], int(codes[-1]) + 1
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """One row per document that has a word and a sentence."""
-    count = lambda s: F.regexp_count(s, F.lit(WORD)).cast("double")
-    cut = docs.select(
-        "doc_id", "text", words(F.col("text")).alias("w"), F.filter(sentences(F.col("text")), lambda s: s.rlike(WORD)).alias("s"), F.filter(F.split("text", r"\n[ \t\r\n]*\n"), lambda p: p.rlike(WORD)).alias("p"),
-    ).where((F.size("w") > 0) & (F.size("s") > 0))
-    sized = cut.select("*", F.transform("s", count).alias("l"), F.transform("p", count).alias("pw"), F.transform("s", lambda x: F.lower(F.regexp_extract(x, WORD, 0))).alias("o"))
-    known = sized.select("*", _stat(F.col("l")).alias("st"), _stat(F.col("pw")).alias("sp"), runs(F.col("w")).alias("rw"), runs(F.split("text", "")).alias("rc"), runs(F.col("o")).alias("ro"), runs(F.transform("l", lambda x: F.least(F.floor(x / 5), F.lit(12)).cast("string"))).alias("rl"), F.size("w").alias("n"), F.size("l").alias("ns"))
-    n, ns, mean, w = F.col("n"), F.col("ns"), F.col("st.mean"), F.col("w")
-    share = lambda a, test: F.size(F.filter(a, test)) / F.size(a)
-    lag = lambda k: _sum(F.transform(F.sequence(F.lit(0), F.size("l") - 1 - k), lambda i: (F.get("l", i) - mean) * (F.get("l", i + k) - mean)))
-    power = F.col("st.sd") * F.col("st.sd") * F.col("st.n")
-    autocorr = lambda k: F.when((ns > k + 2) & (power > 1e-9), F.try_divide(lag(k), power)).otherwise(0.0)
-    steps = F.when(ns >= 2, _sum(F.transform(F.sequence(F.lit(0), ns - 2), lambda i: F.abs(F.get("l", i + 1) - F.get("l", i))))).otherwise(0.0)
-    windows = F.when(ns >= 3, F.size(F.filter(F.sequence(F.lit(0), ns - 3), lambda i: F.get("l", i) + F.get("l", i + 1) + F.get("l", i + 2) <= 45))).otherwise(0)
-    ends = lambda x: x.endswith("ed") | x.isin(*IRREGULAR)
-    passive = F.size(F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.get(w, i).isin(*BE_FORMS) & (F.coalesce(ends(F.get(w, i + 1)), F.lit(False)) | F.coalesce(ends(F.get(w, i + 2)), F.lit(False)))))
-    upto = lambda i: _sum(F.slice("pw", 1, i))
-    tail = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.size("pw"), F.lit(1))), lambda i: upto(i) * 10 > _sum(F.col("pw")) * 8))
+def _entropy(owner: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
+    """Bits of each owner's frequencies."""
+    whole = np.bincount(owner, often, n)
+    return np.log2(whole) - np.bincount(owner, often * np.log2(often), n) / whole
+
+
+def _spread(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, deviation of the population) of each owner's values."""
+    size = np.bincount(owner, minlength=n)
+    mean = np.bincount(owner, values, n) / size
+    return mean, np.sqrt(np.bincount(owner, (values - mean[owner]) ** 2, n) / size)
+
+
+def _followed(owner: np.ndarray, k: int) -> np.ndarray:
+    """Places whose k-th next place has the same owner."""
+    return np.flatnonzero(owner[: max(len(owner) - k, 0)] == owner[k:])
+
+
+def _measured(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """(the place of each text that has a word and a sentence, its MEASURES)."""
+    n_texts = len(texts)
+    count = lambda owner: np.bincount(owner, minlength=n_texts)
+    fresh = lambda *keys: np.concatenate(([True], np.any([k[1:] != k[:-1] for k in keys], axis=0))) if len(keys[0]) else np.zeros(0, bool)
+    data, offsets = scan.raw(texts)
+
+    packed, starts, owner = scan.latin_spans(texts)
+    codes, kinds = scan.lower_codes(packed)
+    listed = lambda group: np.asarray(pc.is_in(kinds, pa.array(group)), bool)[codes]
+    n = count(owner)
+    opening = np.arange(len(owner)) - np.searchsorted(owner, owner) < 400
+    early = scan.tallies(owner[opening], codes[opening], n_texts, len(kinds))[0]
+    word_owner, _, word_often = scan.tallies(owner, codes, n_texts, len(kinds))
+    word_kinds = count(word_owner)
+    ends = np.asarray(pc.ends_with(kinds, "ed"), bool)[codes] | listed(IRREGULAR)
+    behind = np.zeros(len(owner), bool)
+    for k in (1, 2):
+        at = _followed(owner, k)
+        behind[at] |= ends[at + k]
+    passive = count(owner[listed(BE_FORMS) & behind])
+
+    # paragraphs end where nothing but white space stands between two line breaks
+    breaks = np.flatnonzero(data == 0x0A)
+    solid = np.cumsum(~np.isin(data, np.frombuffer(b" \t\r\n", np.uint8)))
+    text_of = np.searchsorted(offsets, breaks, "right")
+    bare = np.flatnonzero((solid[breaks[1:]] == solid[breaks[:-1]]) & (text_of[1:] == text_of[:-1])) + 1
+    part = np.searchsorted(breaks[bare], starts)
+    new = fresh(owner, part)
+    p_owner = owner[new]
+    p_words = np.bincount(np.cumsum(new) - 1, minlength=len(p_owner)).astype(np.float64)
+    n_paras = count(p_owner)
+    p_mean, p_sd = _spread(p_words, p_owner, n_texts)
+    upto = np.cumsum(p_words)
+    before = np.concatenate(([0.0], upto))[np.searchsorted(p_owner, np.arange(n_texts))]
+    tail = count(p_owner[(upto - before[p_owner]) * 10 > n[p_owner] * 8])
+
+    # sentences, whose marks take the place of closers and blanks, so that words are told anew
+    marked = pc.replace_substring_regex(texts, SENTENCE_END, "\\1\x01\\2")
+    m_data, m_offsets = scan.raw(marked)
+    m_packed, m_starts, m_owner = scan.latin_spans(marked)
+    cut = (m_data == 0x01) | (m_data == 0x0A)
+    new = fresh(m_owner, np.cumsum(cut)[m_starts])
+    first = np.flatnonzero(new)
+    s_owner = m_owner[first]
+    length = np.bincount(np.cumsum(new) - 1, minlength=len(first)).astype(np.float64)
+    ns = count(s_owner)
+    cuts = np.append(np.flatnonzero(cut), len(m_data))
+    stop = np.minimum(cuts[np.searchsorted(cuts, m_starts[first])], m_offsets[s_owner + 1])
+    inked = np.flatnonzero(~np.isin(m_data, np.frombuffer(b" \t\r\n", np.uint8)))
+    final = m_data[inked[np.searchsorted(inked, stop) - 1]] if len(first) else np.zeros(0, np.uint8)
+    o_codes, openers = scan.lower_codes(m_packed.take(pa.array(first)))
+    opens = lambda group: count(s_owner[np.asarray(pc.is_in(openers, pa.array(group)), bool)[o_codes]])
+    o_owner, _, o_often = scan.tallies(s_owner, o_codes, n_texts, len(openers))
+    top = np.zeros(n_texts)
+    np.maximum.at(top, o_owner, o_often)
+    low, high = np.full(n_texts, np.inf), np.full(n_texts, -np.inf)
+    np.minimum.at(low, s_owner, length)
+    np.maximum.at(high, s_owner, length)
+    l_owner, _, l_often = scan.tallies(s_owner, np.minimum(length // 5, 12).astype(np.int64), n_texts, 13)
+    mean, sd = _spread(length, s_owner, n_texts)
+    power = sd * sd * ns
+    off = length - mean[s_owner]
+
+    def autocorr(k: int) -> np.ndarray:
+        at = _followed(s_owner, k)
+        return np.where((ns > k + 2) & (power > 1e-9), np.bincount(s_owner[at], off[at] * off[at + k], n_texts) / power, 0.0)
+
+    at = _followed(s_owner, 1)
+    steps = np.bincount(s_owner[at], np.abs(length[at + 1] - length[at]), n_texts)
+    at = _followed(s_owner, 2)
+    windows = count(s_owner[at[length[at] + length[at + 1] + length[at + 2] <= 45]])
+
+    c_owner, c_codes, n_codes = _characters(texts)
+    char_owner, _, char_often = scan.tallies(c_owner, c_codes, n_texts, n_codes)
+    word_entropy = _entropy(word_owner, word_often, n_texts)
     out = {
-        "ttr_400": F.size(F.array_distinct(F.slice("w", 1, 400))) / F.least(n, F.lit(400)),
-        "function_word_rate": share(w, lambda x: x.isin(*FUNCTION_WORDS)),
-        "contraction_rate": F.regexp_count("text", F.lit(CONTRACTION)) * 1000.0 / n,
-        "cv_sent_len": F.col("st.cv"),
-        "range_sent_len": F.col("st.high") - F.col("st.low"),
-        "comma_per_sent": F.regexp_count("text", F.lit(",")) / ns,
-        "subordinator_rate": F.size(F.filter(w, lambda x: x.isin(*SUBORDINATORS))) * 1000.0 / n,
-        "coord_opener_rate": share(F.col("o"), lambda x: x.isin(*COORDINATORS)),
-        "the_opener_rate": share(F.col("o"), lambda x: x == "the"),
-        "distinct_opener_ratio": F.col("ro.kinds") / F.size("o"),
-        "max_opener_repeat": F.col("ro.top") / F.size("o"),
-        "question_rate": share(F.col("s"), lambda x: x.rlike(r"\?[ \t\r\n]*$")),
-        "exclaim_rate": share(F.col("s"), lambda x: x.rlike(r"![ \t\r\n]*$")),
+        "ttr_400": count(early) / np.minimum(n, 400),
+        "function_word_rate": count(owner[listed(FUNCTION_WORDS)]) / n,
+        "contraction_rate": scan.count(texts, CONTRACTION) * 1000.0 / n,
+        "cv_sent_len": sd / mean,
+        "range_sent_len": high - low,
+        "comma_per_sent": np.asarray(pc.count_substring(texts, ",")) / ns,
+        "subordinator_rate": count(owner[listed(SUBORDINATORS)]) * 1000.0 / n,
+        "coord_opener_rate": opens(COORDINATORS) / ns,
+        "the_opener_rate": opens(("the",)) / ns,
+        "distinct_opener_ratio": count(o_owner) / ns,
+        "max_opener_repeat": top / ns,
+        "question_rate": count(s_owner[final == 0x3F]) / ns,
+        "exclaim_rate": count(s_owner[final == 0x21]) / ns,
         "passive_rate": passive / ns,
-        "burstiness": F.coalesce(F.try_divide(F.col("st.sd") - mean, F.col("st.sd") + mean), F.lit(0.0)),
+        "burstiness": (sd - mean) / (sd + mean),
         "autocorr_1": autocorr(1),
         "autocorr_2": autocorr(2),
-        "masd_norm": steps / F.greatest(ns - 1, F.lit(1)) / mean,
-        "sent_len_entropy": F.col("rl.entropy") / F.log2(F.lit(13.0)),
+        "masd_norm": steps / np.maximum(ns - 1, 1) / mean,
+        "sent_len_entropy": _entropy(l_owner, l_often, n_texts) / np.log2(13.0),
         "short_windows_rate": windows * 1000.0 / n,
-        "n_paragraphs": F.size("p").cast("double"),
-        "mean_para_words": F.coalesce("sp.mean", F.lit(0.0)),
-        "cv_para_words": F.coalesce("sp.cv", F.lit(0.0)),
-        "tail_paragraphs": tail.cast("double"),
-        "even_paragraphs": ((F.size("p") >= 4) & (F.col("sp.cv") <= 0.2) & (n >= 500)).cast("double"),
-        "word_entropy": F.col("rw.entropy"),
-        "word_entropy_norm": F.when(F.col("rw.kinds") > 1, F.try_divide(F.col("rw.entropy"), F.log2("rw.kinds"))).otherwise(F.col("rw.entropy")),
-        "char_entropy": F.col("rc.entropy"),
+        "n_paragraphs": n_paras,
+        "mean_para_words": p_mean,
+        "cv_para_words": p_sd / p_mean,
+        "tail_paragraphs": tail,
+        "even_paragraphs": (n_paras >= 4) & (p_sd / p_mean <= 0.2) & (n >= 500),
+        "word_entropy": word_entropy,
+        "word_entropy_norm": np.where(word_kinds > 1, word_entropy / np.log2(np.maximum(word_kinds, 2)), word_entropy),
+        "char_entropy": _entropy(char_owner, char_often, n_texts),
     }
-    return known.select("doc_id", *[F.round(c.cast("double") + 1e-9, 5).alias(k) for k, c in out.items()])
+    kept = np.flatnonzero((n > 0) & (ns > 0))
+    return kept, [pa.array(out[k][kept].astype(np.float64)) for k in MEASURES]
+
+
+def _quiet(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    with np.errstate(divide="ignore", invalid="ignore"):  # of texts that have no row
+        return _measured(texts)
+
+
+def measures(docs: DataFrame) -> DataFrame:
+    """One row per document that has a word and a sentence."""
+    known = scan.rows(docs, ", ".join(f"{k} double" for k in MEASURES), _quiet)
+    return known.select("doc_id", *[F.round(F.col(k) + 1e-9, 5).alias(k) for k in MEASURES])
 
 
 def _in(listed: tuple[str, ...]) -> str:
