@@ -2,39 +2,88 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.functions.text import words
+from textloom.functions import scan
 from textloom.operators.stylometry import documents
 
-#: Words that go to every task, the most frequent ones; the rows of all other words meet theirs in a shuffle.
-FREQUENT = 4_096
+#: Words that go to every task, the most frequent ones; the rows of all other words meet in a shuffle.
+FREQUENT = 65_536
+#: Ranks that shares are told of; words of them go to every task whatever their length, others up to LONGEST bytes.
+RANKS, LONGEST = (10, 100, 1000), 100
+RARE_BITS = 14.0
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """(tok, n) of every word of the corpus; a task sends a word once for a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in scan.slices(batch.column(0)):
+                codes, kinds = scan.lower_codes(scan.latin_spans(texts)[0])
+                yield pa.RecordBatch.from_arrays([kinds, pa.array(np.bincount(codes, minlength=len(kinds)))], ["tok", "n"])
 
+    return docs.select("text").where("text is not null").mapInArrow(run, "tok string, n bigint").groupBy("tok").agg(F.sum("n").alias("n"))
 
-def model(docs: DataFrame) -> DataFrame:
-    """(tok, n, bits, rank): add-one smoothed surprisal of every word of the corpus, and its rank, ties by word."""
-    counts = docs.select(F.explode(words(F.col("text"))).alias("tok")).groupBy("tok").agg(F.count("*").alias("n"))
-    whole = counts.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-    return counts.crossJoin(F.broadcast(whole)).select("tok", "n", F.log2((F.col("total") + F.col("kinds") + 1) / (F.col("n") + 1)).alias("bits"))  # one row of totals
+
+def model(docs: DataFrame) -> tuple[list, float]:
+    """(tok, n, rank) of the FREQUENT most frequent words, ties by word; and the number of words, of different ones and one, together.
+
+    A word that stands n times has log2 of that number by n + 1 bits (add-one smoothing).
+    """
+    known = counts(docs)
+    whole = known.agg((F.sum("n") + F.count("*") + 1).alias("smoothed"))
+    top = known.orderBy(F.desc("n"), "tok").limit(FREQUENT)
+    ranked = top.select("tok", "n", F.row_number().over(Window.orderBy(F.desc("n"), "tok")).alias("rank")).where((F.col("rank") <= max(RANKS)) | (F.octet_length("tok") <= LONGEST))
+    rows = ranked.unionByName(whole.select(F.lit(None).cast("string").alias("tok"), F.col("smoothed").alias("n"), F.lit(0).alias("rank"))).collect()  # FREQUENT rows and one of totals
+    smoothed = float(next(r["n"] for r in rows if r["rank"] == 0) or 1)
+    return [(r["tok"], r["n"], r["rank"]) for r in rows if r["rank"] > 0], smoothed
 
 
 def surprisal(docs: DataFrame) -> DataFrame:
     """Per document: mean, deviation and share of rare words (over 14 bits), and shares of words by rank.
 
     Words are counted within the document first.  Frequent words, whose rows would
-    all meet in one task, join by broadcast; the threshold of a rank is the count at that rank.
+    all meet in one task, are summed up where the document is; of the others, a row
+    for each document meets those of the same word, whose sum is the word's count.
     """
-    background = model(docs)
-    top = background.orderBy(F.desc("n"), "tok").limit(FREQUENT).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "tok")))
-    per = docs.select("doc_id", F.explode(words(F.col("text"))).alias("tok")).groupBy("doc_id", "tok").agg(F.count("*").alias("k"))
-    often = per.join(F.broadcast(top.select("tok", "bits", "rank")), "tok")  # FREQUENT rows
-    rest = per.join(F.broadcast(top.select("tok")), "tok", "left_anti").join(background.select("tok", "bits"), "tok").withColumn("rank", F.lit(None).cast("int"))
-    both = often.select("doc_id", "k", "bits", "rank").unionByName(rest.select("doc_id", "k", "bits", "rank"))
-    n = F.sum("k")
-    below = lambda r: F.round(F.sum(F.when(F.col("rank") <= r, F.col("k")).otherwise(0)) / n, 6)
-    mean = F.sum(F.col("k") * F.col("bits")) / n
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.sum(F.col("k") * F.col("bits") * F.col("bits")) / n - mean * mean))
-    return both.groupBy("doc_id").agg(n.alias("n_words"), F.round(mean, 5).alias("mean_bits"), F.round(spread, 4).alias("sd_bits"), F.round(F.sum(F.when(F.col("bits") > 14.0, F.col("k")).otherwise(0)) / n, 6).alias("rare_rate"), below(10).alias("share_top_10"), below(100).alias("share_top_100"), below(1000).alias("share_top_1000"))
+    top, smoothed = model(docs)
+    words, often, ranks = zip(*top) if top else ((), (), ())
+    sent = docs.sparkSession.sparkContext.broadcast((pa.array(words, pa.string()), np.log2(smoothed / (np.array(often, np.float64) + 1)), np.array(ranks, np.int64)))
+    sums = ["n", "sum", "squares", "rare", *[f"top_{r}" for r in RANKS]]
+
+    def told(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        """(place of the text, word, sums): a row without a word holds the sums of a text's frequent words, the others are its other words."""
+        packed, _, owner = scan.latin_spans(texts)
+        codes, kinds = scan.lower_codes(packed)
+        words, bits, rank = sent.value
+        at = np.asarray(pc.fill_null(pc.index_in(kinds, value_set=words), -1))[codes]
+        mine, place = owner[at >= 0], at[at >= 0]
+        bits, rank = bits[place], rank[place]
+        total = [np.bincount(mine, x, len(texts)) for x in (np.ones(len(place)), bits, bits * bits, bits > RARE_BITS, *[rank <= r for r in RANKS])]
+        kept = np.flatnonzero(total[0])
+        owner, codes, k = scan.tallies(owner[at < 0], codes[at < 0], len(texts), len(kinds))
+        tok = pa.concat_arrays([pa.nulls(len(kept), pa.string()), kinds.take(pa.array(codes))])
+        rest = [k.astype(np.float64), *[np.zeros(len(k))] * (len(total) - 1)]
+        return np.concatenate((kept, owner)), [tok, *[pa.array(np.concatenate((x[kept], y))) for x, y in zip(total, rest, strict=True)]]
+
+    seldom, n = F.col("tok").isNotNull(), F.col("n")
+    # rows without a word stay apart, each document's with itself
+    alone = F.when(~seldom, F.col("doc_id"))
+    rows = scan.rows(docs, "tok string, " + ", ".join(f"{x} double" for x in sums), told)
+    rows = rows.withColumn("bits", F.when(seldom, F.log2(F.lit(smoothed) / (F.sum("n").over(Window.partitionBy("tok", alone)) + 1))))
+    b = F.col("bits")
+    both = rows.select("doc_id", "n", F.when(seldom, n * b).otherwise(F.col("sum")).alias("sum"), F.when(seldom, n * b * b).otherwise(F.col("squares")).alias("squares"), F.when(seldom & (b > RARE_BITS), n).otherwise(F.col("rare")).alias("rare"), *sums[4:])
+    whole = both.groupBy("doc_id").agg(*[F.sum(x).alias(x) for x in sums])
+    mean = F.col("sum") / n
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("squares") / n - mean * mean))
+    share = lambda x: F.round(F.col(x) / n, 6)
+    return whole.select("doc_id", n.cast("bigint").alias("n_words"), F.round(mean, 5).alias("mean_bits"), F.round(spread, 4).alias("sd_bits"), share("rare").alias("rare_rate"), *[share(f"top_{r}").alias(f"share_top_{r}") for r in RANKS])
 
 
 SURPRISAL_SQL = r"""
