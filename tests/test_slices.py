@@ -78,3 +78,37 @@ def test_tallies_are_the_same_by_sorting_and_by_counting():
     for n, kinds in ((6, 2), (600, 200)):
         assert list(zip(*(x.tolist() for x in scan.tallies(owner, codes, n, kinds)), strict=True)) == want
     assert [len(x) for x in scan.tallies(owner[:0], codes[:0], 0, 0)] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("name", ["document_outline", "text_blocks"])
+def test_plan_of_blocks_goes_over_slices(spark, name):
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        QUERIES[name](spark, SF).explain("extended")
+    assert "lambda" not in plan.getvalue() and "MapInArrow" in plan.getvalue()
+
+
+def test_blocks_of_odd_texts():
+    from textloom.operators import markdown
+
+    texts = ["", " \n\n", "# A\rb\n**B:**\n**c.**\n\n \f\n  - x\ny\n2) z\n \x0b\n", "####### no\n\n- one\n\n**`D` [e](f)** \n**G**:", "\nlast"]
+    owner, kinds, content = markdown.blocks(pa.array(["skip", *texts]).slice(1))
+    got = [(i, markdown.NAMES[k].as_py(), c) for i, k, c in zip(owner.tolist(), kinds.tolist(), content.to_pylist(), strict=True)]
+    # a vertical tab is no white space, a carriage return ends no line
+    assert got == [
+        (2, "heading", "A\rb"), (2, "heading", "B:"), (2, "para", "c."), (2, "bullets", "  - x\ny\n2) z\n \x0b"),
+        (3, "heading", "####### no"), (3, "para", "- one"), (3, "heading", "D e"), (3, "heading", "G"), (4, "heading", "last"),
+    ]
+    empty = markdown.blocks(pa.array([], pa.string()))
+    assert [len(x) for x in empty] == [0, 0, 0] and [len(x) for x in markdown._outlined(pa.array([], pa.string()))[1]] == [0] * 7
+
+
+def test_outline_of_odd_texts(spark):
+    from textloom.operators.markdown import outline
+
+    texts = ["# The cats of Rome\n\nHere are cats of Rome.", "# The of cats\n\nthe of cats", "In summary: x, y.\n\nFinal words", "Two cats sit.\n\n- a\n- b", None, "x\n\nConclusion\n\ny. \n\nz."]
+    got = {r["doc_id"]: tuple(r)[1:] for r in outline(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert got == {
+        0: ("The cats of Rome", 1, 1, 1, 0, False, True), 1: ("The of cats", 2, 0, 0, 0, False, False), 2: ("In summary: x, y.", 1, 0, 1, 0, True, True),
+        3: ("Two cats sit.", 0, 0, 1, 1, False, True), 5: ("x", 2, 1, 2, 0, True, False),
+    }

@@ -1,19 +1,21 @@
 """Marked-up texts: fenced code, code masks, text without mark-up, blocks and outline.
 
-Fences are found by a fold over lines, masks keep every place, and blocks are
-arrays of one row; only stripping to a fixed point runs as an Arrow function.
+Fences are found by a fold over lines, masks keep every place; stripping to a fixed
+point, blocks and outline go over texts in Arrow slices.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from itertools import islice
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import scan
-from textloom.functions.text import ngrams
 from textloom.operators.stylometry import documents
 from textloom.operators.writing_rules import _bound
 
@@ -185,68 +187,136 @@ STOPWORDS = (
 ).split()
 _STRIP = r"^\s+|\s+$"
 _MARKS = ((r"\*\*(.+?)\*\*", 1), (r"\*(.+?)\*", 1), (r"`(.+?)`", 1), (r"\[(.+?)\]\([^)]*\)", 1))
-BLOCK = "array<struct<kind:string,content:string>>"
+HEADING, BULLETS, PARA = range(3)
+NAMES = pa.array(["heading", "bullets", "para"])
+_STEM, _STOP = re.compile("[a-z][a-z'-]*"), frozenset(STOPWORDS)
 
 
-def _trim(x: Column) -> Column:
-    return F.regexp_replace(x, _STRIP, "")
+def _trim(x: pa.Array) -> pa.Array:
+    return pc.utf8_trim(x, characters=scan.SPACES)
 
 
-def _plain(x: Column) -> Column:
+def _plain(x: pa.Array) -> pa.Array:
     for pattern, _ in _MARKS:
-        x = F.regexp_replace(x, pattern, "$1")
+        x = pc.replace_substring_regex(x, pattern, r"\1")
     return _trim(x)
 
 
-def _heading_like(x: Column) -> Column:
+def _heading_like(x: pa.Array) -> np.ndarray:
     """Short, no list item, no end mark, with a letter."""
     s = _trim(x)
-    return (F.length(s) <= 90) & ~s.rlike(ITEM) & ~s.rlike(r"[.!?,;]$") & F.regexp_count(s, F.lit(r"\S+")).between(1, 12) & s.rlike("[A-Za-z]")
+    n = scan.words(s)
+    return np.asarray(pc.less_equal(pc.utf8_length(s), 90), bool) & ~scan.matches(s, ITEM) & ~scan.matches(s, r"[.!?,;]$") & (n >= 1) & (n <= 12) & scan.matches(s, "[A-Za-z]")
 
 
-def _heading(line: Column) -> Column:
-    """The text of a line marked as heading; null for others."""
-    s = _trim(line)
-    bold = _plain(F.regexp_extract(s, BOLD, 1))
-    return F.when(s.rlike(HASHED), _plain(F.regexp_extract(s, HASHED, 2))).when(s.rlike(BOLD) & _heading_like(bold), bold)
+def _headings(lines: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(places of the lines marked as heading, their texts)."""
+    s = _trim(lines)
+    hashed = np.flatnonzero(scan.matches(s, HASHED))
+    bold = np.flatnonzero(scan.matches(s, BOLD))
+    inner = _plain(pc.replace_substring_regex(s.take(pa.array(bold)), BOLD, r"\1"))
+    like = _heading_like(inner)
+    places = np.concatenate((hashed, bold[like]))
+    held = pa.concat_arrays([_plain(pc.replace_substring_regex(s.take(pa.array(hashed)), HASHED, r"\2")), inner.filter(pa.array(like))])
+    order = np.argsort(places)
+    return places[order], held.take(pa.array(order))
 
 
-def blocks(text: Column) -> Column:
-    """array<struct<kind, content>>: heading, bullets or para, in order.
+def blocks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(the place of each block's text, its kind, its content), in order.
 
     Blocks stand between blank lines; heading lines at a block's head are blocks of
     their own; two list items that are half of the lines make a list; a line alone
     that looks like one is a heading.
     """
-    one = lambda kind, content: F.array(F.struct(kind.alias("kind"), content.alias("content"))).cast(BLOCK)
-
-    def of(lines: Column) -> Column:
-        heads = F.transform(lines, lambda x: F.struct(_heading(x).alias("h")))
-        return _bound(F.struct(lines.alias("l"), heads.alias("h"), F.coalesce(F.get(F.filter(F.transform(heads, lambda h, i: F.when(h["h"].isNull(), i)), lambda i: i.isNotNull()), F.lit(0)), F.size(lines)).alias("k")), parts)
-
-    def parts(z: Column) -> Column:
-        peeled = F.transform(F.slice(z["h"], 1, z["k"]), lambda h: F.struct(F.lit("heading").alias("kind"), h["h"].alias("content"))).cast(BLOCK)
-        rest = F.slice(z["l"], z["k"] + 1, F.size(z["l"]))
-        return F.concat(peeled, _bound(rest, body))
-
-    def body(rest: Column) -> Column:
-        items, first = F.size(F.filter(rest, lambda x: x.rlike(ITEM))), F.get(rest, F.lit(0))
-        alone = F.size(rest) == 1
-        kind = F.when((items >= 2) & (items * 2 >= F.size(rest)), "bullets").when(alone & _heading_like(_plain(first)) & ~first.rlike(ITEM), "heading").otherwise("para")
-        content = F.when(alone & (kind != "bullets"), _plain(first)).otherwise(F.array_join(rest, "\n"))
-        return F.when(F.size(rest) > 0, one(kind, content)).otherwise(F.array().cast(BLOCK))
-
-    raw = F.transform(F.split(text, r"\n\s*\n", -1), lambda b: F.filter(F.split(b, "\n", -1), lambda x: x.rlike(r"\S")))
-    return F.flatten(F.transform(F.filter(raw, lambda ls: F.size(ls) > 0), of))
+    cut = pc.split_pattern(texts, "\n")
+    lines, owner = cut.flatten(), np.asarray(pc.list_parent_indices(cut), np.int64)
+    inked = np.flatnonzero(scan.matches(lines, r"\S"))
+    lines, owner = lines.take(pa.array(inked)), owner[inked]
+    new = np.ones(len(inked), bool)
+    new[1:] = (inked[1:] != inked[:-1] + 1) | (owner[1:] != owner[:-1])
+    block = np.cumsum(new) - 1
+
+    marked, held = _headings(lines)
+    other = np.ones(len(inked), bool)
+    other[marked] = False
+    seen = np.cumsum(other)
+    start = np.flatnonzero(new)
+    rest = seen > (seen - other)[start][block]  # behind the headings at a block's head
+    peeled = ~rest[marked]
+    at = np.flatnonzero(rest)
+    first = np.flatnonzero(np.concatenate(([True], block[at][1:] != block[at][:-1]))) if len(at) else at
+    group = np.searchsorted(first, np.arange(len(at)), "right") - 1
+    size = np.bincount(group, minlength=len(first))
+    item = scan.matches(lines, ITEM)
+    items = np.bincount(group, item[at], len(first))
+    alone, several = np.flatnonzero(size == 1), np.flatnonzero(size > 1)
+    single = at[first[alone]]
+    bare = _plain(lines.take(pa.array(single)))
+    many = size[group] > 1
+    joined = pc.binary_join(scan.lists(lines.take(pa.array(at[many])), np.searchsorted(several, group[many]), len(several)), "\n")
+
+    places = np.concatenate((marked[peeled], single, at[first[several]]))
+    kinds = np.concatenate((np.full(int(peeled.sum()), HEADING), np.where(_heading_like(bare) & ~item[single], HEADING, PARA), np.where((items >= 2) & (items * 2 >= size), BULLETS, PARA)[several]))
+    order = np.argsort(places)
+    return owner[places[order]], kinds[order], pa.concat_arrays([held.filter(pa.array(peeled)), bare, joined]).take(pa.array(order))
+
+
+def _numbers(owner: np.ndarray) -> np.ndarray:
+    """Each place's number within its owner."""
+    return np.arange(len(owner)) - np.searchsorted(owner, owner)
 
 
 def block_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, block, kind, content)."""
-    return docs.select("doc_id", F.posexplode(blocks(F.col("text"))).alias("block", "b")).select("doc_id", F.col("block").cast("bigint").alias("block"), "b.*")
-
 
-def _stems(x: Column) -> Column:
-    return F.transform(F.regexp_extract_all(F.lower(x), F.lit("[a-z][a-z'-]*"), F.lit(0)), lambda t: F.when((F.length(t) > 4) & t.endswith("s") & ~t.endswith("ss"), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    def work(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+        owner, kinds, content = blocks(texts)
+        return owner, [pa.array(_numbers(owner)), NAMES.take(pa.array(kinds)), content]
+
+    return scan.rows(docs, "block bigint, kind string, content string", work)
+
+
+def _stems(lowered: str, most: int | None = None) -> list[str]:
+    found = (m[0] for m in islice(_STEM.finditer(lowered), most))
+    return [t[:-1] if len(t) > 4 and t[-1] == "s" and t[-2] != "s" else t for t in found]
+
+
+def _repeated(title: str, last: str) -> bool:
+    """Do two to four words of the title, two of them with a topic, stand in the last paragraph?"""
+    stems = _stems(title, 25)
+    topics = [t not in _STOP for t in stems]
+    if sum(topics) < 2:
+        return False
+    behind = f" {' '.join(_stems(last))} "
+    return any(sum(topics[i : i + n]) >= 2 and f" {' '.join(stems[i : i + n])} " in behind for n in (2, 3, 4) for i in range(len(stems) - n + 1))
+
+
+def _outlined(texts: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    """(the place of every text, the columns of ``outline``)."""
+    n = len(texts)
+    owner, kinds, content = blocks(texts)
+    count = lambda some: np.bincount(owner[some], minlength=n)
+    heads, paras = kinds == HEADING, kinds == PARA
+    size, n_paras = np.bincount(owner, minlength=n), count(paras)
+    section = np.flatnonzero(heads[:-1] & ~heads[1:] & (owner[1:] == owner[:-1]))
+    ending = np.flatnonzero(heads | (_numbers(owner) >= size[owner] - 2))
+    closing = ending[scan.matches(_trim(content.take(pa.array(ending))), CLOSER)]
+    at = np.flatnonzero(paras)
+    low, high = (np.searchsorted(owner[at], np.arange(n), side) for side in ("left", "right"))
+    start = np.searchsorted(owner, np.arange(n))
+    none = np.full(n, len(content))  # an empty text stands behind the blocks'
+    first, last = none.copy(), none.copy()
+    some = np.flatnonzero(n_paras)
+    first[some], last[some] = at[low[some]], at[high[some] - 1]
+    begun = np.flatnonzero(size)
+    begun = begun[heads[start[begun]]]
+    first[begun] = start[begun]
+    held = pa.concat_arrays([content, pa.array([""])])
+    title, final = held.take(pa.array(first)), held.take(pa.array(last))
+    pairs = zip(pc.utf8_lower(title).to_pylist(), pc.utf8_lower(final).to_pylist(), strict=True)
+    again = np.fromiter((_repeated(a, b) for a, b in pairs), bool, n)
+    return np.arange(n), [title, *[pa.array(x.astype(np.int64)) for x in (count(heads), np.bincount(owner[section], minlength=n), n_paras, count(kinds == BULLETS))], pa.array(count(closing) > 0), pa.array(again & (n_paras > 0))]
 
 
 def outline(docs: DataFrame) -> DataFrame:
@@ -256,18 +326,7 @@ def outline(docs: DataFrame) -> DataFrame:
     paragraph.  It is repeated if two to four words of it, two of them with a topic,
     stand in the last paragraph, plurals alike.
     """
-    got = docs.where("text is not null").select("doc_id", blocks(F.col("text")).alias("b"))
-    of = lambda kind: F.transform(F.filter("b", lambda x: x["kind"] == kind), lambda x: x["content"])
-    heads, paras = of("heading"), of("para")
-    section = F.size(F.filter(F.sequence(F.lit(0), F.size("b")), lambda i: (F.get(F.col("b"), i)["kind"] == "heading") & (F.get(F.col("b"), i + 1)["kind"] != "heading")))
-    closes = F.exists(heads, lambda h: _trim(h).rlike(CLOSER)) | F.exists(F.slice(F.col("b"), F.greatest(F.lit(1), F.size("b") - 1), F.lit(2)), lambda x: (x["kind"] != "heading") & _trim(x["content"]).rlike(CLOSER))
-    title = F.when(F.get(F.col("b"), F.lit(0))["kind"] == "heading", F.get(F.col("b"), F.lit(0))["content"]).otherwise(F.coalesce(F.get(paras, F.lit(0)), F.lit("")))
-    known = got.select("doc_id", title.alias("title"), F.size(heads).alias("h"), section.alias("s"), F.size(paras).alias("p"), F.size(of("bullets")).alias("u"), closes.alias("closer"), F.slice(_stems(title), 1, 25).alias("t"), _stems(F.coalesce(F.element_at(F.when(F.size(paras) > 0, paras), -1), F.lit(""))).alias("last"))
-    topical = lambda g: F.size(F.filter(F.split(g, " "), lambda w: ~w.isin(*STOPWORDS))) >= 2
-    grams = lambda c: F.concat(*[ngrams(F.col(c), n) for n in (2, 3, 4)])
-    repeated = (F.col("p") > 0) & F.arrays_overlap(F.filter(grams("t"), topical), grams("last"))
-    count = lambda c, name: F.col(c).cast("bigint").alias(name)
-    return known.select("doc_id", "title", count("h", "n_headings"), count("s", "n_sections"), count("p", "n_paras"), count("u", "n_bullets"), "closer", repeated.alias("title_repeated"))
+    return scan.rows(docs, "title string, n_headings bigint, n_sections bigint, n_paras bigint, n_bullets bigint, closer boolean, title_repeated boolean", _outlined)
 
 
 #: Marked-up texts, put behind every second document.
