@@ -44,6 +44,68 @@ def test_segments_are_literal_and_rebuild_both_texts():
         assert all(p[0] != q[0] for p, q in zip(parts, parts[1:]))
 
 
+def earliest_path(a, b):
+    """Pairs of the longest common subsequence that leaves out a token of a where it can, and else takes the next equal one of b."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in reversed(range(len(a))):
+        for j in reversed(range(len(b))):
+            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+    out, j = [], 0
+    for i, x in enumerate(a):
+        if t[i + 1][j] < t[i][j]:
+            j = b.index(x, j) + 1
+            out.append((i, j - 1))
+    return out
+
+
+def test_common_subsequence_is_the_same_by_any_blocks_and_rows():
+    rng = random.Random(7)
+    for _ in range(400):
+        a, b = ([rng.randrange(5) for _ in range(rng.randrange(30))] for _ in range(2))
+        want = earliest_path(a, b)
+        assert diff.common(a, b) == want
+        assert diff.common(a, b, block=rng.randrange(1, 9), kept_bits=0, kept_rows=rng.randrange(2, 6)) == want
+
+
+def test_pairs_of_any_size_are_compared_by_token():
+    rng = random.Random(8)
+    long = "x" * 50_000
+    assert diff.segments(f"a b {long}", f"a c {long}") == [("equal", 0, 2, 0, 2, 2), ("insert", 2, 2, 2, 3, 1), ("delete", 2, 3, 3, 3, 1), ("equal", 3, 50_004, 3, 50_004, 2)]
+    # 2.2 million cells
+    s, c = (" ".join(rng.choice("abcdefgh") for _ in range(750)) for _ in range(2))
+    parts = diff.segments(s, c)
+    a, b = diff.TOKEN.findall(s), diff.TOKEN.findall(c)
+    assert sum(p[5] for p in parts if p[0] == "equal") == table_length(a, b) > 750
+    assert "".join(s[p[1] : p[2]] for p in parts if p[0] != "insert") == s and "".join(c[p[3] : p[4]] for p in parts if p[0] != "delete") == c
+
+
+def test_long_texts_of_many_kinds_take_little_memory():
+    import tracemalloc
+
+    s = " ".join(f"w{i}" for i in range(10_000))
+    c = s.replace("w5000 ", "v ").replace("w70 ", "")
+    tracemalloc.start()
+    got = diff.segments(s, c)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [p[0] for p in got] == ["equal", "delete", "equal", "insert", "delete", "equal"] and sum(p[5] for p in got if p[0] == "equal") == 19_996
+    # a bit for each place of each kind would be over 50 MB
+    assert peak < 45_000_000
+
+
+def test_rewritten_long_texts_have_their_segments(spark):
+    from textloom.operators.forensics import rewritten
+
+    text = " ".join(f"w{i % 900}" for i in range(3_000)) + "."
+    docs = spark.createDataFrame([(2, text), (4, text)], DOCS)
+    got = {k: sorted(tuple(r)[1:] for r in diff.diff_rows(rewritten(docs), "doc_id").where(f"doc_id = {k}").collect()) for k in (2, 4)}
+    n = len(text)
+    assert got[2] == [(0, "equal", 0, n, 0, n, 5_999), (1, "insert", n, n, n, n + 32, 6)]
+    half = -(-n // 2)
+    twice = text[:half] * 2
+    assert [(p[1], *p[2:]) for p in got[4]] == diff.segments(text, twice) and sum(p[6] for p in got[4] if p[1] == "equal") > 3_000
+
+
 def test_diff_rows(spark):
     pairs = spark.createDataFrame([(1, "a b", "a c"), (1, None, "x"), (2, "", None)], "doc_id bigint, source string, candidate string")
     got = sorted(tuple(r) for r in diff.diff_rows(pairs, "doc_id").collect())
