@@ -112,6 +112,33 @@ def test_diff_rows(spark):
     assert got == [(1, 0, "equal", 0, 2, 0, 2, 2), (1, 0, "insert", 0, 0, 0, 1, 1), (1, 1, "insert", 2, 2, 2, 3, 1), (1, 2, "delete", 2, 3, 3, 3, 1)]
 
 
+def test_diffs_of_long_turns_equal_sql(spark):
+    import duckdb
+
+    from tests.compare import differences
+
+    rows = [(1, 0, "a b " + "x" * 50_000), (1, 1, "a c " + "x" * 50_000), (1, 2, "é" * 81_000 + " c"), (1, 2, None), (1, 3, "é"), (2, 5, "y" * 81_000), (2, 6, ""), (3, 0, "\U0001f600 a" * 3), (3, 1, "\U0001f600 a a")]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?)", rows)
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string")
+    got = differences(diff.turn_diffs(turns), con, diff.TURN_DIFFS_SQL)
+    assert got[0] == got[1] == 7 and got[2] == 0, got
+
+
+def test_diffs_of_turns_of_many_segments(spark):
+    import time
+
+    rng = random.Random(9)
+    source = [rng.choice("abcdefgh") + "é" * 60 for _ in range(4_000)]
+    candidate = [x if rng.random() < 0.5 else rng.choice("abcdefgh") for x in source]
+    turns = spark.createDataFrame([(k, i, " ".join(x)) for k in range(20) for i, x in enumerate((source, candidate))], "conv_id bigint, turn bigint, text string")
+    began = time.monotonic()
+    got = diff.turn_diffs(turns).collect()
+    assert len(got) == 20 and all(r["rebuilt"] and r["n_equal"] + r["n_insert"] == r["n_equal"] + r["n_delete"] == 7_999 and r["n_equal"] > 5_900 for r in got)
+    assert time.monotonic() - began < 30
+
+
 @pytest.mark.parametrize(
     ("text", "want"),
     [
